@@ -35,6 +35,19 @@ def _tokenizer(path: str):
     return t
 
 
+def _parts(texts: list, size: int = 1_000_000):
+    """Consecutive texts of about that many characters together, so that their pieces fit in memory."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t)
+        if n >= size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def _plain(text: str) -> bool:
     """White space is only single spaces and line feeds, each between other characters."""
     if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or "\x00" in text:
@@ -84,6 +97,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
+        return [x for part in _parts(texts) for x in self._encode(part)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
         known = self.known
         new = {p for c in cut for p in c if p not in known}
@@ -123,6 +139,9 @@ class Counter:
 
     def count(self, texts: list[bytes]) -> list[int]:
         """Of UTF-8 texts; pieces are cut at ASCII white space."""
+        return [n for part in _parts(texts) for n in self._count(part)]
+
+    def _count(self, texts: list[bytes]) -> list[int]:
         cut = [t.split() for t in texts]
         new = {p for c in cut for p in c if p not in self.known}
         if len(self.known) + len(new) > REMEMBERED:
