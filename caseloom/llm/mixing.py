@@ -27,10 +27,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .shared import drop, saved
+
 #: A lattice of 2^31 points; the step is the odd integer next to 2^31 / golden ratio.
 LATTICE = 1 << 31
 STEP = 1327217885
 CELLS = 4096
+#: Up to so many sources their table (a row each) is broadcast, else joined by shuffle.
+MOST_BROADCAST = 20_000
 
 
 def words(text: Column) -> Column:
@@ -138,12 +142,16 @@ def mix(
     extra = [F.col(c).alias(f"keep_{c}") for c in keep]
     sizes = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *extra)
     per = targets(sizes.select("source", "size"), weights, max_epochs)
+    per, path = saved(per, "sources")
     taken = ranked(schedule(spark, per, slots)).groupBy("k").agg(F.max("rank").alias("last"))
-    # a slot holds total / slots words; fractions of a word stay with the block borders, which are rounded once
     per = per.join(taken.withColumnRenamed("k", "t_k"), F.col("k") == F.col("t_k"), "left").select(
         F.col("source").alias("s_source"), "k", "source_size", "n_docs", "target",
         F.coalesce(F.col("last") + 1, F.lit(0)).alias("n_slots"), (F.col("total") / slots).alias("block"),
     ).withColumn("words_taken", F.least(F.round(F.col("n_slots") * F.col("block")).cast("long"), F.col("source_size") * max_epochs))
+    per, _ = saved(per, "sources")
+    drop(spark, path)
+    if per.count() <= MOST_BROADCAST:
+        per = F.broadcast(per)
     d = streams(sizes, per)
     whole = F.expr("case when source_size > 0 then words_taken div source_size else 0 end")
     rest = F.expr("case when source_size > 0 then words_taken % source_size else 0 end")

@@ -34,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import components
 from .shared import drop, saved
@@ -63,15 +63,15 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., doc_id, fp): fp holds the 64 bits as a long."""
-    d = docs.select(*keep, "doc_id", F.col("text").cast("binary").alias("text"))
+    d = docs.select(*keep, "doc_id", F.col("text").cast("binary").alias("_text"))
 
     def run(batches):
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("text")), "u8", count=b.num_rows)
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("_text")), "u8", count=b.num_rows)
             cols = [b.column(c) for c in (*keep, "doc_id")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(fp.view("i8"))], [*keep, "doc_id", "fp"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.drop("text").schema) + ", fp long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.drop("_text").schema) + ", fp long"
     return d.mapInArrow(run, schema)
 
 
@@ -226,3 +226,22 @@ def classes(docs: DataFrame, bits: int = 2, shingle: int = 3, bucket: int = 64)
     ids, _ = saved(reps.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "fp_component")
     drop(docs.sparkSession, reps_path)
     return d.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of docs that stay when one of each class does (that with the smallest doc_id).
+
+    Of rows with that doc_id the one whose text hashes lowest stays.  Rows without a doc_id stay if their
+    class names no id, one for each fingerprint.
+    """
+    found, path = saved(classes(docs, bits, shingle), "classes")
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    by_id = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(by_id)).where("_n = 1").select(*docs.columns)
+    nameless = docs.where("doc_id is null")
+    if not nameless.isEmpty():
+        alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
+        own = fingerprints(nameless, shingle, tuple(c for c in docs.columns if c != "doc_id"))
+        own = own.join(alone, "fp", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("fp").orderBy(F.xxhash64("text"))))
+        named = named.unionByName(own.where("_n = 1").select(*docs.columns))
+    return named
