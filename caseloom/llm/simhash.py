@@ -236,12 +236,13 @@ def representatives(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFra
     """
     found, path = saved(classes(docs, bits, shingle), "classes")
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    by_id = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(by_id)).where("_n = 1").select(*docs.columns)
-    nameless = docs.where("doc_id is null")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no other column's name can clash
+    by_id = W.partitionBy("doc_id").orderBy("h")
+    named = docs.select("doc_id", F.xxhash64("text").alias("h"), row).join(first, "doc_id", "left_semi")
+    out = named.withColumn("n", F.row_number().over(by_id)).where("n = 1").select("row.*")
+    nameless = docs.where("doc_id is null").select("doc_id", "text", F.xxhash64("text").alias("h"), row)
     if not nameless.isEmpty():
         alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-        own = fingerprints(nameless, shingle, tuple(c for c in docs.columns if c != "doc_id"))
-        own = own.join(alone, "fp", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("fp").orderBy(F.xxhash64("text"))))
-        named = named.unionByName(own.where("_n = 1").select(*docs.columns))
-    return named
+        own = fingerprints(nameless, shingle, ("h", "row")).join(alone, "fp", "left_semi")
+        out = out.unionByName(own.withColumn("n", F.row_number().over(W.partitionBy("fp").orderBy("h"))).where("n = 1").select("row.*"))
+    return out

@@ -14,10 +14,15 @@ from caseloom.llm.queries import tokenizer
 from caseloom.llm.shared import drop, saved
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text, and the whole row beside them, so that no other column's name can clash."""
+    return docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, docs.columns).where("score >= 0.3").drop("score")
+    return quality.score(whole(docs), model, ["row"]).where("score >= 0.3").select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +36,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontam.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
-    return found.where("size(leaks) = 0").drop("leaks")
+    found = decontam.search(whole(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["row"])
+    return found.where("size(leaks) = 0").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes the block that holds their first word."""
-    mixed = mixing.mix(docs, keep=tuple(docs.columns)).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    mixed = mixing.mix(whole(docs), keep=("row",)).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
