@@ -177,6 +177,8 @@ def links(fps: DataFrame, bits: int = 2, bucket: int = 64) -> DataFrame:
     if not 0 <= bits <= 2:
         raise ValueError("bits must be 0, 1 or 2")
     fps = fps.select("fp")
+    if bits == 0:  # distinct fingerprints are never equal
+        return fps.limit(0).select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     stored, probes = None, None
     for i, (group, t) in enumerate(plan(fps, bits)):
         own = fps.select(F.lit(i).alias("i"), F.expr(f"fp & {_mask(group)}L").alias("v"), "fp")
@@ -198,8 +200,6 @@ def links(fps: DataFrame, bits: int = 2, bucket: int = 64) -> DataFrame:
         some = probes.where(f"n <= {bucket}").select("i", "v", F.col("fp").alias("a")).join(small.select("i", "v", F.col("fp").alias("b")), ["i", "v"])
         out = out.union(some.where("a <> b").where(near).select("a", "b"))
         big = big.union(probes.where(f"n > {bucket}").select("fp"))
-    if bits == 0:
-        return out.distinct()
     big = big.distinct()
     values = F.explode(F.array(F.col("fp"), *[F.expr(f"fp ^ {x}L") for x in _flips(list(range(64)), 1)[1:]]))
     if bits == 1:  # a value within one bit of both that is one of the two
