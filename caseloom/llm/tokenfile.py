@@ -11,7 +11,7 @@ order, null ids first.  Its file ``*.ids``, all little-endian:
     bits      u64 words of the index
     rest      u64 keys beside the index
     prints    u32 a distinct key: its fingerprint
-    rows      i64 a distinct key: its first document (repeated ids follow each other)
+    rows      i64 a distinct key: its first document (repeated ids follow each other; null ids come first)
     footer    magic, id width, and the number of items of each part
 
 so that a reader finds a key by two or three reads of known places, and a scan
@@ -41,17 +41,9 @@ from .storage import reading, writing
 
 MAGIC = b"CLOOMID1"
 _FOOTER = struct.Struct("<8s9q")
-_NULL_KEY = 0x6E756C6C
 MANIFEST = "file string, n_docs long, n_ids long, first_id long, last_id long, first_null boolean"
 
 
-def key_hash(ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
-    """Keys as the index sees them: an id itself, and a number of its own for null."""
-    keys = ids.astype("i8").view("u8").copy()
-    keys[nulls.astype(bool)] = _NULL_KEY
-    return keys
-
-
 def _write_shard(out, batches: Iterator, encoder, end_id: int) -> tuple | None:
     ids: list[np.ndarray] = []
     nulls: list[np.ndarray] = []
@@ -71,11 +63,9 @@ def _write_shard(out, batches: Iterator, encoder, end_id: int) -> tuple | None:
         return None
     doc_ids, null, n = np.concatenate(ids), np.concatenate(nulls), np.concatenate(counts)
     starts = np.concatenate(([0], np.cumsum(n))).astype("<i8")
-    keys = key_hash(doc_ids, null)
     first = np.flatnonzero(np.concatenate(([True], (doc_ids[1:] != doc_ids[:-1]) | (null[1:] != null[:-1]))))
-    own = keys[first]
-    clash = np.flatnonzero((own == np.uint64(_NULL_KEY)) & (null[first] == 0))  # the id that null's number equals shares its entry
-    distinct, where = np.delete(own, clash) if null[0] else own, np.delete(first, clash) if null[0] else first
+    where = first[null[first] == 0]  # documents without an id come first and need no index
+    distinct = doc_ids[where].view("u8")
     index = Index.build(distinct)
     rows = np.zeros(len(distinct), "<i8")
     rows[index.numbers(distinct)] = where
@@ -148,13 +138,15 @@ class Shard:
 
     def locate(self, ids: np.ndarray, nulls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last + 1 document of each key, equal if the shard has none."""
-        n = self.index.find(key_hash(ids, nulls))
+        if not len(self.doc_ids):
+            return np.zeros(len(ids), "i8"), np.zeros(len(ids), "i8")
+        without = int(self.nulls.sum())
+        n = self.index.find(ids.astype("i8").view("u8"))
         first = np.where(n >= 0, self.rows[np.maximum(n, 0)], 0) if len(self.rows) else np.zeros(len(ids), "i8")
-        first = np.where(n >= 0, first, len(self.doc_ids))
-        same = (first < len(self.doc_ids)) & (self.doc_ids[np.minimum(first, len(self.doc_ids) - 1)] == np.where(nulls, 0, ids))
+        same = (n >= 0) & (self.doc_ids[first] == ids) & (self.nulls[first] == 0)
         ends = np.append(np.flatnonzero(np.diff(self.doc_ids) | np.diff(self.nulls.view("i1"))) + 1, len(self.doc_ids))
         last = ends[np.searchsorted(ends, first, side="right").clip(max=len(ends) - 1)]
-        return np.where(same, first, 0), np.where(same, last, 0)
+        return np.where(nulls | ~same, 0, first), np.where(nulls, without, np.where(same, last, 0))
 
     def ids(self, first: int, last: int) -> np.ndarray:
         """The ids of documents first to last - 1, as u32."""

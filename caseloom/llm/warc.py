@@ -84,9 +84,11 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(uri) for uri, _ in files(self.path, ".warc.gz")]
+        return [InputPartition(uri) for uri, _ in files(self.path, ".warc.gz")] or [InputPartition(None)]
 
     def read(self, partition: InputPartition):
+        if partition is None or partition.value is None:  # no archives
+            return
         with reading(partition.value) as f:
             yield from self._records(f)
 
