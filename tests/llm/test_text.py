@@ -125,7 +125,7 @@ def bench(spark):
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     items = [(1, ITEM), (2, text(40)), (3, "one"), (4, None), (5, ""), (6, ITEM), (None, text(30))]
     w = ITEM.split()
-    para = " ".join(x if i % 4 or i > 15 else "indeed" for i, x in enumerate(w))
+    para = " ".join(x if i % 3 or i > 15 else "indeed" for i, x in enumerate(w))
     docs = [(i, text(rng.randint(0, 300))) for i in range(150)]
     docs += [(1000, text(37) + " " + ITEM.upper() + "!! " + text(90)), (1001, ITEM), (1002, text(500) + "\n" + items[1][1] + "\n" + text(11)), (1003, text(20) + " " + para + " " + text(20))]
     docs += [(1004, None), (1005, ""), (1001, ITEM), (1006, (text(60) + " ") * 400 + ITEM), (1007, " ".join(w[:12]) + " " + text(50))]
