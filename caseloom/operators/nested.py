@@ -27,3 +27,18 @@ def attach(parents: DataFrame, nested: DataFrame, key: str, by: str, name: str)
     kind = nested.schema[name].dataType.simpleString()
     out = parents.join(nested.withColumnRenamed(by, "_by"), F.col(key) == F.col("_by"), "left").drop("_by")
     return out.withColumn(name, F.coalesce(name, F.expr(f"cast(array() as {kind})")))
+
+
+def signatures(signed: DataFrame, files: DataFrame, staff: DataFrame) -> DataFrame:
+    """Signatures (document_id, image_id, signer_id, signed_at) with the names of the document, of the image and of the signer.
+
+    The file table stands in two roles; a signature whose image or signer is gone keeps its row."""
+    doc = files.select(F.col("id").alias("document_id"), F.col("name").alias("document"))
+    image = files.select(F.col("id").alias("image_id"), F.col("name").alias("image"))
+    signer = staff.select(F.col("id").alias("signer_id"), F.col("name").alias("signer"))
+    return signed.join(doc, "document_id").join(image, "image_id", "left").join(signer, "signer_id", "left")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """Ordinals from 1 within each key, as a list shows them after its filters."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))

@@ -92,3 +92,16 @@ def with_defaults(singleton: DataFrame, defaults: dict[str, object]) -> DataFram
     base = singleton.sparkSession.range(1).select(*[F.lit(v).alias(f"_{k}") for k, v in defaults.items()])
     row = singleton.limit(1).withColumn("_one", F.lit(0))
     return base.join(row, F.col("_one") == 0, "left").select(*[F.coalesce(F.col(k), F.col(f"_{k}")).alias(k) for k in defaults])
+
+
+def dispatched(kind: Column, changes: dict[str, tuple[str, bool]]) -> Column:
+    """struct(status, ends): the state that an event sets and whether it ends a period; null for events of other kinds."""
+    out = F.lit(None).cast("struct<status: string, ends: boolean>")
+    for name, (status, ends) in changes.items():
+        out = F.when(kind == name, F.struct(F.lit(status).alias("status"), F.lit(ends).alias("ends"))).otherwise(out)
+    return out
+
+
+def chosen(column: Column, choice: object | None) -> Column:
+    """Rows of the choice, or all rows while nothing is chosen."""
+    return F.lit(True) if choice is None else column == F.lit(choice)

@@ -118,3 +118,11 @@ def live_session(users: DataFrame, offices: DataFrame, tokens: DataFrame) -> Dat
     current = F.coalesce(F.col("u.session_version"), F.lit(0)) == F.coalesce(F.col("t.version"), F.lit(0))
     factor = ~F.col("u.two_factor") | F.col("t.second_factor")
     return t.where(every(F.col("u.active"), F.col("o.active"), current, factor)).select("t.*")
+
+
+def may_receive(addresses: DataFrame, client_table: DataFrame, staff_table: DataFrame) -> DataFrame:
+    """addresses (email) that a visible client or an active colleague has, with which of them."""
+    known = client_table.select(F.lower("email").alias("_e")).where("_e is not null").distinct()
+    near = staff_table.where("active").select(F.lower("email").alias("_f")).where("_f is not null").distinct()
+    out = addresses.join(known, F.lower("email") == F.col("_e"), "left").join(near, F.lower("email") == F.col("_f"), "left")
+    return out.withColumn("client", F.col("_e").isNotNull()).withColumn("colleague", F.col("_f").isNotNull()).drop("_e", "_f").where("client or colleague")

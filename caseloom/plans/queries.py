@@ -713,3 +713,78 @@ def soft_delete(c):
 @query("SELECT id FROM files WHERE id % 6 <> 0")
 def hard_delete(c):
     return dml.deleted(c.files, c.files.where("id % 6 = 0")).select("id")
+
+
+# --- smaller shapes
+
+
+@query("""SELECT id, CASE action WHEN 'purchase' THEN 'ACTIVE' WHEN 'signup' THEN 'TRIALING' WHEN 'logout' THEN 'CANCELED' END AS status, action = 'logout' AS ends
+FROM log WHERE action IN ('purchase', 'signup', 'logout')""")
+def webhook_dispatch(c):
+    to = rules.dispatched(F.col("action"), {"purchase": ("ACTIVE", False), "signup": ("TRIALING", False), "logout": ("CANCELED", True)})
+    return c.log.select("id", to.alias("x")).where("x is not null").select("id", "x.*")
+
+
+@query("""SELECT d.id AS document_id, d.name AS document, i.name AS image, s.name AS signer FROM files d LEFT JOIN files i ON i.id = d.id + 1 LEFT JOIN staff s ON s.id = d.id WHERE d.id % 5 = 0""")
+def signature_history(c):
+    signed = c.files.where("id % 5 = 0").select(F.col("id").alias("document_id"), (F.col("id") + 1).alias("image_id"), F.col("id").alias("signer_id"), F.lit(AS_OF).alias("signed_at"))
+    return nested.signatures(signed, c.files, c.staff).select("document_id", "document", "image", "signer")
+
+
+@query("""WITH a AS (SELECT id, 'u' || CAST(id AS VARCHAR) || '@x.org' AS email FROM clients),
+l AS (SELECT id FROM clients WHERE office_id = {o} AND owner_id = 3), s AS (SELECT id FROM staff WHERE office_id = {o} AND active)
+SELECT a.id, a.id IN (SELECT id FROM l) AS client, a.id IN (SELECT id FROM s) AS colleague FROM a WHERE a.id IN (SELECT id FROM l) OR a.id IN (SELECT id FROM s)""")
+def mail_recipients(c):
+    mail = lambda df: df.withColumn("email", F.concat(F.lit("U"), F.col("id").cast("string"), F.lit("@x.org")))
+    addresses = c.clients.select("id", F.concat(F.lit("u"), F.col("id").cast("string"), F.lit("@x.org")).alias("email"))
+    near = c.staff.where(F.col("office_id") == c.first_office)
+    return scope.may_receive(addresses, mail(scope.clients_owned(lawyer(c), c.clients)), mail(near)).select("id", "client", "colleague")
+
+
+@query("SELECT k.id FROM cases k WHERE k.client_id = 1")
+def dependent_choice(c):
+    return c.cases.where(rules.chosen(F.col("client_id"), 1)).select("id")
+
+
+@query("""SELECT id, CAST(row_number() OVER (PARTITION BY source ORDER BY id) AS INT) AS place FROM files WHERE contains(lower(name), 'src1') AND lang = 'en'""")
+def filtered_ordinal(c):
+    shown = c.files.where((F.col("lang") == "en") & F.lower(F.concat_ws(" ", "name")).contains("src1"))
+    return nested.numbered(shown, ["source"], [F.col("id")]).select("id", "place")
+
+
+@query("""SELECT i.id FROM invoices i WHERE EXISTS (SELECT 1 FROM cases k WHERE k.id = i.case_id AND k.client_id = i.client_id)""")
+def composite_reference(c):
+    return c.invoices.join(c.cases.select(F.col("id").alias("case_id"), "client_id"), ["case_id", "client_id"], "left_semi").select("id")
+
+
+@query("SELECT count(*) FILTER (role = 'user') AS said, count(*) FILTER (role = 'assistant') AS answered, count(*) FILTER (role NOT IN ('user', 'assistant')) AS other FROM conversations")
+def role_tabs(c):
+    known = F.col("role").isin("user", "assistant")
+    return c["conversations"].agg(F.count_if(F.col("role") == "user").alias("said"), F.count_if(F.col("role") == "assistant").alias("answered"), F.count_if(~known).alias("other"))
+
+
+@query("SELECT page_id, upper(substr(md5(url), 1, 4)) || ' ' || upper(substr(md5(url), 5, 4)) AS shown FROM pages")
+def grouped_code(c):
+    code = F.upper(F.substring(F.md5(F.col("url").cast("binary")), 1, 8))
+    return c["pages"].select("page_id", text.in_fours(code).alias("shown"))
+
+
+@query("SELECT id, coalesce(CASE status WHEN 'ACTIVE' THEN 'Open' WHEN 'CLOSED' THEN 'Done' END, status) AS shown, 'No. ' || lpad(CAST(id AS VARCHAR), CAST(greatest(6, length(CAST(id AS VARCHAR))) AS INT), '0') AS number FROM cases")
+def labels_and_numbers(c):
+    names = {"ACTIVE": "Open", "CLOSED": "Done"}
+    return c.cases.select("id", text.label(F.col("status"), names).alias("shown"), F.concat(F.lit("No. "), text.padded(F.col("id"), 6)).alias("number"))
+
+
+@query("SELECT id, 'Contract of ' || name || ' for ........' AS filled FROM clients")
+def template_fill(c):
+    return c.clients.select("id", text.filled("Contract of {name} for {what}", name=F.col("name"), what=F.lit("")).alias("filled"))
+
+
+@query("SELECT id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INT) AS n FROM files")
+def line_counts(c):
+    return c.files.select("id", F.size(text.filled_lines(F.col("text"))).alias("n"))
+
+
+@query("SELECT id, length(text) > 4000 AS cut, length(substr(text, 1, 4000)) AS kept FROM files")
+def truncation_flag(c):
+    return c.files.select("id", (F.length("text") > 4000).alias("cut"), F.length(text.cut(F.col("text"), 4000)).cast("long").alias("kept"))
