@@ -64,3 +64,13 @@ def test_streamed_first_only(spark, tmp_path):
     q = streams.first_only(stream, ["token"]).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["token"] for r in spark.table("firsts").collect()) == ["a", "b"]
+
+
+def test_synthetic_practice_is_whole(spark):
+    from caseloom.operators import integrity
+    from caseloom.sources.synthetic import practice
+
+    p = practice(spark, 3, 4)
+    assert {n: df.count() for n, df in p.items()} == {"offices": 3, "staff": 9, "clients": 12, "cases": 12, "hearings": 12, "invoices": 12}
+    assert integrity.orphans(p["cases"], p["staff"], "owner_id").count() == 0 and integrity.orphans(p["invoices"], p["cases"], "case_id").count() == 0
+    assert integrity.mismatches(p["cases"], p["clients"], "client_id", "office_id", "office_id").count() == 0
