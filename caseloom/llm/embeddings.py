@@ -66,27 +66,34 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit_cells(vectors: DataFrame, cell_rows: int, sample: int, most_cells: int) -> dict[tuple[int, int], np.ndarray]:
-    """Centroids of each (label, length).  At most ``sample`` vectors, those with the smallest hashes, reach the driver in all."""
-    sizes = {(r[0], r[1]): r[2] for r in vectors.groupBy("label", "dim").agg(F.count("*")).collect()}
-    rows = vectors.select("label", "dim", "v").orderBy(F.xxhash64("v")).limit(sample).toPandas() if sum(sizes.values()) else pd.DataFrame(columns=["label", "dim", "v"])
+    """Centroids for each (label, length) with more than ``cell_rows`` vectors; others are one cell each.
+
+    At most ``sample`` vectors, those with the smallest hashes, reach the driver in all."""
+    large = vectors.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
+    sizes = {(r["label"], r["dim"]): r["n"] for r in large.collect()}
+    if not sizes:
+        return {}
+    rows = vectors.join(large.select("label", "dim"), ["label", "dim"]).select("label", "dim", "v").orderBy(F.xxhash64("v")).limit(sample).toPandas()
     out = {}
     for key, n in sizes.items():
         own = rows[(rows["label"] == key[0]) & (rows["dim"] == key[1])]["v"]
         k = min(most_cells, math.ceil(n / cell_rows), len(own))
-        out[key] = centroids(unit(np.array(own.tolist(), "f8")), k) if k > 1 else np.zeros((1, key[1]))
+        if k > 1:
+            out[key] = centroids(unit(np.array(own.tolist(), "f8")), k)
     return out
 
 
 def _assigned(vectors: DataFrame, cells: dict, least: float) -> DataFrame:
     """(id, w, v, cell, own): a row for the home cell and for each visited one."""
     gap = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
-    sent = vectors.sparkSession.sparkContext.broadcast(cells)  # at most most_cells centroids a label
+    sent = vectors.sparkSession.sparkContext.broadcast(cells)  # at most most_cells centroids a label, and no more than the sample in all
     names = [f.name for f in vectors.schema]
 
     def run(frames):
         for pdf in frames:
             for (label, dim), part in pdf.groupby(["label", "dim"], sort=False):
-                c = sent.value[int(label), int(dim)]
+                c = sent.value.get((int(label), int(dim)))
+                c = np.zeros((1, int(dim))) if c is None else c
                 x = unit(np.array(part["v"].tolist(), "f8"))
                 sim = x @ c.T
                 home = sim.argmax(1)
@@ -137,7 +144,7 @@ def _compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.93, cell_rows: int = 2048, block: int = 2048, sample: int = 20_000, most_cells: int = 256,
+    vectors: DataFrame, least: float = 0.93, cell_rows: int = 2048, block: int = 2048, sample: int = 20_000, most_cells: int = 1024,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "label", F.expr(f"case when {_usable('embedding')} then transform(embedding, x -> cast(x as double)) end").alias("v"))

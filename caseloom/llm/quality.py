@@ -166,12 +166,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, **how) -> Mode
         part = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.union(part)
     # at most 2 x sample ids are broadcast
-    rows = _featured(docs.join(F.broadcast(picked), "doc_id"), ["doc_id", "y"]).dropDuplicates(["doc_id", "y"])
-    got = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["doc_id"] * 2654435761 % 4294967296, r["y"]))
+    # of rows with one id the text with the smallest features counts, so that reruns agree
+    rows = _featured(docs.join(F.broadcast(picked), "doc_id"), ["doc_id", "y"]).groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
+    x = [c[i].values.to_numpy() for c in rows.column("x").chunks for i in range(len(c))]
+    y = rows.column("y").to_numpy()
+    order = np.lexsort((y, rows.column("doc_id").to_numpy(), rows.column("doc_id").to_numpy() * 2654435761 % 4294967296))
     counts = dict(usable.groupBy("y").count().collect())
     total = sum(counts.values())
     shares = (counts[0] / total, counts[1] / total) if len(counts) == 2 else None
-    return fit([np.array(r["x"], "i4") for r in got], np.array([r["y"] for r in got]), shares, **how)
+    return fit([x[i] for i in order], y[order], shares, **how)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
