@@ -45,11 +45,16 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_TABLE).split()
 
 
-def common(masks: dict[bytes, int], size: int, segment: list[bytes]) -> int:
-    """Length of the longest common subsequence; masks: of each word of the item, the bits of its places."""
+def common(masks: dict[bytes, int], size: int, segment: list[bytes], least: float = 0.0) -> int:
+    """Length of the longest common subsequence; masks: of each word of the item, the bits of its places.
+
+    0 if the segment has fewer than ``least`` words of the item, more than which no subsequence can have."""
+    held = [masks[w] for w in segment if w in masks]
+    if len(held) < least:
+        return 0
     v = full = (1 << size) - 1
-    for w in segment:
-        if u := v & masks.get(w, 0):
+    for m in held:
+        if u := v & m:
             v = ((v + u) | (v - u)) & full
     return size - v.bit_count()
 
@@ -137,6 +142,18 @@ def _frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[int, np.ndar
     return int(df[terms]), df[:terms]
 
 
+def _added(out: np.ndarray, at: np.ndarray, rows: np.ndarray, index: np.ndarray, scale: np.ndarray | None = None) -> None:
+    """out[at] += rows[index] (times scale); at is sorted.  Round r adds the r-th row of every place, so each round's places are distinct."""
+    if not len(at):
+        return
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    sizes = np.diff(np.append(starts, len(at)))
+    for r in range(int(sizes.max())):
+        spot = starts[sizes > r] + r
+        more = rows[index[spot]]
+        out[at[spot]] += more if scale is None else more * scale[spot][:, None]
+
+
 def _rows(piece: np.ndarray, times: np.ndarray, idf: np.ndarray, term: np.ndarray) -> np.ndarray:
     """Weights of (piece, term) pairs, each piece a unit vector."""
     w = (1 + np.log(times)) * idf[term]
@@ -152,9 +169,9 @@ def _gram(ids: np.ndarray, piece: np.ndarray, idf: np.ndarray, test: np.ndarray,
     if not len(p):
         return
     w = _rows(p, times, idf, t)
-    starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-    y = np.add.reduceat(w[:, None] * test[t], starts, axis=0)
     row = np.cumsum(np.concatenate(([0], p[1:] != p[:-1])))
+    y = np.zeros((int(row[-1]) + 1, test.shape[1]), "f4")
+    _added(y, row, test, t, w)
     order = np.argsort(t, kind="stable")
     t = t[order]
     starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
@@ -233,6 +250,7 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
     out: list[list[dict]] = [[] for _ in texts]
     if not space.groups:
         return out
+    weighted = space.idf[:, None] * space.basis
     for at, part in _batches(texts, 1_000_000):
         ids, n = _tokens(part, space.vocab)
         chunk, first = _pieces(n, CHUNK)
@@ -242,27 +260,26 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
         use = use[space.idf[ids[use]] > 0]
         if not len(use):
             continue
-        sums = np.zeros((first[-1] + 1, space.basis.shape[1]), "f4")
-        c, t = chunk[use], ids[use]
-        starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-        sums[c[starts]] = np.add.reduceat(space.idf[t][:, None] * space.basis[t], starts, axis=0)
+        # empty chunks after each text, as many as the widest window reaches, so that no window joins two texts
+        gap = max(space.groups) - 1
         doc = np.repeat(np.arange(len(part)), np.diff(first))
-        end, begin = first[1:][doc], first[:-1][doc]
-        here = np.arange(first[-1])
+        row = np.arange(first[-1]) + doc * gap
+        sums = np.zeros((int(first[-1]) + (len(part) + 1) * gap + 1, space.basis.shape[1]), "f4")
+        _added(sums, row[chunk[use]], weighted, ids[use])
         found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-        for s, (numbers, vectors) in space.groups.items():
-            start = here[(here == begin) | (here + s <= end)]
-            window = sums[start].copy()
-            for k in range(1, s):
-                more = start + k < end[start]
-                window[more] += sums[start[more] + k]
-            norm = np.sqrt((window * window).sum(1))
-            ok = norm > 1e-9
-            start, window = start[ok], window[ok] / norm[ok][:, None]
-            cosine = window @ vectors.T
-            for i, j in zip(*np.nonzero(cosine >= least), strict=True):
-                d = int(doc[start[i]])
-                found.setdefault((d, int(numbers[j])), []).append((float(cosine[i, j]), int(start[i] - begin[start[i]]), s))
+        window, reach = sums.copy(), 1
+        for s, (numbers, vectors) in sorted(space.groups.items()):
+            while reach < s:
+                window[:-reach] += sums[reach:]
+                reach += 1
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+            norm[norm < 1e-9] = np.inf
+            dots = window @ vectors.T
+            for w, j in zip(*(x.tolist() for x in np.nonzero(dots >= (least * norm)[:, None])), strict=True):
+                i = int(np.searchsorted(row, w, side="right")) - 1
+                if i >= 0 and row[i] == w:
+                    d = int(doc[i])
+                    found.setdefault((d, int(numbers[j])), []).append((float(dots[w, j] / norm[w]), i - int(first[d]), s))
         cut: dict[int, list[bytes]] = {}
         masks: dict[int, dict] = {}
         for (d, item), spots in sorted(found.items()):
@@ -272,10 +289,10 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
             target, reply = space.items[item], space.answers[item]
             if item not in masks:
                 masks[item] = places(target)
-            best = (0.0, 0.0, 0.0)
+            best = (0.0, 0.0, 0.0)  # of the window with the longest common subsequence: its share, the answer's, the cosine
             for cosine_at, c0, s in sorted(spots, reverse=True):
                 segment = own[c0 * CHUNK : (c0 + s) * CHUNK]
-                share = common(masks[item], len(target), segment) / len(target)
+                share = common(masks[item], len(target), segment, paraphrase * len(target)) / len(target)
                 if share > best[0]:
                     best = (share, common(places(reply), len(reply), segment) / len(reply), cosine_at)
                 if share >= verbatim:
@@ -293,7 +310,7 @@ _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()),
 
 
 def search(
-    docs: DataFrame, benchmark: DataFrame, keep: list[str], least: float = 0.4, verbatim: float = 0.8, paraphrase: float = 0.6,
+    docs: DataFrame, benchmark: DataFrame, keep: list[str], least: float = 0.5, verbatim: float = 0.8, paraphrase: float = 0.6,
     rank: int = 128, items_a_block: int = 2000,
 ) -> DataFrame:
     """``keep`` columns of every document and leaks (LEAKS), empty for clean ones."""
