@@ -22,7 +22,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import new_path
+from .shared import bounded_batches, new_path
 
 CACHE = "digest binary, version string, n_tokens long"
 
@@ -80,6 +80,7 @@ def count(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int
     ``cache``: folder of the cache table, made if it isn't there (None: a new one).
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     cache = cache or new_path(spark, "token_counts")
     key, spaces = version(tokenizer), drops_space(tokenizer)
     text = normalised(F.col("text"), spaces)

@@ -36,6 +36,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import bounded_batches
+
 PASSAGE, CHUNK = 64, 16
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -315,6 +317,7 @@ def search(
 ) -> DataFrame:
     """``keep`` columns of every document and leaks (LEAKS), empty for clean ones."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.count()
     blocks = max(1, -(-total // items_a_block))

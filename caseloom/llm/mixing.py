@@ -103,7 +103,7 @@ def ranked(slots: DataFrame, stretch: int = 1 << 16) -> DataFrame:
     )
 
 
-def streams(sizes: DataFrame, per_source: DataFrame, rows_a_range: int = 20_000) -> DataFrame:
+def streams(sizes: DataFrame, per_source: DataFrame, rows_a_range: int = 2_000) -> DataFrame:
     """``sizes`` (row key, source, size) with start: the words of the source's shuffled stream before the document.
 
     The order is by the MD5 digest of doc_id, ties by size and doc_id; ranges of digests hold about

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import bounded_batches
+
 BITS = 16
 SIZE = (1 << BITS) + 4
 _CHUNK = 1 << 20
@@ -146,6 +148,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _featured(df: DataFrame, keep: list[str]) -> DataFrame:
+    bounded_batches(df.sparkSession)
     d = df.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
@@ -179,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, **how) -> Mode
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row and its score."""
+    bounded_batches(docs.sparkSession)
     d = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: two arrays of 2^BITS
 

@@ -30,6 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets no Arrow batch of this session hold more than so many rows, since their texts may be long.
+
+    A smaller setting stays.  (The plan reads the setting when it runs, so it is left in place.)"""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/caseloom/{name}-{uuid.uuid4().hex[:12]}"
     _LEFT[path] = spark

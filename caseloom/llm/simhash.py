@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import components
-from .shared import drop, saved
+from .shared import bounded_batches, drop, saved
 
 _CHUNK = 200_000
 
@@ -63,6 +63,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., doc_id, fp): fp holds the 64 bits as a long."""
+    bounded_batches(docs.sparkSession)
     d = docs.select(*keep, "doc_id", F.col("text").cast("binary").alias("_text"))
 
     def run(batches):

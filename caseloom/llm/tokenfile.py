@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .mph import Index
-from .shared import new_path, saved
+from .shared import bounded_batches, new_path, saved
 from .storage import reading, writing
 
 MAGIC = b"CLOOMID1"
@@ -79,6 +79,7 @@ def _write_shard(out, batches: Iterator, encoder, end_id: int) -> tuple | None:
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> tuple[DataFrame, str]:
     """Writes the shards; the manifest (MANIFEST with base: ids of all shards before) and the folder."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or new_path(spark, "ids")
     d = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     d = d.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
