@@ -11,7 +11,10 @@
    apart.
 3. Search: a document is cut into chunks of ``CHUNK`` words; windows of as many
    chunks as hold an item wherever it starts are projected and compared with the
-   items by cosine.
+   items by cosine.  Windows in which the cosine is no measure (an item's words are
+   frequent in the corpus, or rarer words stand around it) are found by counting: the
+   rarest places of an item are its head, so many that a window with ``paraphrase`` of
+   the item's words must hold some words of it; every window with enough is a candidate.
 4. Each candidate window is checked by the longest common subsequence of its
    words and the item's.  A common subsequence of ``verbatim`` of the item's words
    is a copy; one of ``paraphrase`` of them is a paraphrase if the item's answer
@@ -21,7 +24,7 @@ Items are taken in blocks of ``items_a_block``, so what a task holds (a block's
 vocabulary, vectors and words) is bounded.
 
 Edge cases: null or empty texts have no leaks; items without words match
-nothing; repeated rows have the same leaks; items with equal texts are each
+nothing; an item whose words are all frequent has cosine 0; repeated rows have the same leaks; items with equal texts are each
 reported; an empty benchmark or corpus gives no leaks; other columns are ignored.
 """
 
@@ -86,6 +89,10 @@ class Space:
     items: list[list[bytes]]
     answers: list[list[bytes]]
     groups: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by chunks of a window: item numbers, their unit vectors
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, "i8"))  # of each term: where its items in ``heads`` begin
+    heads: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))  # items that have the term in their head, term by term
+    need: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))  # of each item: words of its head in any window that passes
+    wide: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))  # of each item: chunks of a window
 
 
 def _tokens(texts: list, vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +231,59 @@ def singular_vectors(z: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
     return u[:, : min(rank, int((s > s[0] * 1e-6).sum()))].astype("f4")
 
 
-def fit(docs: DataFrame, items: list[tuple[object, str]], rank: int = 128, extra: int = 16) -> Space:
+def _heads(space: Space, df: np.ndarray, share: float) -> None:
+    """Sets first, heads and need: windows with a common subsequence of ``share`` of an item lack few enough places to hold ``need`` of its head."""
+    pairs, space.need = [], np.zeros(len(space.items), "i8")
+    for j, c in enumerate(space.items):
+        least = min(len(c), max(1, int(np.ceil(share * len(c) - 1e-9))))
+        lacks, held = len(c) - least, 0
+        term, times = np.unique(np.array([space.vocab[w] for w in c], "i8"), return_counts=True)
+        for k in np.argsort(df[term], kind="stable"):
+            pairs.append((int(term[k]), j))
+            held += int(times[k])
+            if held >= lacks + max(1, least // 4):
+                break
+        space.need[j] = held - lacks
+    at = np.array(sorted(pairs), "i8").reshape(-1, 2)
+    space.first = np.searchsorted(at[:, 0], np.arange(len(space.vocab) + 1))
+    space.heads = at[:, 1].copy()
+
+
+def _counted(ids: np.ndarray, row: np.ndarray, rows: int, space: Space, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the first chunk, item) of every window with ``need`` words of the item's head; ``row``: the row of every word's chunk."""
+    many = np.diff(space.first)
+    at = np.flatnonzero(ids >= 0)
+    at = at[many[ids[at]] > 0]
+    if not len(at):
+        return np.zeros(0, "i8"), np.zeros(0, "i8")
+    upto = np.cumsum(many[ids[at]])
+    keys, times = [], []
+    for part in np.split(at, np.searchsorted(upto, np.arange(most, upto[-1], most))):
+        n = many[ids[part]]
+        ends = np.cumsum(n)
+        item = space.heads[np.arange(n.sum()) + np.repeat(space.first[ids[part]] - ends + n, n)]
+        k, c = np.unique(item * rows + np.repeat(row[part], n), return_counts=True)
+        keys.append(k)
+        times.append(c)
+    key, times = np.concatenate(keys), np.concatenate(times)
+    if len(keys) > 1:
+        key, inverse = np.unique(key, return_inverse=True)
+        times = np.bincount(inverse, times).astype("i8")
+    total = np.concatenate(([0], np.cumsum(times)))
+    item = key // rows
+    # a window that passes has all its head words in the window that begins at its first one
+    starts = total[np.searchsorted(key, key + space.wide[item])] - total[:-1] >= space.need[item]
+    key, wide, all_keys = key[starts], space.wide[item[starts]], key
+    back = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    item, w = np.repeat(key // rows, wide), np.repeat(key % rows, wide) - back
+    item, w = item[w >= 0], w[w >= 0]
+    window = np.unique(item * rows + w)
+    item = window // rows
+    enough = total[np.searchsorted(all_keys, window + space.wide[item])] - total[np.searchsorted(all_keys, window)] >= space.need[item]
+    return window[enough] % rows, item[enough]
+
+
+def fit(docs: DataFrame, items: list[tuple[object, str]], rank: int = 128, extra: int = 16, share: float = 0.6) -> Space:
     """The latent space of the corpus for a block of items (id, text)."""
     cut = [words(t) for _, t in items]
     vocab = {w: i for i, w in enumerate(sorted({w for c in cut for w in c}))}
@@ -245,6 +304,8 @@ def fit(docs: DataFrame, items: list[tuple[object, str]], rank: int = 128, extra
     for s in sorted(set(wide[sizes > 0].tolist())):
         at = np.flatnonzero((wide == s) & (sizes > 0))
         space.groups[s] = at, vectors[at].astype("f4")
+    space.wide = wide
+    _heads(space, df, share)
     return space
 
 
@@ -260,14 +321,13 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
             continue
         use = np.flatnonzero(ids >= 0)
         use = use[space.idf[ids[use]] > 0]
-        if not len(use):
-            continue
         # empty chunks after each text, as many as the widest window reaches, so that no window joins two texts
         gap = max(space.groups) - 1
         doc = np.repeat(np.arange(len(part)), np.diff(first))
         row = np.arange(first[-1]) + doc * gap
         sums = np.zeros((int(first[-1]) + (len(part) + 1) * gap + 1, space.basis.shape[1]), "f4")
         _added(sums, row[chunk[use]], weighted, ids[use])
+        counted_w, counted_j = _counted(ids, row[chunk], len(sums), space)
         found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
         window, reach = sums.copy(), 1
         for s, (numbers, vectors) in sorted(space.groups.items()):
@@ -277,7 +337,10 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
             norm = np.sqrt(np.einsum("ij,ij->i", window, window))
             norm[norm < 1e-9] = np.inf
             dots = window @ vectors.T
-            for w, j in zip(*(x.tolist() for x in np.nonzero(dots >= (least * norm)[:, None])), strict=True):
+            candidates = dots >= (least * norm)[:, None]
+            of = space.wide[counted_j] == s
+            candidates[counted_w[of], np.searchsorted(numbers, counted_j[of])] = True
+            for w, j in zip(*(x.tolist() for x in np.nonzero(candidates)), strict=True):
                 i = int(np.searchsorted(row, w, side="right")) - 1
                 if i >= 0 and row[i] == w:
                     d = int(doc[i])
@@ -326,7 +389,7 @@ def search(
     for k in range(blocks):
         rows = numbered.where(F.col("block") == k).orderBy("item_id", "text").collect()
         if rows:
-            spaces.append(fit(docs, [(r["item_id"], r["text"]) for r in rows], rank))
+            spaces.append(fit(docs, [(r["item_id"], r["text"]) for r in rows], rank, share=min(verbatim, paraphrase)))
     out = docs.select(*keep, F.col("text").alias("_text"), F.expr(f"cast(array() as {LEAKS})").alias("leaks"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     for space in spaces:

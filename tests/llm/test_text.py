@@ -144,6 +144,42 @@ def test_nothing_to_search(bench):
     assert decontam.leaks(docs, items.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), items).count() == 0
 
 
+def test_items_in_a_third_of_the_documents(spark):
+    """Words that copies of their own item make frequent weigh nothing or little in the space."""
+    rng = random.Random(9)
+    text = lambda n, k: " ".join(f"w{rng.randrange(k)}" for _ in range(n))
+    items = [(1, ITEM), *[(i, text(40, 2000)) for i in range(2, 40)]]
+    for every in (3, 12):  # a third of the documents, and just below a tenth of the passages
+        docs = [(i, text(70, 2000) + (" " + ITEM + " " if i % every == 0 else " ") + text(70, 2000)) for i in range(240)]
+        got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got.collect()) == [(i, 1, "copy") for i in range(0, 240, every)]
+
+
+def test_a_single_document(spark):
+    docs = spark.createDataFrame([(1, f"some words before {ITEM} and after")], "doc_id long, text string")
+    got = decontam.leaks(docs, spark.createDataFrame([(7, ITEM), (8, "nothing of this stands in any of the documents")], "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"], r["kind"]) for r in got.collect()] == [(1, 7, "copy")]
+
+
+def test_counted_windows_hold_every_passing_one():
+    rng = random.Random(4)
+    for _ in range(30):
+        cut = [[b"%d" % rng.randrange(12) for _ in range(rng.randint(1, 40))] for _ in range(6)]
+        vocab = {w: i for i, w in enumerate(sorted({w for c in cut for w in c}))}
+        space = decontam.Space(vocab, np.zeros(0), np.zeros((0, 1)), list(range(6)), cut, cut)
+        space.wide = np.array([-(-(len(c) - 1) // 16) + 1 for c in cut])
+        decontam._heads(space, np.array([rng.randrange(5) for _ in vocab]), 0.6)
+        text = [b"%d" % rng.randrange(14) for _ in range(300)]
+        text[50 : 50 + len(cut[0])] = cut[0]
+        ids, row = np.array([vocab.get(w, -1) for w in text]), np.arange(len(text)) // 16
+        for most in (7, 4_000_000):
+            got = set(zip(*(x.tolist() for x in decontam._counted(ids, row, 30, space, most)), strict=True))
+            for j, c in enumerate(cut):
+                for w in range(19):
+                    share = decontam.common(decontam.places(c), len(c), text[w * 16 : (w + int(space.wide[j])) * 16]) / len(c)
+                    assert share < 0.6 or (w, j) in got
+
+
 def test_lcs():
     def plain(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
