@@ -161,6 +161,23 @@ def test_a_single_document(spark):
     assert [(r["doc_id"], r["item_id"], r["kind"]) for r in got.collect()] == [(1, 7, "copy")]
 
 
+def test_paraphrases_next_to_each_other(spark):
+    """Items one after the other with up to 38 % of their words replaced, the answers kept."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(i, f"{text(rng.randint(12, 40))}. {text(rng.randint(4, 8))}") for i in range(60)]
+
+    def paraphrase(t):
+        w, kept = t.split(), len(decontam.answer(t))
+        for k in rng.sample(range(len(w) - kept), min(len(w) - kept, int(0.38 * len(w)))):
+            w[k] = f"w{rng.randrange(3000)}"
+        return " ".join(w)
+
+    docs = [(0, " ".join(paraphrase(t) for _, t in items)), *[(i, text(200)) for i in range(1, 300)]]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(0, i) for i in range(60)]
+
+
 def test_counted_windows_hold_every_passing_one():
     rng = random.Random(4)
     for _ in range(30):
