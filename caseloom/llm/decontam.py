@@ -18,7 +18,7 @@
 4. Each candidate window is checked by the longest common subsequence of its
    words and the item's.  A common subsequence of ``verbatim`` of the item's words
    is a copy; one of ``paraphrase`` of them is a paraphrase if the item's answer
-   (its last sentence) is in the window too.
+   (its last sentence) is in the window too.  One window that meets the conditions is enough.
 
 Items are taken in blocks of ``items_a_block``, so what a task holds (a block's
 vocabulary, vectors and words) is bounded.
@@ -354,16 +354,17 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
             target, reply = space.items[item], space.answers[item]
             if item not in masks:
                 masks[item] = places(target)
-            best = (0.0, 0.0, 0.0)  # of the window with the longest common subsequence: its share, the answer's, the cosine
+            reply_masks = places(reply)
+            best = (0.0, 0.0)  # of the window that passes with the longest common subsequence: its share, the cosine
             for cosine_at, c0, s in sorted(spots, reverse=True):
                 segment = own[c0 * CHUNK : (c0 + s) * CHUNK]
                 share = common(masks[item], len(target), segment, paraphrase * len(target)) / len(target)
-                if share > best[0]:
-                    best = (share, common(places(reply), len(reply), segment) / len(reply), cosine_at)
+                if share > best[0] and (share >= verbatim or (share >= paraphrase and common(reply_masks, len(reply), segment) / len(reply) >= verbatim)):
+                    best = (share, cosine_at)
                 if share >= verbatim:
                     break
-            share, replied, cosine_at = best
-            if share >= verbatim or (share >= paraphrase and replied >= verbatim):
+            share, cosine_at = best
+            if share > 0:
                 out[at + d].append({"item_id": space.ids[item], "cosine": cosine_at, "lcs": share, "kind": "copy" if share >= verbatim else "paraphrase"})
     return out
 

@@ -178,6 +178,19 @@ def test_paraphrases_next_to_each_other(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(0, i) for i in range(60)]
 
 
+def test_the_answer_need_not_be_in_the_longest_match(spark):
+    """The question alone in one place, a paraphrase with the answer, of fewer of the words, in another."""
+    w = ITEM.split()
+    question = " ".join(w[:19])
+    para = " ".join("indeed" if i % 2 and i < 18 else x for i, x in enumerate(w))
+    far = " ".join(f"x{i}" for i in range(200))
+    docs = [(1, f"{question} {far} {para}"), (2, f"{question} {far}"), (3, f"{far} {para}")]
+    size, masks = len(w), decontam.places(decontam.words(ITEM))
+    assert 0.8 > decontam.common(masks, size, decontam.words(question)) / size > decontam.common(masks, size, decontam.words(para)) / size >= 0.6
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["kind"]) for r in got.collect()) == [(1, "paraphrase"), (3, "paraphrase")]
+
+
 def test_counted_windows_hold_every_passing_one():
     rng = random.Random(4)
     for _ in range(30):
