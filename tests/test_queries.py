@@ -37,6 +37,15 @@ def test_query(spark, small, duck, name):
         assert rows == sorted(tuple(plain(x[i]) for i in at) for x in want.fetchall())
 
 
+def test_entry_guard_judges_every_time_entry(spark, small, duck):
+    from caseloom.plans.catalog import with_domain
+
+    want = duck.sql(with_domain("SELECT case_id, user_id, line, minutes, NOT invoiced AS may_delete FROM time_entries"))
+    cols = want.columns
+    got = QUERIES["entry_guard"](spark, small).select(*cols).collect()
+    assert sorted(tuple(map(plain, r)) for r in got) == sorted(tuple(map(plain, r)) for r in want.fetchall())
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
 
