@@ -13,6 +13,10 @@
    that is read round and round and cut into blocks of as many words as a slot
    holds; the slot of rank r takes block r.  ``mix`` gives what that takes of
    each document, ``pieces`` joins the blocks to their slots.
+5. Remainders.  A slot holds more words the larger the corpus, so a source of a
+   small target may have no slot, or one too many.  A source that the schedule
+   leaves off its target by more than ``OFF`` of it (and a word) takes its target,
+   rounded; its blocks beyond its own slots share slots spread over the mix.
 
 A source's words are numbered by two-level prefix sums (hash ranges, then rows
 of a range), so no task sees a whole source.  Everything here is DataFrame
@@ -35,6 +39,8 @@ STEP = 1327217885
 CELLS = 4096
 #: Up to so many sources their table (a row each) is broadcast, else joined by shuffle.
 MOST_BROADCAST = 20_000
+#: The share of its target by which the schedule may leave a source off it.
+OFF = 0.001
 
 
 def words(text: Column) -> Column:
@@ -88,6 +94,19 @@ def schedule(spark, per_source: DataFrame, n_slots: int) -> DataFrame:
     return slots.join(cells, "cell").where("u >= lo and u < hi").select("slot", "k")
 
 
+def amounts(per_source: DataFrame, taken: DataFrame, slots: int, max_epochs: int) -> DataFrame:
+    """``per_source`` with n_slots, block (words a slot) and words_taken; taken: (k, n_slots) of the sources with slots."""
+    scheduled = F.least(F.round(F.col("n_slots") * F.col("block")).cast("long"), F.col("source_size") * max_epochs)
+    off = F.abs(scheduled - F.col("target")) > F.greatest(F.lit(1.0), F.col("target") * OFF)
+    return (
+        per_source.join(taken.select(F.col("k").alias("t_k"), F.col("n_slots").alias("t_n")), F.col("k") == F.col("t_k"), "left")
+        .withColumn("n_slots", F.coalesce("t_n", F.lit(0).cast("long")))
+        .withColumn("block", F.col("total") / slots)
+        .withColumn("words_taken", F.when(off, F.round("target").cast("long")).otherwise(scheduled))
+        .drop("t_k", "t_n")
+    )
+
+
 def ranked(slots: DataFrame, stretch: int = 1 << 16) -> DataFrame:
     """Adds rank: the slot's place among its source's slots, from 0.
 
@@ -143,11 +162,8 @@ def mix(
     sizes = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *extra)
     per = targets(sizes.select("source", "size"), weights, max_epochs)
     per, path = saved(per, "sources")
-    taken = ranked(schedule(spark, per, slots)).groupBy("k").agg(F.max("rank").alias("last"))
-    per = per.join(taken.withColumnRenamed("k", "t_k"), F.col("k") == F.col("t_k"), "left").select(
-        F.col("source").alias("s_source"), "k", "source_size", "n_docs", "target",
-        F.coalesce(F.col("last") + 1, F.lit(0)).alias("n_slots"), (F.col("total") / slots).alias("block"),
-    ).withColumn("words_taken", F.least(F.round(F.col("n_slots") * F.col("block")).cast("long"), F.col("source_size") * max_epochs))
+    taken = schedule(spark, per, slots).groupBy("k").agg(F.count("*").alias("n_slots"))
+    per = amounts(per, taken, slots, max_epochs).select(F.col("source").alias("s_source"), "k", "source_size", "n_docs", "target", "words_taken")
     per, _ = saved(per, "sources")
     drop(spark, path)
     if per.count() <= MOST_BROADCAST:
@@ -167,12 +183,15 @@ def pieces(mixed: DataFrame, slots: int = 1 << 20, weights: tuple[int, ...] = (1
     """(slot, source, doc_id, first, n): which words of which document each slot of the mix holds.
 
     ``mixed``: the result of mix().  A document's copies in each epoch are cut at the block borders
-    and joined to the slots on (source number, block number).
+    and joined to the slots on (source number, block number); blocks without one share a slot with others.
     """
     spark = mixed.sparkSession
     per = targets(mixed.select("source", "size"), weights, max_epochs)
     slot = ranked(schedule(spark, per, slots)).withColumnRenamed("rank", "block_no")
-    sides = per.select(F.col("source").alias("s_source"), "k", (F.col("total") / slots).alias("block"))
+    sides = amounts(per, slot.groupBy("k").agg(F.count("*").alias("n_slots")), slots, max_epochs).select(
+        F.col("source").alias("s_source"), "k", "block", "n_slots",
+        F.greatest(F.lit(1), F.ceil(F.col("words_taken") / F.col("block")) - F.col("n_slots")).cast("long").alias("more"),
+    )
     d = mixed.where("taken > 0").join(sides, F.col("source").eqNullSafe(F.col("s_source")))
     d = d.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))))
     d = d.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start")).withColumn(
@@ -183,6 +202,8 @@ def pieces(mixed: DataFrame, slots: int = 1 << 20, weights: tuple[int, ...] = (1
         "block_no", F.explode(F.sequence(F.greatest(F.floor(F.col("from") / F.col("block")) - 1, F.lit(0)), F.floor(F.col("to") / F.col("block")) + 1))
     )
     d = d.withColumn("lo", F.greatest("from", border(F.col("block_no")))).withColumn("hi", F.least("to", border(F.col("block_no") + 1)))
-    return d.where("lo < hi").join(slot, ["k", "block_no"]).select(
-        "slot", "source", "doc_id", (F.col("lo") - F.col("from")).alias("first"), (F.col("hi") - F.col("lo")).alias("n")
+    # the j-th of a source's ``more`` blocks without a slot of their own: spread evenly, from another place for each source
+    spread = F.expr(f"((bigint(k) * {STEP} + ((block_no - n_slots) * {LATTICE}) div more) % {LATTICE}) * {slots} div {LATTICE}")
+    return d.where("lo < hi").join(slot, ["k", "block_no"], "left").select(
+        F.coalesce("slot", spread).alias("slot"), "source", "doc_id", (F.col("lo") - F.col("from")).alias("first"), (F.col("hi") - F.col("lo")).alias("n")
     )

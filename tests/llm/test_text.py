@@ -98,6 +98,21 @@ def test_mix_keeps_to_targets(spark, mixed):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_small_sources_beside_a_huge_one(spark):
+    """Slots of 980 words: sources with targets far under one take their targets, and have their pieces."""
+    rows = [(i, "w " * 10_000, "huge") for i in range(100)] + [(1000 + i, "a b c " * (i + 1), f"tiny{i:02}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = mixing.mix(df, slots=1 << 10)
+    per = m.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("copies")).collect()
+    assert len(per) == 41 and all(abs(r["taken"] - r["target"]) <= max(1, 0.001 * r["target"]) and r["copies"] > 0 for r in per)
+    got = mixing.pieces(m, slots=1 << 10).collect()
+    held = Counter()
+    for r in got:
+        held[r["doc_id"]] += r["n"]
+    assert all(0 <= r["slot"] < 1 << 10 for r in got) and all(abs(held[r["doc_id"]] - r["taken"]) <= 1 for r in m.collect())
+    assert len({r["slot"] for r in got if r["source"] != "huge"}) > 20
+
+
 def test_pieces_hold_what_was_taken(spark, mixed):
     _, df = mixed
     m = mixing.mix(df.where("doc_id is not null and doc_id <> 5"), slots=1 << 12)
