@@ -216,15 +216,14 @@ def classes(docs: DataFrame, bits: int = 2, shingle: int = 3, bucket: int = 64)
     """(doc_id, fp, component_id) of every row of docs."""
     d, _ = saved(fingerprints(docs, shingle), "fingerprints")
     reps, reps_path = saved(d.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct_fp")
-    found = links(reps, bits, bucket)
-    a, b = reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    # a document id with several fingerprints is one node
-    several = d.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("doc_id")
-    several = d.join(several, "doc_id").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = found.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    edges = edges.union(several)
-    comp = components(edges)
-    ids, _ = saved(reps.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "fp_component")
+    # the nodes are fingerprints, which are never null; those of a document id with several are linked
+    several = d.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low")).join(d, "doc_id")
+    several = several.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    comp = components(links(reps, bits, bucket).union(several))
+    of, of_path = saved(reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("class")), "fp_class")
+    names = of.groupBy("class").agg(F.min("rep").alias("component_id"))
+    ids, _ = saved(of.join(names, "class").select("fp", "component_id"), "fp_component")
+    drop(docs.sparkSession, of_path)
     drop(docs.sparkSession, reps_path)
     return d.join(ids, "fp").select("doc_id", "fp", "component_id")
 

@@ -109,6 +109,23 @@ def test_document_classes(spark):
     assert simhash.classes(docs.limit(0)).count() == 0 and simhash.representatives(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """Fingerprints 0, 3, 15 and 63: each two bits from the next; the two in the middle have no doc_id."""
+    fps = {"a": 0, "b": 3, "c": 15, "d": 63, "e": 4095 << 40, "f": (4095 << 40) | 1}
+    rows = [(4, "a"), (None, "b"), (None, "c"), (9, "d"), (None, "e"), (None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def planted(docs, shingle=3, keep=()):
+        fp = F.coalesce(*[F.when(F.col("text") == t, F.lit(x)) for t, x in fps.items()]).cast("long")
+        return docs.select(*keep, "doc_id", fp.alias("fp"))
+
+    monkeypatch.setattr(simhash, "fingerprints", planted)
+    got = {(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.classes(docs).collect()}
+    assert got == {(i, fps[t], None if t in "ef" else 4) for i, t in rows}
+    kept = sorted(r["text"] for r in simhash.representatives(docs).collect())
+    assert kept == ["a", "e", "f"]
+
+
 @pytest.fixture(scope="module")
 def vectors():
     rng = np.random.default_rng(2)
