@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets no Arrow batch of this session hold more than so many rows, since their texts may be long.
+def slices(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches in slices of at most so many rows, for what a task makes of a slice is larger than its texts.
 
-    A smaller setting stays.  (The plan reads the setting when it runs, so it is left in place.)"""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if not 0 < now <= rows:
-        spark.conf.set(name, str(rows))
+    (Spark bounds the bytes of a batch by spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default.)"""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -12,13 +12,14 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import accumulate, chain, filterfalse
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np  # noqa: E402
 
-#: Pieces that a worker remembers; beyond it starts afresh.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers at most, in two generations.
+REMEMBERED = 800_000
 _BATCH = 64
 _SURE = re.compile(r"(?<=[^\s])(?= [^\s])")
 _SPACES = tuple("\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
@@ -35,8 +36,8 @@ def _tokenizer(path: str):
     return t
 
 
-def _parts(texts: list, size: int = 1_000_000):
-    """Consecutive texts of about that many characters together, so that their pieces fit in memory."""
+def _parts(texts: list, size: int = 100_000):
+    """Consecutive texts of about that many characters together, so that their pieces fit in memory (and mostly in cache)."""
     part, n = [], 0
     for t in texts:
         part.append(t)
@@ -57,18 +58,46 @@ def _plain(text: str) -> bool:
     return text.isascii() or not any(c in text for c in _WIDE)
 
 
-class Encoder:
+class _Pieces:
+    """What is known of pieces, in two generations: when the younger is full it becomes the elder one, whose place it takes;
+    pieces that are met again come back to the younger.  So frequent pieces stay and rare ones go; memory is bounded by
+    REMEMBERED and the pieces of one part of texts."""
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+        self._elder: dict = {}
+
+    def _learn(self, pieces: list) -> None:
+        raise NotImplementedError
+
+    def _values(self, cut: list[list]) -> list[list]:
+        """What is known of each piece of each text; new pieces are learnt."""
+        flat = list(chain.from_iterable(cut))
+        out = list(map(self.known.get, flat))
+        if missing := [i for i, v in enumerate(out) if v is None]:
+            new = {flat[i] for i in missing}
+            if len(self.known) + len(new) > REMEMBERED // 2:
+                self.known, self._elder = {}, self.known
+            back = list(filter(self._elder.__contains__, new))
+            self.known.update(zip(back, map(self._elder.__getitem__, back)))
+            if rest := list(filterfalse(self._elder.__contains__, new)):
+                self._learn(rest)
+            for i in missing:
+                out[i] = self.known[flat[i]]
+        ends = list(accumulate(map(len, cut)))
+        return [out[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+
+class Encoder(_Pieces):
     """ids of texts by a byte-level BPE without normalizer whose regular expression is the usual one (byte_bpe_50k)."""
 
     def __init__(self, path: str, dtype: str = "<u2"):
+        super().__init__()
         self.tokenizer, self.dtype = _tokenizer(path), dtype
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
         """A piece that starts with NUL stands for itself, others follow a space."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
         whole = [p[1:] if p[:1] == "\x00" else " " + p for p in pieces]
         sep = [i for i, p in enumerate(whole) if not p or p.isspace() or "\n" in p]
         odd = set(sep)
@@ -100,28 +129,17 @@ class Encoder:
         return [x for part in _parts(texts) for x in self._encode(part)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        known = self.known
-        new = {p for c in cut for p in c if p not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = {p for c in cut for p in c}
-            for n in range(0, len(pieces := list(new)), REMEMBERED):
-                self._learn(pieces[n : n + REMEMBERED])
-        if len(new) > REMEMBERED:  # one batch with more pieces than are remembered
-            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes() for t in texts]
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
-
-
-class Counter:
+        return list(map(b"".join, self._values([self.cut(t) for t in texts])))
+
+
+class Counter(_Pieces):
     """Numbers of tokens by a tokenizer that drops white space between words (word_bpe_49k)."""
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = _tokenizer(path)
         self.mark_text = "<|startoftext|>"
         self.mark = self.tokenizer.token_to_id(self.mark_text)
-        self.known: dict[bytes, int] = {}
 
     def _learn(self, pieces: list[bytes]) -> None:
         texts = [p.decode() for p in pieces]
@@ -142,12 +160,4 @@ class Counter:
         return [n for part in _parts(texts) for n in self._count(part)]
 
     def _count(self, texts: list[bytes]) -> list[int]:
-        cut = [t.split() for t in texts]
-        new = {p for c in cut for p in c if p not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {p for c in cut for p in c}
-        if new:
-            self._learn(list(new))
-        known = self.known
-        return [sum(map(known.__getitem__, c)) for c in cut]
+        return list(map(sum, self._values([t.split() for t in texts])))

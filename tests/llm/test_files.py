@@ -93,6 +93,40 @@ def test_shards_round_trip(spark, library):
     assert found == sorted((str(i), n) for i in (5, 1, None, ODD_KEY) for n, _ in want[i])
 
 
+def test_a_shard_is_opened_and_a_key_found_by_a_bounded_number_of_bytes(spark):
+    taken = []
+    for n in (100, 20_000):
+        docs = spark.range(n).selectExpr("id * 7 AS doc_id", "concat('text ', id) AS text").coalesce(1)
+        manifest, _ = tokenfile.write(docs, tokenizer("byte_bpe_50k.json"), 2)
+        shards = [tokenfile.Shard(r["file"]) for r in manifest.orderBy("part").collect()]
+        opened = max(s.taken for s in shards)
+        assert opened == tokenfile._FOOTER.size
+        shard = shards[-1]
+        keys = [int(shard.doc_ids[i]) for i in (0, len(shard.doc_ids) // 2, len(shard.doc_ids) - 1)] + [5, -1]
+        before, most = 0, 0
+        for k in keys:
+            before = shard.taken
+            first, last = shard.locate(k)
+            assert last - first == (k % 7 == 0)
+            if last > first:
+                assert len(shard.ids(first, last)) > 1
+            most = max(most, shard.taken - before)
+        taken.append(most)
+    assert taken[1] <= taken[0] + 200  # a few more levels of the index at most
+
+
+def test_equal_ids_over_many_shards_keep_one_order(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    rows = [(5, f"text {i % 40} " * (i % 40)) for i in range(400)] + [(None, f"none {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = []
+    for parts in (3, 7):
+        manifest, _ = tokenfile.write(docs.repartition(parts), tokenizer("byte_bpe_50k.json"), 2)
+        runs.append(sorted((r["start"], r["ids_crc32"], r["doc_id"] or 0) for r in tokenfile.read(spark, manifest).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert runs[0] == runs[1] and len(runs[0]) == 600
+
+
 def test_no_documents_no_shards(spark):
     manifest, _ = tokenfile.write(spark.createDataFrame([], "doc_id long, text string"), tokenizer("byte_bpe_50k.json"), 2)
     assert manifest.count() == 0 and tokenfile.read(spark, manifest).count() == 0
