@@ -22,7 +22,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import bounded_batches, new_path
+from .shared import new_path, slices
 
 CACHE = "digest binary, version string, n_tokens long"
 
@@ -80,7 +80,6 @@ def count(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int
     ``cache``: folder of the cache table, made if it isn't there (None: a new one).
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     cache = cache or new_path(spark, "token_counts")
     key, spaces = version(tokenizer), drops_space(tokenizer)
     text = normalised(F.col("text"), spaces)
@@ -91,7 +90,7 @@ def count(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int
     misses = named.groupBy("digest").agg(F.max(F.col("text").cast("binary")).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             n = _count(tokenizer, spaces, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([key] * len(n)), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
 

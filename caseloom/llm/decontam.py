@@ -39,7 +39,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import bounded_batches
+from .shared import slices
 
 PASSAGE, CHUNK = 64, 16
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -136,7 +136,7 @@ def _frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[int, np.ndar
 
     def run(batches):
         df = np.zeros(terms + 1, "i8")
-        for b in batches:
+        for b in slices(batches):
             for _, part in _batches(b.column("text").to_pylist()):
                 ids, n = _tokens(part, sent.value)
                 piece, first = _pieces(n, PASSAGE)
@@ -194,7 +194,7 @@ def _sketch(docs: DataFrame, vocab: dict[bytes, int], idf: np.ndarray, test: np.
     def run(batches):
         words_of, weights, omega = sent.value
         z = np.zeros(omega.shape, "f4")
-        for b in batches:
+        for b in slices(batches):
             for _, part in _batches(b.column("text").to_pylist()):
                 ids, n = _tokens(part, words_of)
                 _gram(ids, _pieces(n, PASSAGE)[0], weights, omega, z)
@@ -381,7 +381,6 @@ def search(
 ) -> DataFrame:
     """``keep`` columns of every document and leaks (LEAKS), empty for clean ones."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.count()
     blocks = max(1, -(-total // items_a_block))
@@ -397,7 +396,7 @@ def search(
         sent = spark.sparkContext.broadcast(space)
 
         def run(batches, sent=sent):
-            for b in batches:
+            for b in slices(batches):
                 before = b.column("leaks").to_pylist()
                 new = _search(b.column("_text").to_pylist(), sent.value, least, verbatim, paraphrase)
                 leaks = pa.array([x + y for x, y in zip(before, new, strict=True)], _ARROW)

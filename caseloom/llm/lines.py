@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import bounded_batches, drop, saved
+from .shared import drop, saved, slices
 
 
 def _ranks(pairs: DataFrame, cols: list[str]) -> tuple[DataFrame, str]:
@@ -73,7 +73,6 @@ _LINES = "uid long, doc_id long, text_hash long, line int, number int, h1 long,
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
     """Every non-blank line (_LINES): line counts non-blank lines, number all lines of the text; h1, h2 are a 128-bit hash."""
-    bounded_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
@@ -82,7 +81,7 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
 
         uid = TaskContext.get().partitionId() << 33
         names = [c.split()[0] for c in _LINES.split(", ")]
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in names]
             for doc_id, text_hash, text in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text"), strict=True):
                 kept = [(i, s) for i, s in enumerate(x.strip(_SPACE) for x in text.as_py().split(b"\n")) if s]

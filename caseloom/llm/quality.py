@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import bounded_batches
+from .shared import slices
 
 BITS = 16
 SIZE = (1 << BITS) + 4
@@ -148,11 +148,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _featured(df: DataFrame, keep: list[str]) -> DataFrame:
-    bounded_batches(df.sparkSession)
     d = df.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x = pa.array([features(t.as_py()) for t in b.column("text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), x], [*keep, "x"])
 
@@ -182,12 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, **how) -> Mode
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns of every row and its score."""
-    bounded_batches(docs.sparkSession)
     d = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: two arrays of 2^BITS
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             m = sent.value
             s = np.fromiter((m.score(features(t.as_py())) for t in b.column("_text")), "f8", count=b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s)], [*keep, "score"])

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import components
-from .shared import bounded_batches, drop, saved
+from .shared import drop, saved, slices
 
 _CHUNK = 200_000
 
@@ -63,11 +63,10 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., doc_id, fp): fp holds the 64 bits as a long."""
-    bounded_batches(docs.sparkSession)
     d = docs.select(*keep, "doc_id", F.col("text").cast("binary").alias("_text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("_text")), "u8", count=b.num_rows)
             cols = [b.column(c) for c in (*keep, "doc_id")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(fp.view("i8"))], [*keep, "doc_id", "fp"])
