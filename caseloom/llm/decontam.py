@@ -2,8 +2,9 @@
 
 1. Passages of ``PASSAGE`` words of every document become TF-IDF vectors over
    the words of the benchmark (other words cannot match an item).  Document
-   frequencies are counted over the whole corpus; a word in over a tenth of all
-   passages weighs nothing.
+   frequencies are counted over the whole corpus and smoothed, so that a word of
+   most passages weighs little, but never nothing: an item that is copied into a
+   third of all documents still has a vector of its own.
 2. A randomised SVD: every partition multiplies its part of the passages' Gram
    matrix into one Gaussian test matrix, the products are summed by term, and a
    Nystroem step gives the leading right singular vectors.  The items' own vectors take
@@ -21,11 +22,12 @@
    (its last sentence) is in the window too.  One window that meets the conditions is enough.
 
 Items are taken in blocks of ``items_a_block``, so what a task holds (a block's
-vocabulary, vectors and words) is bounded.
+vocabulary, vectors and words) is bounded.  Several blocks are searched one after
+the other; each writes its leaks and is released before the next.
 
 Edge cases: null or empty texts have no leaks; items without words match
-nothing; an item whose words are all frequent has cosine 0; repeated rows have the same leaks; items with equal texts are each
-reported; an empty benchmark or corpus gives no leaks; other columns are ignored.
+nothing; repeated rows have the same leaks; items with equal texts are each
+reported; a very long text is compared a stretch of chunks at a time; an empty benchmark or corpus gives no leaks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +41,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import slices
+from .shared import saved, slices
 
 PASSAGE, CHUNK = 64, 16
+#: Chunks that are compared with all items of a block at once.
+STRETCH = 4096
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -146,6 +150,7 @@ def _frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[int, np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(df[hit])], ["term", "n"])
 
     got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    sent.destroy()
     df = np.zeros(terms + 1, "i8")
     df[got["term"].to_numpy("i8")] = got["n"].to_numpy("i8")
     return int(df[terms]), df[:terms]
@@ -215,6 +220,7 @@ def _sketch(docs: DataFrame, vocab: dict[bytes, int], idf: np.ndarray, test: np.
     out = np.zeros(test.shape)
     for r in parts.groupBy("part").applyInPandas(total, "term long, row binary").collect():  # one row a term
         out[r["term"]] = np.frombuffer(r["row"], "<f4")
+    sent.destroy()
     return out
 
 
@@ -291,7 +297,7 @@ def fit(docs: DataFrame, items: list[tuple[object, str]], rank: int = 128, extra
     if not vocab:
         return space
     n, df = _frequencies(docs, vocab)
-    space.idf = np.maximum(0.0, np.log((n + 10) / (10 * df + 10.0))).astype("f4")
+    space.idf = np.log(1 + (n + 1) / (4 * (df + 1.0))).astype("f4")  # from 0.22 up
     test = np.random.default_rng(5).standard_normal((len(vocab), min(rank + extra, len(vocab)))).astype("f4")
     z = _sketch(docs, vocab, space.idf, test) / max(1, n)
     ids, sizes = np.concatenate([[vocab[w] for w in c] for c in cut if c]).astype("i4"), np.array([len(c) for c in cut])
@@ -329,22 +335,28 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
         _added(sums, row[chunk[use]], weighted, ids[use])
         counted_w, counted_j = _counted(ids, row[chunk], len(sums), space)
         found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-        window, reach = sums.copy(), 1
-        for s, (numbers, vectors) in sorted(space.groups.items()):
-            while reach < s:
-                window[:-reach] += sums[reach:]
-                reach += 1
-            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-            norm[norm < 1e-9] = np.inf
-            dots = window @ vectors.T
-            candidates = dots >= (least * norm)[:, None]
-            of = space.wide[counted_j] == s
-            candidates[counted_w[of], np.searchsorted(numbers, counted_j[of])] = True
-            for w, j in zip(*(x.tolist() for x in np.nonzero(candidates)), strict=True):
-                i = int(np.searchsorted(row, w, side="right")) - 1
-                if i >= 0 and row[i] == w:
-                    d = int(doc[i])
-                    found.setdefault((d, int(numbers[j])), []).append((float(dots[w, j] / norm[w]), i - int(first[d]), s))
+        order = np.argsort(counted_w, kind="stable")
+        counted_w, counted_j = counted_w[order], counted_j[order]
+        for r0 in range(0, len(sums), STRETCH):
+            window, reach = sums[r0 : r0 + STRETCH].copy(), 1
+            near = slice(*np.searchsorted(counted_w, [r0, r0 + STRETCH]))
+            for s, (numbers, vectors) in sorted(space.groups.items()):
+                while reach < s:
+                    more = sums[r0 + reach : r0 + reach + len(window)]
+                    window[: len(more)] += more
+                    reach += 1
+                norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+                norm[norm < 1e-9] = np.inf
+                dots = window @ vectors.T
+                candidates = dots >= (least * norm)[:, None]
+                of = space.wide[counted_j[near]] == s
+                candidates[counted_w[near][of] - r0, np.searchsorted(numbers, counted_j[near][of])] = True
+                at_w, at_j = np.nonzero(candidates)
+                i = np.searchsorted(row, at_w + r0, side="right") - 1
+                real = (i >= 0) & (row[np.maximum(i, 0)] == at_w + r0)
+                at_w, at_j, i = at_w[real], at_j[real], i[real]
+                for d, j, cosine, c0 in zip(doc[i].tolist(), numbers[at_j].tolist(), (dots[at_w, at_j] / norm[at_w]).tolist(), (i - first[doc[i]]).tolist(), strict=True):
+                    found.setdefault((d, j), []).append((cosine, c0, s))
         cut: dict[int, list[bytes]] = {}
         masks: dict[int, dict] = {}
         for (d, item), spots in sorted(found.items()):
@@ -382,28 +394,41 @@ def search(
     """``keep`` columns of every document and leaks (LEAKS), empty for clean ones."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    total = items.count()
-    blocks = max(1, -(-total // items_a_block))
+    blocks = max(1, -(-items.count() // items_a_block))
     numbered = items.withColumn("block", F.expr(f"cast(pmod(xxhash64(item_id, text), {blocks}) as int)"))
-    spaces = []
-    for k in range(blocks):
+
+    def space_of(k: int, over: DataFrame) -> Space | None:
         rows = numbered.where(F.col("block") == k).orderBy("item_id", "text").collect()
-        if rows:
-            spaces.append(fit(docs, [(r["item_id"], r["text"]) for r in rows], rank, share=min(verbatim, paraphrase)))
-    out = docs.select(*keep, F.col("text").alias("_text"), F.expr(f"cast(array() as {LEAKS})").alias("leaks"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    for space in spaces:
-        sent = spark.sparkContext.broadcast(space)
+        return fit(over, [(r["item_id"], r["text"]) for r in rows], rank, share=min(verbatim, paraphrase)) if rows else None
 
-        def run(batches, sent=sent):
+    def searched(d: DataFrame, kept: list[str], sent) -> DataFrame:
+        def run(batches):
             for b in slices(batches):
-                before = b.column("leaks").to_pylist()
                 new = _search(b.column("_text").to_pylist(), sent.value, least, verbatim, paraphrase)
-                leaks = pa.array([x + y for x, y in zip(before, new, strict=True)], _ARROW)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*keep, "_text")), leaks], [*keep, "_text", "leaks"])
-
-        out = out.mapInArrow(run, schema)
-    return out.drop("_text")
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(new, _ARROW)], [*kept, "leaks"])
+
+        d = d.select(*kept, "_text")
+        return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.drop("_text").schema) + f", leaks {LEAKS}")
+
+    d = docs.select(*keep, F.col("text").alias("_text"))
+    if blocks == 1:
+        space = space_of(0, docs)
+        if space is None:
+            return d.select(*keep, F.expr(f"cast(array() as {LEAKS})").alias("leaks"))
+        return searched(d, keep, spark.sparkContext.broadcast(space))  # bounded by items_a_block
+    # rows get numbers in a written table, leaks of each block are written (few), and all meet by number
+    d, _ = saved(d.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    found = None
+    for k in range(blocks):
+        space = space_of(k, d.select(F.col("_text").alias("text")))
+        if space is None:
+            continue
+        sent = spark.sparkContext.broadcast(space)
+        part, _ = saved(searched(d, ["_row"], sent).where("size(leaks) > 0"), "leaks")
+        sent.destroy()
+        found = part if found is None else found.union(part)
+    every = found.groupBy("_row").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    return d.join(every, "_row", "left").select(*keep, F.coalesce("leaks", F.expr(f"cast(array() as {LEAKS})")).alias("leaks"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -206,6 +206,40 @@ def test_the_answer_need_not_be_in_the_longest_match(spark):
     assert sorted((r["doc_id"], r["kind"]) for r in got.collect()) == [(1, "paraphrase"), (3, "paraphrase")]
 
 
+def test_recall_against_every_document_and_item(spark, small, monkeypatch):
+    """Brute force: the best window of every document for every item, by the longest common subsequence, without any space or cosine."""
+    monkeypatch.setattr(decontam, "STRETCH", 64)  # several stretches a text
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(120)
+    items = spark.read.parquet(f"{small}/benchmark.parquet")
+    want = set()
+    held = [(r["item_id"], decontam.words(r["text"]), decontam.answer(r["text"])) for r in items.collect()]
+    for r in docs.collect():
+        own = decontam.words(r["text"])
+        for item, w, reply in held:
+            wide = (-(-(len(w) - 1) // decontam.CHUNK) + 1) * decontam.CHUNK
+            masks, reply_masks = decontam.places(w), decontam.places(reply)
+            for k in range(0, max(1, len(own)), decontam.CHUNK):
+                segment = own[k : k + wide]
+                share = decontam.common(masks, len(w), segment, 0.6 * len(w)) / len(w)
+                if share >= 0.8 or share >= 0.6 and decontam.common(reply_masks, len(reply), segment) / len(reply) >= 0.8:
+                    want.add((r["doc_id"], item))
+                    break
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, items).collect()}
+    assert want and got <= want and len(got & want) >= 0.9 * len(want)
+
+
+def test_copies_are_found_by_cosine_however_many_hold_them(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    items = [(1, ITEM), *[(i, text(30)) for i in range(2, 30)]]
+    for n, hold in ((8, 1), (200, 60), (200, 5)):
+        docs = [(i, f"{text(60)} {ITEM if i < hold else ''} {text(60)}") for i in range(n)]
+        d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        got = decontam.leaks(d, b).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, 1) for i in range(hold)]
+        assert min(r["cosine"] for r in got) >= 0.4
+
+
 def test_counted_windows_hold_every_passing_one():
     rng = random.Random(4)
     for _ in range(30):
