@@ -161,8 +161,8 @@ def brute(vectors, least):
     return links
 
 
-@pytest.mark.parametrize("cell_rows,block", [(2048, 2048), (20, 16), (7, 1000)])
-def test_embedding_links_are_all_found(spark, vectors, cell_rows, block):
+@pytest.mark.parametrize("local_rows,cell_rows,block", [(2048, 1024, 2048), (20, 20, 16), (30, 7, 1000), (1, 8, 4)])
+def test_embedding_links_are_all_found(spark, vectors, local_rows, cell_rows, block):
     df = spark.createDataFrame([(*v, 9) for v in vectors], "vec_id long, embedding array<float>, label int, id int")
     f32 = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], label) for i, v, label in vectors]
     links = brute(f32, 0.93)
@@ -175,10 +175,22 @@ def test_embedding_links_are_all_found(spark, vectors, cell_rows, block):
     for k, c in enumerate(at):
         low[c] = min(low.get(c, 1 << 60), vectors[k][0])
     want = sorted((vectors[k][0], n[k], low[at[k]], vectors[k][0] == low[at[k]]) for k in range(len(vectors)))
-    got = embeddings.near_duplicates(df, 0.93, cell_rows=cell_rows, block=block)
+    got = embeddings.near_duplicates(df, 0.93, local_rows=local_rows, cell_rows=cell_rows, block=block, local_cell_rows=cell_rows)
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_cells_divide_every_label_of_the_registered_query():
+    """Every label of the sf0.01 table is compared in two cells or more."""
+    import pandas as pd
+
+    t = pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet").dropna(subset=["label"])
+    for _, part in t.groupby("label"):
+        x = embeddings.unit(np.array(part["embedding"].tolist(), "f8"))
+        c = embeddings.centroids(x, max(2, -(-len(x) // 128)))
+        _, visits = embeddings.visited(x, c, 0.93)
+        assert visits.shape[1] >= 2 and (visits.sum(0) > 0).all()
+
+
 def test_embedding_edge_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
