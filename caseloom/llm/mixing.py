@@ -11,13 +11,15 @@
    their source.
 4. Blocks.  A source's documents, shuffled by a hash, form one stream of words
    that is read round and round and cut into blocks of as many words as a slot
-   holds; the slot of rank r takes block r.  ``mix`` gives what that takes of
-   each document, ``pieces`` joins the blocks to their slots.
+   holds; the slot of rank r takes block r.  ``pieces`` joins the blocks to their
+   slots, ``mix`` sums the pieces of each document, ``ordered`` gives the documents
+   in the order of the slots.
 5. Remainders.  A slot holds more words the larger the corpus, so a source of a
    small target may have no slot, or one too many.  A source that the schedule
    leaves off its target by more than ``OFF`` of it (and a word) takes its target,
    rounded; its blocks beyond its own slots share slots spread over the mix.
 
+Words are counted once for each document and written with its id and source.
 A source's words are numbered by two-level prefix sums (hash ranges, then rows
 of a range), so no task sees a whole source.  Everything here is DataFrame
 expressions; there is no Python on the executors.
@@ -29,6 +31,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .shared import drop, saved
@@ -101,7 +105,7 @@ def amounts(per_source: DataFrame, taken: DataFrame, slots: int, max_epochs: int
     return (
         per_source.join(taken.select(F.col("k").alias("t_k"), F.col("n_slots").alias("t_n")), F.col("k") == F.col("t_k"), "left")
         .withColumn("n_slots", F.coalesce("t_n", F.lit(0).cast("long")))
-        .withColumn("block", F.col("total") / slots)
+        .withColumn("block", F.greatest(F.col("total") / slots, F.lit(1e-9)))  # no words: nothing is cut
         .withColumn("words_taken", F.when(off, F.round("target").cast("long")).otherwise(scheduled))
         .drop("t_k", "t_n")
     )
@@ -122,88 +126,129 @@ def ranked(slots: DataFrame, stretch: int = 1 << 16) -> DataFrame:
     )
 
 
-def streams(sizes: DataFrame, per_source: DataFrame, rows_a_range: int = 2_000) -> DataFrame:
-    """``sizes`` (row key, source, size) with start: the words of the source's shuffled stream before the document.
+def streams(d: DataFrame, sizes: DataFrame, per: DataFrame, rows_a_range: int = 2_000) -> DataFrame:
+    """``d`` (doc_id, source, size, other columns) with the columns of ``per`` and start: the words of the source's shuffled stream before the document.
 
     The order is by the MD5 digest of doc_id, ties by size and doc_id; ranges of digests hold about
-    ``rows_a_range`` rows of a source each.
+    ``rows_a_range`` rows of a source each.  ``sizes``: doc_id, source and size of the same rows.
     """
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    d = (
-        sizes.join(per_source, F.col("source").eqNullSafe(F.col("s_source")))
-        .withColumn("digest", digest)
-        .withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / rows_a_range)))
-        .withColumn("range", F.expr("cast(conv(substr(digest, 1, 8), 16, 10) as bigint) * ranges div 4294967296"))
-    )
-    sums = d.groupBy("k", "range").agg(F.sum("size").alias("n"))
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+        return (
+            rows.join(per, F.col("source").eqNullSafe(F.col("s_source")))
+            .withColumn("digest", digest)
+            .withColumn("range", F.expr("cast(conv(substr(digest, 1, 8), 16, 10) as bigint) * greatest(1, ceil(n_docs / " + f"{rows_a_range}" + ")) div 4294967296"))
+        )
+
+    sums = ranged(sizes).groupBy("k", "range").agg(F.sum("size").alias("n"))
     base = sums.select(
         F.col("k").alias("b_k"), F.col("range").alias("b_range"),
         F.coalesce(F.sum("n").over(W.partitionBy("k").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"),
     )
     inside = W.partitionBy("k", "range").orderBy("digest", "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     return (
-        d.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        ranged(d).withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(base, (F.col("k") == F.col("b_k")) & (F.col("range") == F.col("b_range")))
         .withColumn("start", F.col("inner") + F.col("base"))
     )
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, slots: int = 1 << 20, keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """Every document with what the mix takes of it.
+#: What a document's row has of its source: number, words, share of the mix, words a slot, slots, blocks beyond them, words that the mix takes.
+_SOURCE = ("k", "source_size", "target", "block", "n_slots", "more", "words_taken")
 
-    Columns: ``keep`` columns of docs, doc_id, source, size, source_size, target, start (its place in the
-    source's stream), taken (words, repeats counted) and copies (times that the block with its first
-    word is taken).
-    """
+
+@dataclass
+class Mixture:
+    """The plan of a mix: written tables of (doc_id, source, size), of the sources and of (k, block_no, slot), the slot of each rank of each source."""
+
+    sizes: DataFrame
+    per: DataFrame
+    ranks: DataFrame
+    slots: int
+
+    @property
+    def sources(self) -> DataFrame:
+        """A row a source: s_source, n_docs, lo, hi and _SOURCE; broadcast if there are few."""
+        return F.broadcast(self.per) if self.per.count() <= MOST_BROADCAST else self.per
+
+
+def prepare(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, slots: int = 1 << 20) -> Mixture:
     spark = docs.sparkSession
-    extra = [F.col(c).alias(f"keep_{c}") for c in keep]
-    sizes = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *extra)
-    per = targets(sizes.select("source", "size"), weights, max_epochs)
-    per, path = saved(per, "sources")
-    taken = schedule(spark, per, slots).groupBy("k").agg(F.count("*").alias("n_slots"))
-    per = amounts(per, taken, slots, max_epochs).select(F.col("source").alias("s_source"), "k", "source_size", "n_docs", "target", "words_taken")
-    per, _ = saved(per, "sources")
-    drop(spark, path)
-    if per.count() <= MOST_BROADCAST:
-        per = F.broadcast(per)
-    d = streams(sizes, per)
-    whole = F.expr("case when source_size > 0 then words_taken div source_size else 0 end")
-    rest = F.expr("case when source_size > 0 then words_taken % source_size else 0 end")
-    return d.withColumn("epochs", whole).withColumn("rest", rest).select(
-        *[F.col(f"keep_{c}").alias(c) for c in keep if c not in ("doc_id", "source")],
-        "doc_id", "source", "size", "source_size", "target", "start",
-        (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("rest")) - F.col("start"))).cast("long").alias("taken"),
-        (F.col("epochs") + (F.col("start") < F.col("rest")).cast("long")).alias("copies"),
+    sizes, _ = saved(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    per, path = saved(targets(sizes.select("source", "size"), weights, max_epochs), "sources")
+    ranks, _ = saved(ranked(schedule(spark, per, slots)).select("k", F.col("rank").alias("block_no"), "slot"), "slots")
+    taken = ranks.groupBy("k").agg(F.count("*").alias("n_slots"))
+    per = amounts(per, taken, slots, max_epochs).withColumn(
+        "more", F.greatest(F.lit(1), F.ceil(F.col("words_taken") / F.col("block")) - F.col("n_slots")).cast("long")
     )
+    per, _ = saved(per.select(F.col("source").alias("s_source"), "n_docs", "lo", "hi", *_SOURCE), "sources")
+    drop(spark, path)
+    return Mixture(sizes, per, ranks, slots)
 
 
-def pieces(mixed: DataFrame, slots: int = 1 << 20, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
-    """(slot, source, doc_id, first, n): which words of which document each slot of the mix holds.
+def place(m: Mixture, docs: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every document (``keep`` columns of docs, doc_id, source, size) with _SOURCE and start, its place in its source's stream."""
+    d = m.sizes if docs is None else docs.select("doc_id", "source", words(F.col("text")).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    extra = [F.col(f"keep_{c}").alias(c) for c in keep if c not in ("doc_id", "source", "size")]
+    return streams(d, m.sizes, m.sources.drop("lo", "hi")).select(*extra, "doc_id", "source", "size", "start", *_SOURCE)
 
-    ``mixed``: the result of mix().  A document's copies in each epoch are cut at the block borders
-    and joined to the slots on (source number, block number); blocks without one share a slot with others.
-    """
-    spark = mixed.sparkSession
-    per = targets(mixed.select("source", "size"), weights, max_epochs)
-    slot = ranked(schedule(spark, per, slots)).withColumnRenamed("rank", "block_no")
-    sides = amounts(per, slot.groupBy("k").agg(F.count("*").alias("n_slots")), slots, max_epochs).select(
-        F.col("source").alias("s_source"), "k", "block", "n_slots",
-        F.greatest(F.lit(1), F.ceil(F.col("words_taken") / F.col("block")) - F.col("n_slots")).cast("long").alias("more"),
+
+def _turns(placed: DataFrame) -> DataFrame:
+    """A row for each time that the stream of a source is read over a document, with ``from`` and ``to``: words of the stream read round and round."""
+    d = placed.where("size > 0 and start < words_taken")
+    d = d.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(words_taken - start - 1) div source_size"))))
+    d = d.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start"))
+    return d.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("words_taken")))
+
+
+def _border(n: Column) -> Column:
+    """Words of the stream before block n."""
+    return F.round(n * F.col("block")).cast("long")
+
+
+def _joined(blocks: DataFrame, m: Mixture) -> DataFrame:
+    """``blocks`` (k, block_no, n_slots, more) with slot: that of the source with the block's number for its rank.
+
+    The j-th of a source's ``more`` blocks without a slot of their own: spread evenly, from another place for each source."""
+    spread = F.expr(f"((bigint(k) * {STEP} + ((block_no - n_slots) * {LATTICE}) div more) % {LATTICE}) * {m.slots} div {LATTICE}")
+    return blocks.join(m.ranks, ["k", "block_no"], "left").withColumn("slot", F.coalesce("slot", spread))
+
+
+def pieces(placed: DataFrame, m: Mixture) -> DataFrame:
+    """(slot, k, start, source, doc_id, epoch, first, n): which words of which document each slot of the mix holds.
+
+    A document's turns are cut at the block borders and joined to the slots on (source number, block number);
+    (k, start) tells documents with words from each other."""
+    d = _turns(placed).withColumn(
+        "block_no", F.explode(F.sequence(F.greatest(F.floor(F.col("from") / F.col("block")) - 1, F.lit(0)), F.floor(F.col("to") / F.col("block")) + 1))
     )
-    d = mixed.where("taken > 0").join(sides, F.col("source").eqNullSafe(F.col("s_source")))
-    d = d.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))))
-    d = d.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start")).withColumn(
-        "to", F.col("from") + F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size"))
+    d = d.withColumn("lo", F.greatest("from", _border(F.col("block_no")))).withColumn("hi", F.least("to", _border(F.col("block_no") + 1)))
+    return _joined(d.where("lo < hi"), m).select(
+        "slot", "k", "start", "source", "doc_id", "epoch", (F.col("lo") - F.col("from")).alias("first"), (F.col("hi") - F.col("lo")).alias("n")
     )
-    border = lambda n: F.round(n * F.col("block")).cast("long")
-    d = d.withColumn(
-        "block_no", F.explode(F.sequence(F.greatest(F.floor(F.col("from") / F.col("block")) - 1, F.lit(0)), F.floor(F.col("to") / F.col("block")) + 1))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, slots: int = 1 << 20) -> DataFrame:
+    """(doc_id, source, size, source_size, target, start, taken, copies) of every document.
+
+    taken: the words of it that all slots hold, repeats counted; copies: how often a slot holds its first word."""
+    m = prepare(docs, weights, max_epochs, slots)
+    placed, _ = saved(place(m), "placed")
+    held = pieces(placed, m).groupBy(F.col("k").alias("h_k"), F.col("start").alias("h_start")).agg(
+        F.sum("n").alias("taken"), F.sum((F.col("first") == 0).cast("long")).alias("copies")
     )
-    d = d.withColumn("lo", F.greatest("from", border(F.col("block_no")))).withColumn("hi", F.least("to", border(F.col("block_no") + 1)))
-    # the j-th of a source's ``more`` blocks without a slot of their own: spread evenly, from another place for each source
-    spread = F.expr(f"((bigint(k) * {STEP} + ((block_no - n_slots) * {LATTICE}) div more) % {LATTICE}) * {slots} div {LATTICE}")
-    return d.where("lo < hi").join(slot, ["k", "block_no"], "left").select(
-        F.coalesce("slot", spread).alias("slot"), "source", "doc_id", (F.col("lo") - F.col("from")).alias("first"), (F.col("hi") - F.col("lo")).alias("n")
+    same = (F.col("k") == F.col("h_k")) & (F.col("start") == F.col("h_start")) & (F.col("size") > 0)
+    return placed.join(held, same, "left").select(
+        "doc_id", "source", "size", "source_size", "target", "start",
+        F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("copies", F.lit(0).cast("long")).alias("copies"),
     )
+
+
+def ordered(docs: DataFrame, keep: tuple[str, ...], **how) -> DataFrame:
+    """(slot, ``keep`` columns) of every document as often as a slot holds its first word, sorted by slot (files follow each other in that order)."""
+    m = prepare(docs, **how)
+    at = F.floor(F.col("from") / F.col("block"))
+    d = _turns(place(m, docs, keep)).withColumn("block_no", at)
+    d = d.withColumn("block_no", F.expr("block_no") + F.when(F.col("from") < _border(at), -1).when(F.col("from") >= _border(at + 1), 1).otherwise(0))
+    return _joined(d, m).select("slot", *keep).repartitionByRange("slot").sortWithinPartitions("slot")

@@ -105,19 +105,41 @@ def test_small_sources_beside_a_huge_one(spark):
     m = mixing.mix(df, slots=1 << 10)
     per = m.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("copies")).collect()
     assert len(per) == 41 and all(abs(r["taken"] - r["target"]) <= max(1, 0.001 * r["target"]) and r["copies"] > 0 for r in per)
-    got = mixing.pieces(m, slots=1 << 10).collect()
+    plan = mixing.prepare(df, slots=1 << 10)
+    got = mixing.pieces(mixing.place(plan), plan).collect()
     held = Counter()
     for r in got:
         held[r["doc_id"]] += r["n"]
-    assert all(0 <= r["slot"] < 1 << 10 for r in got) and all(abs(held[r["doc_id"]] - r["taken"]) <= 1 for r in m.collect())
+    assert all(0 <= r["slot"] < 1 << 10 for r in got) and all(held[r["doc_id"]] == r["taken"] for r in m.collect())
     assert len({r["slot"] for r in got if r["source"] != "huge"}) > 20
 
 
-def test_pieces_hold_what_was_taken(spark, mixed):
+def test_taken_is_what_a_round_and_round_reading_takes(spark, mixed):
+    """The sums of the pieces against plain arithmetic over each source's stream; slots hold blocks of equal size."""
+    rows, df = mixed
+    plan = mixing.prepare(df, slots=1 << 12)
+    per = {r["k"]: r for r in plan.per.collect()}
+    got = mixing.pieces(mixing.place(plan), plan).collect()
+    by_slot = Counter()
+    for r in got:
+        by_slot[r["k"], r["slot"]] += r["n"]
+    assert all(n <= per[k]["block"] * 2 + 2 for (k, _), n in by_slot.items())
+    for r in mixing.mix(df, slots=1 << 12).collect():
+        p = next(x for x in per.values() if x["s_source"] == r["source"])
+        full, rest = divmod(p["words_taken"], p["source_size"]) if p["source_size"] else (0, 0)
+        assert r["taken"] == full * r["size"] + max(0, min(r["start"] + r["size"], rest) - r["start"])
+        assert r["copies"] == (full + (r["start"] < rest) if r["size"] else 0)
+
+
+def test_documents_come_in_the_order_of_their_slots(spark, mixed):
     _, df = mixed
-    m = mixing.mix(df.where("doc_id is not null and doc_id <> 5"), slots=1 << 12)
-    got = {r["doc_id"]: r["n"] for r in mixing.pieces(m, slots=1 << 12).groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
-    assert all(abs(got.get(r["doc_id"], 0) - r["taken"]) <= 1 for r in m.collect())
+    got = mixing.ordered(df, ("doc_id", "source"), slots=1 << 12).collect()
+    slots = [r["slot"] for r in got]
+    assert slots == sorted(slots)
+    n = mixing.mix(df, slots=1 << 12).agg(F.sum("copies")).first()[0]
+    assert len(got) == n
+    early, every = (Counter(r["source"] for r in x) for x in (got[: n // 2], got))
+    assert all(abs(early[k] - m / 2) <= 0.2 * m + 3 for k, m in every.items())  # mixed throughout
 
 
 def test_mix_is_native_and_takes_empty_tables(spark, mixed):
