@@ -41,9 +41,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes the block that holds their first word."""
-    mixed = mixing.mix(whole(docs), keep=("row",)).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    """Documents as often as a slot of the mix holds their first word, in the order of the slots."""
+    return mixing.ordered(whole(docs), ("row",)).select("row.*")
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
