@@ -67,10 +67,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.read(spark, path)
     response = F.col("record_type") == "response"
     return r.select(
-        F.col("record_id").cast("long").alias("page_id"),
+        warc.page_id(F.col("record_id")).alias("page_id"),
         F.when(response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
-        F.when(response, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+        F.when(response, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
+        "record_type", warc.page_id(F.col("refers_to")).alias("refers_to"),
     )
 
 

@@ -168,20 +168,69 @@ PAGES = [(4, "http://a/1", "x" * 150), (2, "http://a/2", "x" * 150), (9, None, "
 def test_archives_round_trip(spark):
     pages = spark.createDataFrame([(*p, b"z") for p in PAGES], "page_id long, url string, html string, payload binary")
     path = warc.archive(pages.repartition(3))
-    got = warc.read(spark, path).collect()
+    read = warc.read(spark, path)
+    got = read.select("*", warc.page_id(F.col("record_id")).alias("page"), warc.page_id(F.col("refers_to")).alias("first")).collect()
     assert len(got) == len(PAGES)
-    kinds = sorted((str(r["record_id"]), r["record_type"], r["refers_to"]) for r in got)
-    dup = {4: "2", 9: "2", None: "2", 8: "7"}
+    kinds = sorted((str(r["page"]), r["record_type"], r["first"]) for r in got)
+    dup = {4: 2, 9: 2, None: 2, 8: 7}
     assert kinds == sorted((str(i), "revisit" if i in dup else "response", dup.get(i)) for i, _, _ in PAGES)
     by = {(i): (h or "").encode() for i, _, h in PAGES}
     for r in got:
-        body = by[None if r["record_id"] is None else int(r["record_id"])]
-        assert r["payload_digest"] == hashlib.sha256(body).hexdigest() and r["payload_bytes"] == len(body)
+        body = by[r["page"]]
+        assert r["payload_digest"] == "sha256:" + hashlib.sha256(body).hexdigest() and r["payload_bytes"] == len(body)
         assert bytes(r["payload"]) == (body if r["record_type"] == "response" else b"")
-    assert {r["target_uri"] for r in got} == {u for _, u, _ in PAGES}
+    assert {r["target_uri"] for r in got} == {u and u.replace("\r\n", "%0D%0A") for _, u, _ in PAGES}
     files = list(Path(path.removeprefix("file://")).glob("*.warc.gz"))
     raw = b"".join(gzip.decompress(f.read_bytes()) for f in files)
-    assert raw.count(b"WARC/1.1\r\n") == len(PAGES)
+    assert raw.count(b"WARC/1.1\r\n") == raw.count(b"WARC-Date: ") == raw.count(b"WARC-Record-ID: <urn:") == len(PAGES)
+    assert raw.count(b"WARC-Profile: ") == len([i for i, _, _ in PAGES if i in dup])
+
+
+def hand_made(kind):
+    """An archive as other tools write it: a warcinfo, a request, a response, a resource with odd headers, a revisit."""
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n<p>one\r\n\r\ntwo</p>"
+
+    def record(head, block):
+        return b"\r\n".join([b"WARC/1.0", *head, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    every = [
+        record([b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:uuid:1>", b"WARC-Date: 2020-01-01T00:00:00Z", b"Content-Type: application/warc-fields"], b"software: hand\r\n"),
+        record([b"WARC-Type: request", b"WARC-Record-ID: <urn:uuid:2>", b"Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.0\r\n\r\n"),
+        record([b"warc-type:response", b"WARC-Record-ID: <urn:uuid:3>", b"WARC-Target-URI: http://a/%20b", b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: sha1:ABC"], http),
+        record([b"WARC-Type: resource", b"WARC-Record-ID: <urn:uuid:4>", b"X-Long: first", b" second", b"Content-Type: text/plain"], b"WARC/1.0 is only text here\r\n\r\n" * 3000),
+        record([b"WARC-Type: revisit", b"WARC-Record-ID: <urn:uuid:5>", b"WARC-Refers-To: <urn:uuid:3>"], b""),
+    ]
+    if kind == "members":
+        return b"".join(gzip.compress(r) for r in every)
+    return gzip.compress(b"".join(every)) if kind == "one member" else b"".join(every)
+
+
+@pytest.mark.parametrize("kind", ["plain", "members", "one member"])
+def test_archives_of_others(spark, tmp_path, kind):
+    (tmp_path / ("a.warc" if kind == "plain" else "a.warc.gz")).write_bytes(hand_made(kind))
+    got = warc.read(spark, f"file://{tmp_path}").collect()
+    assert [(r["record_type"], r["record_id"]) for r in got] == [(t, f"urn:uuid:{i}") for i, t in enumerate(["warcinfo", "request", "response", "resource", "revisit"], 1)]
+    assert bytes(got[2]["payload"]) == b"<p>one\r\n\r\ntwo</p>" and got[2]["payload_bytes"] == 17 and got[2]["target_uri"] == "http://a/%20b"
+    assert got[2]["payload_digest"] == "sha1:ABC" and got[3]["payload_bytes"] == 30 * 3000 and got[4]["refers_to"] == "urn:uuid:3"
+    only = warc.read(spark, f"file://{tmp_path}", payloads=False).where("record_type = 'revisit'").collect()
+    assert [r["record_id"] for r in only] == ["urn:uuid:5"] and only[0]["payload"] is None
+
+
+@pytest.mark.parametrize("kind", ["plain", "members", "one member", "own"])
+def test_torn_archives_are_errors(tmp_path, kind):
+    row = {"record_type": "response", "record_id": "urn:x", "target_uri": "u", "refers_to": None, "payload_digest": "d", "payload_bytes": 9000, "payload": bytes(range(250)) * 36}
+    whole = b"".join(warc.encode_record(row, "2020-01-01T00:00:00Z") for _ in range(3)) if kind == "own" else hand_made(kind)
+    from caseloom.llm.storage import reading
+
+    for cut in (len(whole) - 1, len(whole) - 3, len(whole) * 2 // 3 - 7, len(whole) // 3 + 7, 30, 5):
+        for payloads in (True, False):
+            path = tmp_path / "t.warc"
+            path.write_bytes(whole[:cut])
+            with reading(str(path)) as f, pytest.raises(warc.Torn):
+                list(warc.records(f, "t", lambda got: True, payloads))
+    path.write_bytes(b"<html>no archive</html>" * 10)
+    with reading(str(path)) as f, pytest.raises(warc.Torn):
+        list(warc.records(f, "t", lambda got: True, True))
 
 
 def test_filters_reach_the_reader_and_payloads_can_be_left(spark):
