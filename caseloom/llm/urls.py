@@ -6,8 +6,12 @@ of their URL).  A level of a tree is one grouped histogram over (node, feature,
 bin); only such sums reach the driver, whose size is bounded by nodes x features
 x bins.  The model is a SQL expression, so scoring is generated code.
 
-Suffix statistics are smoothed block rates of the host's last label and of its
-last two labels, counted over all labelled rows.
+Statistics of suffixes are smoothed block rates of the host's last label, of its
+last two labels and of the first part of the path, counted over all labelled rows.
+Rows that train get rates that rows of their own fold (a fifth of the hosts) had no
+part in, so that a rate does not give away a row's own label; the rows of one fold
+get no host rates at all, as hosts of unknown suffixes don't when they are judged,
+so that the trees learn to judge those by what else they see.
 
 Everything is DataFrame or SQL expressions; there is no Python on executors.
 
@@ -22,7 +26,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .shared import drop, saved
 
@@ -71,8 +75,13 @@ def _entropy(c: str) -> Column:
 
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy",
-    "host_entropy", "parameters", "has_fragment", "has_extension", "suffix_length", "suffix_rate", "domain_rate",
+    "host_entropy", "parameters", "has_fragment", "has_extension", "suffix_length", "suffix_rate", "domain_rate", "head_rate",
 )
+#: What rates are counted of.
+KINDS = ("suffix", "domain", "head")
+FOLDS = 5
+#: Up to so many rows the tables of rates are broadcast, else joined by shuffle.
+MOST_BROADCAST = 200_000
 
 
 def _lexical(df: DataFrame) -> DataFrame:
@@ -81,6 +90,7 @@ def _lexical(df: DataFrame) -> DataFrame:
     return df.select(
         "*",
         F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix"), F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1).alias("domain"),
+        F.regexp_extract("path", r"^/([^/]*)", 1).alias("head"), F.pmod(F.xxhash64("host"), F.lit(FOLDS)).alias("fold"),
         d(F.length("u")).alias("url_length"), d(F.length("host")).alias("host_length"), d(F.length("path")).alias("path_length"),
         d(_count(F.col("path"), "/")).alias("depth"), d(_count(F.col("host"), "[^.]+")).alias("labels"),
         F.when(F.length("u") > 0, d(_count(F.col("u"), "[0-9]")) / F.length("u")).otherwise(0.0).alias("digit_ratio"),
@@ -95,20 +105,26 @@ def _lexical(df: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     margin: str
-    suffixes: DataFrame
-    domains: DataFrame
+    rates: dict[str, DataFrame]  # by kind: key, rate
     prior: float
 
 
-def _rates(labelled: DataFrame, key: str, name: str, prior: float, weight: float = 20.0) -> DataFrame:
-    return labelled.groupBy(key).agg(F.sum("y").alias("s"), F.count("*").alias("n")).select(
-        key, ((F.col("s") + weight * prior) / (F.col("n") + weight)).alias(name)
-    )
+def _counted(labelled: DataFrame) -> DataFrame:
+    """(kind, key, fold, s, n): labelled rows and those to block, by key and fold, in a written table."""
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in KINDS])).alias("x")
+    return saved(labelled.select("fold", "y", keys).groupBy("x.kind", "x.key", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n")), "url_rates")[0]
+
+
+def _rate(s: Column, n: Column, prior: float, weight: float = 20.0) -> Column:
+    return (s + F.lit(weight * prior)) / (n + F.lit(weight))
 
 
-def _with_rates(df: DataFrame, suffixes: DataFrame, domains: DataFrame, prior: float) -> DataFrame:
-    out = df.join(suffixes, "suffix", "left").join(domains, "domain", "left")
-    return out.na.fill({"suffix_rate": prior, "domain_rate": prior})
+def _with_rates(df: DataFrame, rates: dict[str, DataFrame], prior: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the rate of each kind; ``on``: other columns that the tables share with df."""
+    for kind, table in rates.items():
+        table = table.select(F.col("key").alias(kind), *on, F.col("rate").alias(f"{kind}_rate"))
+        df = df.join(table, [kind, *on], "left")
+    return df.na.fill({f"{k}_rate": prior for k in rates})
 
 
 def _sql(tree, scale: float) -> str:
@@ -136,14 +152,20 @@ def fit(
     """``labelled``: url, y (1.0 to block, 0.0 to allow)."""
     base = labelled.select(F.coalesce("url", F.lit("")).alias("u"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "y")
     lexical = _lexical(base)
-    total = labelled.agg(F.avg("y"), F.count("*")).first()
-    prior = float(total[0] or 0.0)
-    keys = base.select(F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix"), F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1).alias("domain"), "y")
-    suffixes, domains = _rates(keys, "suffix", "suffix_rate", prior), _rates(keys, "domain", "domain_rate", prior)
+    counted = _counted(lexical.select("fold", "y", *KINDS))
+    small = F.broadcast if counted.count() <= MOST_BROADCAST else lambda t: t
+    s, n = counted.where(F.col("kind") == KINDS[0]).agg(F.sum("s"), F.sum("n")).first()
+    prior = float(s / n) if n else 0.0
+    totals = counted.groupBy("kind", "key").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    rates = {k: small(totals.where(F.col("kind") == k).select("key", _rate(F.col("s"), F.col("n"), prior).alias("rate"))) for k in KINDS}
     if prior in (0.0, 1.0):
-        return Model("-9d" if prior == 0 else "9d", suffixes, domains, prior)
+        return Model("-9d" if prior == 0 else "9d", rates, prior)
+    whole = W.partitionBy("kind", "key")  # FOLDS rows at most
+    others = counted.withColumn("rate", _rate(F.sum("s").over(whole) - F.col("s"), F.sum("n").over(whole) - F.col("n"), prior))
     picked = lexical.orderBy(F.xxhash64("u"), "u", "y").limit(sample)
-    rows, path = saved(_with_rates(picked, suffixes, domains, prior).select(*FEATURES, "y"), "url_sample")
+    others = others.where("kind = 'head' or fold > 0")
+    held_out = {k: small(others.where(F.col("kind") == k).select("key", "fold", "rate")) for k in KINDS}
+    rows, raw_path = saved(_with_rates(picked, held_out, prior, ("fold",)).select(*FEATURES, "y").coalesce(1), "url_sample")
     steps = [i / bins for i in range(1, bins)]
     found = rows.agg(*[F.percentile_approx(f, steps, 1000).alias(f) for f in FEATURES]).first()
     edges = {f: sorted(set(found[f])) for f in FEATURES}
@@ -151,6 +173,8 @@ def fit(
     binned = F.array(*[
         F.struct(F.lit(i).alias("f"), F.expr(" + ".join(f"int({f} > {e!r}d)" for e in edges[f]) or "0").alias("bin")) for i, f in enumerate(FEATURES)
     ])
+    # bounded by ``sample``: one file, so that a level is counted without a shuffle
+    rows, path = saved(rows.withColumn("binned", binned).coalesce(1), "url_bins")
     for _ in range(trees):
         splits: dict[int, tuple[str, float]] = {}
         leaves: dict[int, float] = {}
@@ -162,7 +186,7 @@ def fit(
                     leaves[n] = g / (h + ridge)
                 break
             sums = (
-                at.select("node", "g", "h", F.explode(binned).alias("x")).groupBy("node", "x.f", "x.bin")
+                at.select("node", "g", "h", F.explode("binned").alias("x")).groupBy("node", "x.f", "x.bin")
                 .agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             )
             best: dict[int, tuple] = {}
@@ -185,13 +209,13 @@ def fit(
             splits |= {n: (f, e) for n, (_, f, e) in best.items()}
         build = lambda n: (*splits[n], build(2 * n), build(2 * n + 1)) if n in splits else leaves.get(n, 0.0)  # noqa: E731, B023
         margin = f"{margin} + {_sql(build(1), rate)}"
-    drop(rows.sparkSession, path)
-    return Model(margin, suffixes, domains, prior)
+    drop(rows.sparkSession, raw_path, path)
+    return Model(margin, rates, prior)
 
 
 def score(urls: DataFrame, model: Model) -> DataFrame:
     """``urls`` (with u, host, path) with block_score: the probability to block."""
-    out = _with_rates(_lexical(urls), model.suffixes, model.domains, model.prior)
+    out = _with_rates(_lexical(urls), model.rates, model.prior)
     return out.withColumn("block_score", F.expr(f"1d / (1d + exp(-({model.margin})))"))
 
 
