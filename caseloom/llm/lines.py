@@ -24,7 +24,7 @@ Ranks are assigned by range-partitioned sorts with per-partition offsets; pairs
 are grouped with map-side counts, so a line that all documents share is one row
 a task; nothing but the number of pairs reaches the driver.
 
-Edge cases: null or empty texts have no lines; blank lines are neither compared
+Edge cases: null, empty and blank texts have no lines and lose none; blank lines are neither compared
 nor deleted; lines are compared without white space at their ends; rows with the
 same doc_id are one document with the lines of both texts in order of the
 texts' hashes, so a repeated row is a copy; a null doc_id comes first; an empty
@@ -109,9 +109,9 @@ def _repeated(rows: DataFrame, cols: list[str], name: str) -> tuple[DataFrame, s
 
 
 def removals(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, text_hash, copy, n_lines, removed): of every document with lines, the numbers (from 0) of the lines to delete.
+    """(doc_id, text_hash, copy, n_lines, removed): of every document, the numbers (from 0) of the lines to delete.
 
-    copy numbers, from 0, the rows with one doc_id and text.
+    copy numbers, from 0, the rows with one doc_id and text (0 for all that have no lines).
     """
     spark = docs.sparkSession
     table, table_path = saved(lines(docs, min_words), "lines")
@@ -150,17 +150,22 @@ def removals(docs: DataFrame, min_words: int = 50) -> DataFrame:
     found, _ = saved(found, "removals")
     drop(spark, placed_path, *(p for _, p in levels))
     copy = (F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy("doc")) - 1).alias("copy")
-    return found.select("doc_id", "text_hash", copy, "n_lines", "removed")
+    blank = docs.where(~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.lit(0).alias("copy"), F.lit(0).alias("n_lines"),
+        F.expr("cast(array() as array<int>)").alias("removed"),
+    )
+    return found.select("doc_id", "text_hash", copy, "n_lines", "removed").union(blank)
 
 
 def clean(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs with the later copies of repeated line runs deleted from text."""
-    copy = F.row_number().over(W.partitionBy("doc_id", "_hash").orderBy(F.lit(0))) - 1
-    d = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_copy", copy)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no other column's name can clash
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), row)
+    d = d.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "hash").orderBy(F.lit(0))) - 1)
     gone = removals(docs, min_words).where("size(removed) > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("copy").alias("_c"), "removed"
+        F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), F.col("copy").alias("g_copy"), "removed"
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_copy") == F.col("_c"))
+    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("hash") == F.col("g_hash")) & (F.col("copy") == F.col("g_copy"))
     kept = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> not array_contains(removed, i)), '\n')")
-    out = d.join(gone, same, "left")
-    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    out = d.join(gone, same, "left").withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
+    return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -48,7 +48,7 @@ def test_random_corpora(spark, seed):
     df = spark.createDataFrame([(i, t, "zz", 1) for i, t in docs], "doc_id long, text string, line string, p int")
     got = {r["doc_id"]: set(r["removed"]) for r in lines.removals(df, 8).collect()}
     want = brute(docs, 8)
-    assert got == {docs[d][0]: s for d, s in want.items()}
+    assert got == {i: set() for i, _ in docs} | {docs[d][0]: s for d, s in want.items()}  # every document, also those without lines
 
 
 def test_repeats_ties_nulls_and_blank_lines(spark):
@@ -56,12 +56,19 @@ def test_repeats_ties_nulls_and_blank_lines(spark):
     rows = [(1, run), (1, run), (2, "x\n  one two three \nfour five six\nseven eight\ny"), (3, None), (4, ""), (5, "\n \n"), (None, run), (6, "a b c d e f g h\n" * 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_lines"], r["removed"]) for r in lines.removals(df, 8).collect())
-    assert got == [("1", 3, [0, 1, 3]), ("1", 3, [0, 1, 3]), ("2", 5, [1, 2, 3]), ("6", 4, [1, 2, 3]), ("None", 3, [])]
+    assert got == [("1", 3, [0, 1, 3]), ("1", 3, [0, 1, 3]), ("2", 5, [1, 2, 3]), ("3", 0, []), ("4", 0, []), ("5", 0, []), ("6", 4, [1, 2, 3]), ("None", 3, [])]
     kept = {(r["doc_id"], r["text"]) for r in lines.clean(df, 8).collect()}
     assert (6, "a b c d e f g h\n") in kept and (2, "x\ny") in kept and (3, None) in kept and (None, run) in kept
     assert lines.removals(df.limit(0), 8).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ("removed", "_id", "_h", "_c", "_hash", "_copy", "hash", "copy", "row", "g_id", "doc", "n_lines")
+    df = spark.createDataFrame([(1, "a b c d\nx", *names), (2, "a b c d\ny", *names)], ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    out = lines.clean(df, 4)
+    assert out.columns == df.columns and sorted((r["doc_id"], r["text"], r["removed"]) for r in out.collect()) == [(1, "a b c d\nx", "removed"), (2, "y", "removed")]
+
+
 def test_nothing_repeats(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "k l m n o p q r s t")], "doc_id long, text string")
     assert [r["removed"] for r in lines.removals(df, 5).collect()] == [[], []]
