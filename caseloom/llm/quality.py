@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, **how) -> Mode
         picked = part if picked is None else picked.union(part)
     # at most 2 x sample ids are broadcast
     # of rows with one id the text with the smallest features counts, so that reruns agree
-    rows = _featured(docs.join(F.broadcast(picked), "doc_id"), ["doc_id", "y"]).groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
+    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ["doc_id", "y"]).groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
     x = [c[i].values.to_numpy() for c in rows.column("x").chunks for i in range(len(c))]
     y = rows.column("y").to_numpy()
     order = np.lexsort((y, rows.column("doc_id").to_numpy(), rows.column("doc_id").to_numpy() * 2654435761 % 4294967296))

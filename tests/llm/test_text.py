@@ -349,6 +349,29 @@ def test_no_labels_and_one_kind(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), queries.RULES).count() == 0
 
 
+def test_undecided_urls_follow_what_is_seen_in_them(spark):
+    """A suffix without labels: verdicts by path and digits, as in suffixes with labels; not one verdict for all."""
+    rng = random.Random(3)
+    rows = [(i, f"http://h{rng.randrange(40)}.{rng.choice(['aa', 'bb', 'cc'])}/{rng.choice(['x', 'y'])}/{'9' * 12 if i % 2 else 'page'}", float(i % 2)) for i in range(900)]
+    d = spark.createDataFrame(rows, "id long, url string, y double")
+    model = urls.fit(d.select("url", "y"))
+    new = spark.createDataFrame([(f"http://n{i}.zz/x/{'9' * 12 if i % 2 else 'page'}", i % 2) for i in range(60)], "url string, bad int")
+    parts = new.select("*", F.col("url").alias("u"), urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    got = urls.score(parts, model).collect()
+    assert all((r["block_score"] >= 0.5) == bool(r["bad"]) for r in got)
+
+
+def test_undecided_pages_do_not_all_get_one_verdict(spark):
+    got = urls.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), queries.RULES).where("rule is null").collect()
+    assert {r["verdict"] for r in got} == {"allow", "block"} and len({r["block_score"] for r in got}) > 5
+
+
+def test_url_edges_do_not_break_features(spark):
+    odd = [None, "", "://", "http://", "http://a.b/" + "q" * 200_000, "http://" + "x." * 3000 + "com/en/?" + "a=1&" * 5000, "http://é.中/%%%"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*odd, "http://a.com/", "http://a.net/es/"])], "page_id long, url string")
+    assert urls.judge(pages, queries.RULES).where("verdict in ('allow', 'block')").count() == len(odd) + 2
+
+
 # pipeline
 
 
@@ -357,7 +380,7 @@ def test_pipeline_stages(spark, tmp_path):
 
     src = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{src}/documents.parquet")
-    extra = [F.lit(i).alias(c) for i, c in enumerate(("score", "fp", "row", "copies", "leaks", "size", "n", "h", "k", "start", "_text"))]
+    extra = [F.lit(i).alias(c) for i, c in enumerate(("score", "fp", "row", "copies", "leaks", "size", "n", "h", "k", "start", "_text", "y", "x", "removed", "_id", "_h", "_c", "_hash", "_copy", "slot", "block_no", "from", "to", "epoch", "keep_row"))]
     cols = [*docs.columns]
     d = docs.select(*cols, *extra).union(docs.limit(3).select(*cols, *extra)).union(
         spark.createDataFrame([(None, "no id " * 9, "en", None, 1), (90001, None, "en", "src1", 0), (90002, "", None, "src1", 0)], docs.schema).select("*", *extra)
