@@ -31,9 +31,14 @@ def text_list(body: Column) -> Column:
     return F.when(F.forall(a, lambda x: x.isNotNull()), a)
 
 
-def changed(**pairs: tuple[Column, Column]) -> Column:
-    """Names of fields whose new value differs from the old one."""
-    return F.filter(F.array(*[F.when(~old.eqNullSafe(new), F.lit(k)) for k, (old, new) in pairs.items()]), lambda x: x.isNotNull())
+def supplied(patch: Column, known: list[str]) -> Column:
+    """Names of the known fields that a patch (a map) supplies, whether their values change or not, in the order of ``known``."""
+    return F.filter(F.array(*map(F.lit, known)), lambda k: F.map_contains_key(patch, k))
+
+
+def entries_map(entries: Column) -> Column:
+    """A map of (key, value) structs; of a repeated key the last one counts."""
+    return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"].cast("string"), e["value"].cast("string"))))
 
 
 def known_keys(m: Column, keys: list[str]) -> Column:
@@ -58,44 +63,54 @@ def from_base64url(c: Column) -> Column:
     return F.unbase64(F.rpad(std, (F.ceil(F.length(std) / 4) * 4).cast("int"), F.lit("=")))
 
 
-#: First bytes of accepted files.
-MAGIC = {"PDF": "25504446", "PNG": "89504E47", "JPG": "FFD8FF", "DOCX": "504B0304", "DOC": "D0CF11E0"}
+# The first bytes, as hexadecimal digits, of files with these extensions.
+FIRST_BYTES = {
+    "PDF": "25504446", "PNG": "89504E47", "JPG": "FFD8FF", "JPEG": "FFD8FF", "DOC": "D0CF11E0A1B11AE1", "XLS": "D0CF11E0A1B11AE1", "DOCX": "504B", "XLSX": "504B",
+}
+
+
+def signature_fits(kind: Column, content: Column) -> Column:
+    """Whether a file's first bytes are those of its extension; a TXT has no NUL among its first 1,024; others never fit."""
+    text_ = ~F.contains(F.substring(content, 1, 1024), F.lit(b"\0"))
+    out = F.when(kind == "TXT", text_)
+    for k, head in FIRST_BYTES.items():
+        out = out.when(kind == k, F.hex(F.substring(content, 1, len(head) // 2)) == head)
+    return F.coalesce(out, F.lit(False))
 
 
-def magic_kind(content: Column) -> Column:
-    """The kind that the first bytes tell; TXT if there is no NUL in the first 1,024, else null."""
-    plain = ~F.exists(F.sequence(F.lit(0), F.greatest(F.least(F.length(content), F.lit(1024)) - 1, F.lit(0))), lambda i: F.hex(F.substring(content, i + 1, F.lit(1))) == "00")
-    out = F.when(plain, F.lit("TXT"))
-    for kind, head in MAGIC.items():
-        out = F.when(F.hex(F.substring(content, 1, len(head) // 2)) == head, kind).otherwise(out)
-    return out
+#: How deep values are scrubbed, and what stands for deeper ones.
+DEEPEST, TOO_DEEP = 6, "[max-depth]"
+#: What a report of an error never carries.
+DROPPED_REQUEST, DROPPED_HEADERS = ("data", "cookies"), ("cookie", "authorization", "x-internal-service-key")
 
 
-def scrub_json(column: Column, fields: tuple[str, ...] = ("password", "token", "cookie", "authorization"), deepest: int = 6) -> Column:
-    """A JSON text with named fields dropped and all strings scrubbed, down to a depth; deeper values become "[deep]"."""
+def _cleaner():
     import re
 
-    from .text import SECRETS
+    from .text import CUT_OFF, LONGEST, SECRETS
 
-    patterns = [(re.compile(p), s.replace("$1", r"\1")) for p, s in SECRETS]
-    dropped = set(fields)
+    patterns = [(re.compile(p, re.ASCII), s.replace("$1", r"\1")) for p, s in SECRETS]
 
     def clean(x, depth: int = 0):
-        if depth > deepest:
-            return "[deep]"
+        if depth > DEEPEST:
+            return TOO_DEEP
         if isinstance(x, dict):
-            return {k: clean(v, depth + 1) for k, v in x.items() if k.lower() not in dropped}
+            return {k: clean(v, depth + 1) for k, v in x.items()}
         if isinstance(x, list):
             return [clean(v, depth + 1) for v in x]
         if isinstance(x, str):
             for p, s in patterns:
                 x = p.sub(s, x)
-            return x if len(x) <= 2000 else f"{x[:2000]}…[+{len(x) - 2000}]"
+            return x if len(x) <= LONGEST else x[:LONGEST] + CUT_OFF.format(len(x) - LONGEST)
         return x
 
+    return clean
+
+
+def _on_json(column: Column, change) -> Column:
     def one(text):
         try:
-            return None if text is None else json.dumps(clean(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+            return None if text is None else json.dumps(change(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
         except ValueError:
             return None
 
@@ -106,6 +121,40 @@ def scrub_json(column: Column, fields: tuple[str, ...] = ("password", "token", "
     return run(column)
 
 
+def scrub_json(column: Column) -> Column:
+    """A JSON text with all strings scrubbed, down to a depth; null if it is none."""
+    clean = _cleaner()
+    return _on_json(column, clean)
+
+
+def scrub_event(column: Column) -> Column:
+    """An error report (JSON) without its user, its request's body, cookies, secret headers and query; messages, crumbs and extras scrubbed."""
+    clean = _cleaner()
+
+    def change(event):
+        if not isinstance(event, dict):
+            raise ValueError
+        event.pop("user", None)
+        request = event.get("request")
+        if isinstance(request, dict):
+            for k in DROPPED_REQUEST:
+                request.pop(k, None)
+            for k in DROPPED_HEADERS:
+                (request.get("headers") or {}).pop(k, None)
+            if isinstance(request.get("query_string"), str):
+                request["query_string"] = ""
+            if isinstance(request.get("url"), str):
+                request["url"] = request["url"].partition("?")[0]
+        crumbs = event.get("breadcrumbs") or []
+        for holder, keys in [(event, ("message", "extra", "contexts")), *((c, ("message", "data")) for c in crumbs), *((x, ("value",)) for x in (event.get("exception") or {}).get("values") or [])]:
+            for k in keys:
+                if holder.get(k):
+                    holder[k] = clean(holder[k])
+        return event
+
+    return _on_json(column, change)
+
+
 def signed(body: Column, signature: Column, secret: str) -> Column:
     """Whether a hex HMAC-SHA256 of the body under the secret is the signature."""
     import hashlib

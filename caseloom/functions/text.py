@@ -38,6 +38,11 @@ def is_phone(c: Column) -> Column:
     return digits(c).rlike(r"^[0-9]{8,15}$")
 
 
+def is_video(c: Column) -> Column:
+    """An address whose video id can be read."""
+    return video_id(c) != ""
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9]", "")
 
@@ -59,20 +64,23 @@ def escape_html(c: Column, breaks: bool = False) -> Column:
     return F.replace(c, F.lit("\n"), F.lit("<br>")) if breaks else c
 
 
-#: What is scrubbed, in this order, and what stands for it.
+# What is scrubbed, in this order, what stands for it, how much of a text is kept and what is said of the rest.
 SECRETS = (
-    (r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "[jwt]"),
-    (r"(?i)((?:bearer|token|secret|password|api[_-]?key)[\"']?\s*[:= ]\s*[\"']?)[^\s\"',;]{6,}", "$1[redacted]"),
-    (r"\b[0-9a-fA-F]{32,}\b", "[hex]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
+    (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[redacted-token]"),
+    (r"(?i)(ds_token=|token=|authorization:\s*bearer\s+|bearer\s+)[A-Za-z0-9._-]+", "$1[redacted-token]"),
+    (r"(?i)\b[a-f0-9]{32,}\b", "[redacted-hex]"),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[redacted-email]"),
 )
+LONGEST = 2000
+CUT_OFF = "…[+{} chars]"
 
 
-def scrub(c: Column, longest: int = 2000) -> Column:
-    """Without tokens, keys, hashes and addresses; long texts are cut, with the number of characters left out."""
+def scrub(c: Column, longest: int = LONGEST) -> Column:
+    """Without tokens, keys, hashes and addresses; long texts are cut, with the number of characters (code points) left out."""
     for pattern, stand_in in SECRETS:
         c = F.regexp_replace(c, pattern, stand_in)
-    over = F.concat(F.substring(c, 1, longest), F.lit("…[+"), (F.length(c) - longest).cast("string"), F.lit("]"))
+    before, after = CUT_OFF.split("{}")
+    over = F.concat(F.substring(c, 1, longest), F.lit(before), (F.length(c) - longest).cast("string"), F.lit(after))
     return F.when(F.length(c) > longest, over).otherwise(c)
 
 
@@ -103,11 +111,11 @@ def extension(c: Column) -> Column:
 
 
 def file_kind(c: Column) -> Column:
-    """The first kind that the name's extension has."""
-    e = extension(c)
+    """The first kind whose mark a type or name holds, in whatever case; a picture's extension counts with its dot only."""
+    t = F.lower(c)
     return (
-        F.when(e == "PDF", "pdf").when(e.isin("DOC", "DOCX"), "word").when(e.isin("XLS", "XLSX", "CSV"), "sheet")
-        .when(e.isin("PNG", "JPG", "JPEG", "WEBP"), "image").otherwise("other")
+        F.when(t.contains("pdf"), "pdf").when(t.contains("doc"), "word").when(t.contains("xls") | t.contains("sheet"), "sheet")
+        .when(t.contains("image") | t.rlike(r"\.(jpg|jpeg|png|gif|webp)"), "image").otherwise("other")
     )
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import trim_all
+
 
 def patched(df: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """A sparse update. patch: key, and for each column c its value and has_c; a value counts only where has_c is true (null clears)."""
@@ -13,6 +17,16 @@ def patched(df: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> Da
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
+def inserted(raw: DataFrame, required: list[str], optional: list[str] = (), lower: tuple[str, ...] = (), **defaults: Column) -> DataFrame:
+    """New rows from raw ones: required texts trimmed (rows that lack one are left out), optional ones trimmed and null if blank,
+    ``lower`` in lower case; other columns from ``defaults``."""
+    trimmed = {c: trim_all(F.col(c)) for c in (*required, *optional)}
+    whole = reduce(lambda a, b: a & b, [F.coalesce(trimmed[c] != "", F.lit(False)) for c in required], F.lit(True))
+    values = {c: F.nullif(v, F.lit("")) for c, v in trimmed.items()}
+    values |= {c: F.lower(values[c]) for c in lower} | defaults
+    return raw.where(whole).select(*[values.get(c, F.col(c)).alias(c) for c in dict.fromkeys([*raw.columns, *values])])
+
+
 def updated(df: DataFrame, where: Column, **values: Column) -> DataFrame:
     """A bulk update of the rows that a predicate picks."""
     hit = F.coalesce(where, F.lit(False))

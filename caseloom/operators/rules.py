@@ -14,7 +14,7 @@ def _days(n: int) -> Column:
 def tier(status: Column, trial_end: Column, period_end: Column, updated: Column, as_of: Column) -> Column:
     """active, grace or blocked.
 
-    None at all and ACTIVE are active, CANCELED is blocked at once.  A trial is active while its end is
+    None at all, ACTIVE and unknown states are active, CANCELED is blocked at once.  A trial is active while its end is
     open or ahead, then has a grace of seven days; PAST_DUE has it from the end of the period or, without
     one, from the last update.  The last moment of grace belongs to it.
     """
@@ -23,14 +23,19 @@ def tier(status: Column, trial_end: Column, period_end: Column, updated: Column,
         return F.when(as_of <= since + _days(GRACE_DAYS), "grace").otherwise("blocked")
 
     return (
-        F.when(status.isNull() | (status == "ACTIVE"), "active")
-        .when(status == "CANCELED", "blocked")
+        F.when(status == "CANCELED", "blocked")
         .when(status == "TRIALING", F.when(trial_end.isNull() | (trial_end > as_of), "active").otherwise(grace(trial_end)))
         .when(status == "PAST_DUE", grace(F.coalesce(period_end, updated)))
-        .otherwise("blocked")
+        .otherwise("active")
     )
 
 
+def grace_ends(status: Column, trial_end: Column, period_end: Column, updated: Column, as_of: Column) -> Column:
+    """The last moment of grace, of states that have or had one; else null."""
+    anchor = F.when((status == "TRIALING") & (trial_end <= as_of), trial_end).when(status == "PAST_DUE", F.coalesce(period_end, updated))
+    return anchor + _days(GRACE_DAYS)
+
+
 def admits(tier_: Column, writes: Column, exempt: Column) -> Column:
     """active may do all, grace may read, blocked nothing; exempt requests pass."""
     return exempt | (tier_ == "active") | ((tier_ == "grace") & ~writes)
@@ -54,6 +59,15 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
+def patched_amounts(amount: Column, paid: Column, new_amount: Column, new_paid: Column) -> Column:
+    """null if a change of an invoice's amounts may be made, else what is wrong; null new values are not supplied and stay."""
+    after = F.coalesce(new_paid, paid) <= F.coalesce(new_amount, amount)
+    return (
+        F.when(new_amount.isNotNull() & ~(finite(new_amount) & (new_amount > 0)), "amount").when(new_paid.isNotNull() & ~(finite(new_paid) & (new_paid >= 0)), "paid")
+        .when(~F.coalesce(after, F.lit(False)), "over")
+    )
+
+
 def valid_amounts(amount: Column, paid: Column) -> Column:
     """A positive finite amount of which at least 0 and at most all is paid."""
     return F.coalesce(finite(amount) & finite(paid) & (amount > 0) & (paid >= 0) & (paid <= amount), F.lit(False))

@@ -382,22 +382,23 @@ def backfill_owner(c):
 
 # --- rules
 
-SUBS = """(SELECT id, CASE WHEN id % 11 = 0 THEN NULL WHEN status = 'CLOSED' THEN CASE WHEN id % 2 = 0 THEN 'CANCELED' ELSE 'ACTIVE' END WHEN status = 'ACTIVE' THEN 'TRIALING' ELSE 'PAST_DUE' END AS st,
+SUBS = """(SELECT id, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 19 = 0 THEN 'ODD' WHEN status = 'CLOSED' THEN CASE WHEN id % 2 = 0 THEN 'CANCELED' ELSE 'ACTIVE' END WHEN status = 'ACTIVE' THEN 'TRIALING' ELSE 'PAST_DUE' END AS st,
   CASE WHEN id % 13 = 0 THEN NULL ELSE created_at END AS ends, created_at FROM cases)"""
-TIER = """CASE WHEN st IS NULL OR st = 'ACTIVE' THEN 'active' WHEN st = 'CANCELED' THEN 'blocked'
-  WHEN st = 'TRIALING' THEN CASE WHEN ends IS NULL OR ends > {now} THEN 'active' WHEN {now} <= ends + INTERVAL 7 DAY THEN 'grace' ELSE 'blocked' END
-  ELSE CASE WHEN {now} <= coalesce(ends, created_at) + INTERVAL 7 DAY THEN 'grace' ELSE 'blocked' END END"""
+TIER = """CASE st WHEN 'CANCELED' THEN 'blocked'
+  WHEN 'TRIALING' THEN CASE WHEN ends IS NULL OR ends > {now} THEN 'active' WHEN {now} <= ends + INTERVAL 7 DAY THEN 'grace' ELSE 'blocked' END
+  WHEN 'PAST_DUE' THEN CASE WHEN {now} <= coalesce(ends, created_at) + INTERVAL 7 DAY THEN 'grace' ELSE 'blocked' END ELSE 'active' END"""
 
 
 def _subs(c: Catalog) -> DataFrame:
-    st = F.expr("case when id % 11 = 0 then null when status = 'CLOSED' then if(id % 2 = 0, 'CANCELED', 'ACTIVE') when status = 'ACTIVE' then 'TRIALING' else 'PAST_DUE' end")
+    st = F.expr("case when id % 11 = 0 then null when id % 19 = 0 then 'ODD' when status = 'CLOSED' then if(id % 2 = 0, 'CANCELED', 'ACTIVE') when status = 'ACTIVE' then 'TRIALING' else 'PAST_DUE' end")
     d = c.cases.select("id", st.alias("st"), F.expr("case when id % 13 = 0 then null else created_at end").alias("ends"), "created_at")
-    return d.withColumn("tier", rules.tier(F.col("st"), F.col("ends"), F.col("ends"), F.col("created_at"), now()))
+    how = (F.col("st"), F.col("ends"), F.col("ends"), F.col("created_at"), now())
+    return d.withColumn("tier", rules.tier(*how)).withColumn("grace_ends", rules.grace_ends(*how))
 
 
-@query(f"SELECT id, {TIER} AS tier FROM {SUBS} s")
+@query(f"""SELECT id, {TIER} AS tier, CASE WHEN st = 'TRIALING' AND ends <= {{now}} THEN ends WHEN st = 'PAST_DUE' THEN coalesce(ends, created_at) END + INTERVAL 7 DAY AS grace_ends FROM {SUBS} s""")
 def subscription_tier(c):
-    return _subs(c).select("id", "tier")
+    return _subs(c).select("id", "tier", "grace_ends")
 
 
 @query(f"SELECT id, id % 17 = 0 OR tier = 'active' OR (tier = 'grace' AND id % 2 = 0) AS admitted FROM (SELECT id, {TIER} AS tier FROM {SUBS} s) t")
@@ -415,7 +416,7 @@ def guards(c):
     return c.invoices.select("id", rules.may_delete_invoice(F.col("paid"), F.col("status")).alias("may_delete"), rules.valid_amounts(F.col("amount"), F.col("paid")).alias("valid"))
 
 
-@query("SELECT case_id, user_id, line, minutes, NOT invoiced AS may_delete FROM time_entries WHERE case_id % 50 = 0")
+@query("SELECT case_id, user_id, line, minutes, NOT invoiced AS may_delete FROM time_entries")
 def entry_guard(c):
     return c.time_entries.select("case_id", "user_id", "line", "minutes", rules.may_delete_entry(F.col("invoiced")).alias("may_delete"))
 
@@ -572,10 +573,10 @@ def round_half_up(c):
 # --- text and data
 
 
-@query(r"""SELECT id, length(s) AS n, md5(s) AS digest FROM (SELECT id, CASE WHEN length(t) > 2000 THEN substr(t, 1, 2000) || '…[+' || CAST(length(t) - 2000 AS VARCHAR) || ']' ELSE t END AS s FROM (SELECT id,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}', '[jwt]', 'g'),
-  '((?:bearer|token|secret|password|api[_-]?key)["'']?\s*[:= ]\s*["'']?)[^\s"'',;]{6,}', '\1[redacted]', 'gi'), '\b[0-9a-fA-F]{32,}\b', '[hex]', 'g'),
-  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g') AS t FROM files))""")
+@query(r"""SELECT id, length(s) AS n, md5(s) AS digest FROM (SELECT id, CASE WHEN length(t) > 2000 THEN substr(t, 1, 2000) || '…[+' || CAST(length(t) - 2000 AS VARCHAR) || ' chars]' ELSE t END AS s FROM (SELECT id,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[redacted-token]', 'g'),
+  '(ds_token=|token=|authorization:\s*bearer\s+|bearer\s+)[A-Za-z0-9._-]+', '\1[redacted-token]', 'gi'), '\b[a-f0-9]{32,}\b', '[redacted-hex]', 'gi'),
+  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[redacted-email]', 'g') AS t FROM files))""")
 def scrub_pii(c):
     s = text.scrub(F.col("text"))
     return c.files.select("id", s.alias("s")).select("id", F.length("s").cast("long").alias("n"), F.md5(F.col("s").cast("binary")).alias("digest"))
@@ -586,9 +587,10 @@ def sanitize_name(c):
     return c.files.select("id", text.safe_name(F.col("name")).alias("safe"))
 
 
-@query("""SELECT id, e AS extension, CASE WHEN e = 'PDF' THEN 'pdf' WHEN e = 'DOCX' THEN 'word' WHEN e = 'XLS' THEN 'sheet' WHEN e = 'PNG' THEN 'image' ELSE 'other' END AS kind FROM (SELECT id, upper(list_extract(string_split(name, '.'), -1)) AS e FROM files)""")
+@query("""SELECT id, e AS extension, CASE e WHEN 'PDF' THEN 'pdf' WHEN 'DOCX' THEN 'word' WHEN 'XLS' THEN 'sheet' ELSE 'other' END AS kind,
+  CASE WHEN lower(name) LIKE '%pdf%' THEN 'pdf' WHEN lower(name) LIKE '%doc%' THEN 'word' WHEN lower(name) LIKE '%xls%' OR lower(name) LIKE '%sheet%' THEN 'sheet' WHEN lower(name) LIKE '%image%' OR lower(name) LIKE '%.png%' THEN 'image' ELSE 'other' END AS kind_of_name FROM (SELECT id, name, upper(list_extract(string_split(name, '.'), -1)) AS e FROM files)""")
 def extension_bucket(c):
-    return c.files.select("id", text.extension(F.col("name")).alias("extension"), text.file_kind(F.col("name")).alias("kind"))
+    return c.files.select("id", text.extension(F.col("name")).alias("extension"), text.file_kind(text.extension(F.col("name"))).alias("kind"), text.file_kind(F.col("name")).alias("kind_of_name"))
 
 
 @query("""SELECT id, CASE WHEN id % 2 = 0 THEN lang || ' - ' || source ELSE source END AS joined FROM files""")
@@ -630,10 +632,12 @@ def sha256_tamper(c):
     return c.files.select("id", data.untampered(stored, content).alias("untouched"))
 
 
-@query("""SELECT id, CASE WHEN id % 2 = 0 THEN 'status' ELSE '' END AS changed FROM cases""")
+@query("""SELECT id, concat_ws(',', CASE WHEN id % 2 = 0 THEN 'status' END, CASE WHEN id % 3 = 0 THEN 'type' END) AS supplied FROM cases""")
 def changed_fields(c):
-    f = data.changed(status=(F.col("status"), F.when(F.col("id") % 2 == 0, F.lit("NEW")).otherwise(F.col("status"))), type=(F.col("type"), F.col("type")))
-    return c.cases.select("id", F.array_join(f, ",").alias("changed"))
+    one = lambda k, v: F.create_map(F.lit(k), v)
+    none = F.create_map().cast("map<string,string>")
+    patch = F.map_concat(one("other", F.lit("x")), F.when(F.col("id") % 2 == 0, one("status", F.col("status"))).otherwise(none), F.when(F.col("id") % 3 == 0, one("type", F.lit("NEW"))).otherwise(none))
+    return c.cases.select("id", F.array_join(data.supplied(patch, ["status", "type"]), ",").alias("supplied"))
 
 
 @query("SELECT id, replace(replace(rtrim(to_base64(encode(name)), '='), '+', '-'), '/', '_') AS coded, name AS back FROM files")
@@ -655,10 +659,21 @@ def html_extract_tagged(c):
     return c["pages"].select("page_id", x.alias("x")).select("page_id", F.col("x.method").alias("method"), F.length("x.text").alias("n"))
 
 
-@query("""SELECT id, magic FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'PDF' WHEN 1 THEN 'TXT' END AS magic FROM files)""")
+BODIES = (
+    ("PDF", "255044462D31"), ("PDF", "0050444600"), ("PNG", "89504E470D0A"), ("PNG", "89504E"), ("JPG", "FFD8FFE0"), ("JPEG", "FFD8FFE1"), ("JPEG", "89504E47"),
+    ("DOC", "D0CF11E0A1B11AE100"), ("XLS", "D0CF11E0A1B11AE1"), ("DOC", "D0CF11E000000000"), ("DOCX", "504B0304"), ("XLSX", "504B"), ("XLSX", "5041"), ("TXT", "255044462D31"),
+    ("TXT", "706C61696E"), ("TXT", "610062"), ("EXE", "4D5A"), ("TXT", ""),
+)
+
+
+@query(f"""WITH b(i, kind, body) AS (VALUES {", ".join(f"({i}, '{k}', from_hex('{h}'))" for i, (k, h) in enumerate(BODIES))})
+SELECT f.id, b.kind, CASE WHEN kind IN ('PDF', 'PNG') THEN starts_with(hex(body), CASE kind WHEN 'PDF' THEN '25504446' ELSE '89504E47' END)
+  WHEN kind IN ('JPG', 'JPEG') THEN starts_with(hex(body), 'FFD8FF') WHEN kind IN ('DOC', 'XLS') THEN starts_with(hex(body), 'D0CF11E0A1B11AE1')
+  WHEN kind IN ('DOCX', 'XLSX') THEN starts_with(hex(body), '504B') WHEN kind = 'TXT' THEN NOT regexp_matches(hex(body), '^(..)*00') ELSE false END AS fits FROM files f JOIN b ON b.i = f.id % {len(BODIES)}""")
 def magic_bytes(c):
-    body = F.expr("case id % 3 when 0 then concat(X'25504446', cast('-1.7' as binary)) when 1 then cast('plain' as binary) else concat(cast('a' as binary), X'00') end")
-    return c.files.select("id", data.magic_kind(body).alias("magic"))
+    bodies = F.array(*[F.struct(F.lit(k).alias("kind"), F.unhex(F.lit(h)).alias("body")) for k, h in BODIES])
+    d = c.files.select("id", F.element_at(bodies, (F.col("id") % len(BODIES) + 1).cast("int")).alias("b"))
+    return d.select("id", "b.kind", data.signature_fits(F.col("b.kind"), F.col("b.body")).alias("fits"))
 
 
 # --- writes
@@ -788,3 +803,6 @@ def line_counts(c):
 @query("SELECT id, length(text) > 4000 AS cut, length(substr(text, 1, 4000)) AS kept FROM files")
 def truncation_flag(c):
     return c.files.select("id", (F.length("text") > 4000).alias("cut"), F.length(text.cut(F.col("text"), 4000)).cast("long").alias("kept"))
+
+
+from . import lookups  # noqa: E402, F401  registers its queries too

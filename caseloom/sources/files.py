@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from ..functions.data import magic_kind
+from ..functions.data import signature_fits
 from ..functions.text import extension, safe_name
 
 MOST_BYTES = 20 * 1024 * 1024
-ACCEPTED = ("PDF", "DOC", "DOCX", "PNG", "JPG", "TXT")
+# Extensions and beginnings of media types that uploads may have.
+ACCEPTED = ("PDF", "DOC", "DOCX", "XLS", "XLSX", "PNG", "JPG", "JPEG", "TXT")
+MEDIA = ("application/pdf", "application/msword", "application/vnd.", "image/png", "image/jpeg", "text/plain")
 
 
 def binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -16,11 +18,25 @@ def binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def accepted(files: DataFrame) -> DataFrame:
-    """files with reason: null for an upload that passes, else the first check that it fails."""
+def within(files: DataFrame, root: str) -> DataFrame:
+    """files with their paths put in order; one outside the root is an error, not a row."""
+    path, base = F.regexp_replace("path", "^file:/*", "/"), root.removeprefix("file:").rstrip("/")
+    base = "/" + base.lstrip("/") + "/"
+    safe = path.startswith(base) & ~path.rlike(r"(^|/)\.\.(/|$)")
+    return files.withColumn("path", F.when(safe, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("outside the root: "), path)).cast("string")))
+
+
+def accepted(files: DataFrame, media: str | None = None) -> DataFrame:
+    """files with reason: null for an upload that passes, else the first check that it fails.
+
+    ``media``: the column with the media type that the sender named (none: not checked; blank: passes)."""
     kind = extension(F.element_at(F.split("path", "/"), -1))
-    told = magic_kind(F.col("content"))
-    reason = F.when(F.col("length") > MOST_BYTES, "too_large").when(~kind.isin(*ACCEPTED), "extension").when(~F.coalesce(told == kind, F.lit(False)), "content")
+    named = F.coalesce(F.col(media), F.lit("")) if media else F.lit("")
+    known = F.exists(F.array(*map(F.lit, MEDIA)), lambda m: F.startswith(named, m))
+    reason = (
+        F.when(F.coalesce(F.col("length"), F.lit(0)) == 0, "empty").when(F.col("length") > MOST_BYTES, "too_large").when(~kind.isin(*ACCEPTED), "extension")
+        .when((named != "") & ~known, "media_type").when(~signature_fits(kind, F.col("content")), "content")
+    )
     return files.withColumn("reason", reason)
 
 
@@ -36,12 +52,14 @@ def newest(files: DataFrame) -> DataFrame:
 
 def export(tables: dict[str, DataFrame], columns: dict[str, list[str]], path: str) -> DataFrame:
     """Writes each table's allowed columns as JSON lines under path/<name>, and a manifest; returns the manifest (name, n)."""
-    from ..operators.integrity import row_counts
-
     chosen = {n: df.select(*columns[n]) for n, df in tables.items()}
+    counts = []
     for n, df in chosen.items():
-        df.write.mode("overwrite").json(f"{path}/{n}")
-    manifest = row_counts(chosen)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path}/{n}")  # counted as it is written
+        counts.append((n, seen.get["n"]))
+    spark = next(iter(tables.values())).sparkSession
+    manifest = spark.createDataFrame(sorted(counts), "name string, n long")
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return manifest
 

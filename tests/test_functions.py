@@ -27,8 +27,8 @@ def test_plain(spark, f, arg, want):
 def test_scrub_order_and_cut(spark):
     s = "mail a.b@c.org Bearer abcdef123456 and " + "0" * 64 + " eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKK"
     got = one(spark, text.scrub(F.lit(s)))
-    assert "c.org" not in got and "abcdef123456" not in got and "0000" not in got and "[jwt]" in got and "[email]" in got
-    assert one(spark, text.scrub(F.lit("x " * 2500))).endswith("…[+3000]")
+    assert "c.org" not in got and "abcdef123456" not in got and "0000" not in got and "[redacted-token]" in got and "Bearer [redacted-token]" in got and "[redacted-hex]" in got and "[redacted-email]" in got
+    assert one(spark, text.scrub(F.lit("x " * 2500))).endswith("…[+3000 chars]")
 
 
 def test_escape_is_not_doubled(spark):
@@ -84,19 +84,29 @@ def test_digests_and_codecs(spark):
     assert one(spark, data.signed(F.lit("body"), F.lit(sig), "k")) is True and one(spark, data.signed(F.lit("body"), F.lit("0"), "k")) is False
 
 
-@pytest.mark.parametrize("body,want", [(b"%PDF-1", "PDF"), (b"\x89PNG..", "PNG"), (b"plain", "TXT"), (b"a\x00b", None), (b"x" * 1024 + b"\x00", "TXT")])
-def test_magic(spark, body, want):
-    assert one(spark, data.magic_kind(F.lit(body))) == want
+@pytest.mark.parametrize("kind,body,want", [("PDF", b"%PDF-1", True), ("PNG", b"\x89PNG..", True), ("TXT", b"plain", True), ("TXT", b"%PDF-1", True), ("TXT", b"a\x00b", False), ("TXT", b"x" * 1024 + b"\x00", True), ("XLSX", b"PK", True), ("DOC", b"\xd0\xcf\x11\xe0", False), ("EXE", b"MZ", False)])
+def test_magic(spark, kind, body, want):
+    assert one(spark, data.signature_fits(F.lit(kind), F.lit(body))) is want
 
 
 def test_json_scrub_depth(spark):
     deep = '{"a":' * 9 + '"x"' + "}" * 9
-    assert "[deep]" in one(spark, data.scrub_json(F.lit(deep)))
-    assert one(spark, data.scrub_json(F.lit('{"Password":"p","m":"a@b.co"}'))) == '{"m":"[email]"}'
+    assert "[max-depth]" in one(spark, data.scrub_json(F.lit(deep)))
+    assert one(spark, data.scrub_json(F.lit('{"Password":"p","m":"a@b.co"}'))) == '{"Password":"p","m":"[redacted-email]"}'
     assert one(spark, data.scrub_json(F.lit("{"))) is None
 
 
 def test_changed_and_known(spark):
-    got = data.changed(a=(F.lit(1), F.lit(1)), b=(F.lit(None).cast("int"), F.lit(2)))
+    got = data.supplied(F.create_map(F.lit("b"), F.lit(2), F.lit("z"), F.lit(1)), ["a", "b"])
     assert one(spark, got) == ["b"]
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("a", 1), ("b", 2), ("a", 3))])
+    assert one(spark, data.entries_map(entries)) == {"a": "3", "b": "2"}
+
+
+def test_event_scrub(spark):
+    event = '{"user":{"id":1},"message":"a@b.co","request":{"url":"/x?token=1","data":"secret","headers":{"cookie":"c","host":"h"},"query_string":"q=1"},"breadcrumbs":[{"message":"Bearer abc","data":{"k":"a@b.co"}}],"exception":{"values":[{"value":"' + "f" * 40 + '"}]}}'
+    got = one(spark, data.scrub_event(F.lit(event)))
+    assert got == '{"message":"[redacted-email]","request":{"url":"/x","headers":{"host":"h"},"query_string":""},"breadcrumbs":[{"message":"Bearer [redacted-token]","data":{"k":"[redacted-email]"}}],"exception":{"values":[{"value":"[redacted-hex]"}]}}'
+    assert one(spark, data.scrub_event(F.lit("[]"))) is None
+
     assert one(spark, data.known_keys(F.create_map(F.lit("a"), F.lit(1), F.lit("z"), F.lit(2)), ["a"])) == {"a": 1}

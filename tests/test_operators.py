@@ -116,7 +116,7 @@ def test_limit(asked, want):
     (None, None, None, "2020-01-01", "active"), ("ACTIVE", None, None, "2020-01-01", "active"), ("CANCELED", None, "2030-01-01", "2020-01-01", "blocked"),
     ("TRIALING", None, None, "2020-01-01", "active"), ("TRIALING", "2024-01-10 00:00:01", None, "2020-01-01", "active"), ("TRIALING", "2024-01-10", None, "2020-01-01", "grace"),
     ("TRIALING", "2024-01-03", None, "2020-01-01", "grace"), ("TRIALING", "2024-01-02 23:59:59", None, "2020-01-01", "blocked"),
-    ("PAST_DUE", None, "2024-01-03", "2020-01-01", "grace"), ("PAST_DUE", None, None, "2024-01-05", "grace"), ("PAST_DUE", None, None, "2020-01-01", "blocked"),
+    ("PAST_DUE", None, "2024-01-03", "2020-01-01", "grace"), ("PAST_DUE", None, None, "2024-01-05", "grace"), ("PAST_DUE", None, None, "2020-01-01", "blocked"), ("ODD", None, None, "2020-01-01", "active"),
 ])
 def test_tier_edges(spark, status, trial, period, updated, want):
     assert col1(spark, rules.tier(F.lit(status), moment(trial), moment(period), moment(updated), moment("2024-01-10"))) == want

@@ -9,10 +9,17 @@ from caseloom.streaming import folds as streams
 
 
 def test_uploads_by_size_extension_and_content(spark, tmp_path):
-    for name, body in {"a.pdf": b"%PDF-1", "b.pdf": b"nope\x00", "c.exe": b"MZ", "d.txt": b"hello"}.items():
+    for name, body in {"a.pdf": b"%PDF-1", "b.pdf": b"nope\x00", "c.exe": b"MZ", "d.txt": b"%PDF is only text here", "e.txt": b"", "f.jpeg": b"\xff\xd8\xff\xe0", "g.xlsx": b"PK\x03", "h.xls": b"PK"}.items():
         (tmp_path / name).write_bytes(body)
     got = {r["path"].rpartition("/")[2]: r["reason"] for r in files.accepted(files.binary(spark, str(tmp_path))).collect()}
-    assert got == {"a.pdf": None, "b.pdf": "content", "c.exe": "extension", "d.txt": None}
+    assert got == {"a.pdf": None, "b.pdf": "content", "c.exe": "extension", "d.txt": None, "f.jpeg": None, "g.xlsx": None, "h.xls": "content"}
+    none = spark.createDataFrame([("/x/e.txt", 0, b"")], "path string, length long, content binary")  # (the binary reader leaves out empty files)
+    assert files.accepted(none).first()["reason"] == "empty"
+    typed = files.binary(spark, str(tmp_path), "a.pdf").withColumn("media", F.lit("text/html"))
+    assert files.accepted(typed, "media").first()["reason"] == "media_type"
+    assert files.within(typed, str(tmp_path)).count() == 1
+    with pytest.raises(Exception, match="outside the root"):
+        files.within(typed, str(tmp_path / "sub")).collect()
     assert files.newest(files.binary(spark, str(tmp_path))).first()["path"] is not None
 
 
