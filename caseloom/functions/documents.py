@@ -17,18 +17,23 @@ def diff_lines(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     The walk starts at the ends of both texts; where dropping either line keeps as much, the right text's is
     taken first, so that in the result additions come after the deletions they stand beside.
     """
-    best = [[0] * (len(right) + 1)]
+    # Row i holds, a bit a right line, where the common subsequence with the first i left lines does not grow:
+    # n * m / 8 bytes, a row in a few operations on long integers.
+    at: dict[str, int] = {}
+    for j, y in enumerate(right):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(right)) - 1
+    rows = [full]
     for x in left:
-        row = [0]
-        for j, y in enumerate(right):
-            row.append(best[-1][j] + 1 if x == y else max(best[-1][j + 1], row[j]))
-        best.append(row)
+        v = rows[-1]
+        u = v & at.get(x, 0)
+        rows.append(((v + u) | (v - u)) & full)
     out, i, j = [], len(left), len(right)
     while i or j:
         if i and j and left[i - 1] == right[j - 1]:
             i, j = i - 1, j - 1
             out.append(("same", left[i]))
-        elif j and (not i or best[i][j - 1] >= best[i - 1][j]):
+        elif j and rows[i] >> (j - 1) & 1:
             j -= 1
             out.append(("add", right[j]))
         else:

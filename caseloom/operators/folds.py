@@ -1,8 +1,7 @@
 """Order-dependent folds: anchored windows, greedy packing, first-wins, stream frames.
 
-Per-key folds run in one of two forms: an array fold inside generated code for
-keys of a bounded history, and a grouped iterator (rows arrive sorted by the
-shuffle, one batch at a time in memory) for any other.
+Per-key folds are a single pass over rows that the shuffle has sorted, one batch
+at a time in memory, so a key of any length costs what its rows cost.
 """
 
 from __future__ import annotations
@@ -14,27 +13,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def limited(events: DataFrame, key: str, seconds: int, most: int, time: str = "ts", id_: str = "event_id") -> DataFrame:
-    """Every event with its anchored window: (id, key, time, n in the window, reset_at, limited, retry_after).
+    """Every event with its anchored window: (id, key, n in the window, reset_at, limited).
 
     The first event of a key opens a window of that many seconds; one at or after its end opens the next.
-    An event is limited from number most + 1 on.  retry_after: whole seconds, begun ones counted.
+    An event is limited from number most + 1 on.  Linear, with one batch of a key in memory at a time.
     """
-    wait = F.expr(f"interval {seconds} seconds")
-    hits = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(id_).alias("i")))).alias("hits")
-    start = F.expr("cast(named_struct('start', null, 'n', 0, 'out', array()) as struct<start: timestamp_ntz, n: int, out: array<struct<i: bigint, n: int, start: timestamp_ntz>>>)")
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = a["start"].isNull() | (a["start"] + wait <= x["t"])
-        at, n = F.when(fresh, x["t"]).otherwise(a["start"]), F.when(fresh, 1).otherwise(a["n"] + 1)
-        row = F.struct(x["i"].cast("bigint").alias("i"), n.alias("n"), at.alias("start"))
-        return F.struct(at.alias("start"), n.alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    folded = events.groupBy(key).agg(hits).select(key, F.explode(F.aggregate("hits", start, step)["out"]).alias("x"))
-    return folded.select(F.col("x.i").alias(id_), key, F.col("x.n").alias("n"), (F.col("x.start") + wait).alias("reset_at"), (F.col("x.n") > most).alias("limited"))
-
-
-def limited_any(events: DataFrame, key: str, seconds: int, most: int, time: str = "ts", id_: str = "event_id") -> DataFrame:
-    """As limited(), for keys with any number of events: linear, and one batch of a key in memory at a time."""
     kind = dict(events.dtypes)[key]
     wait = pd.Timedelta(seconds=seconds)
 

@@ -461,7 +461,7 @@ def rate_limit_anchored(c):
 
 @query(LIMITER)
 def rate_limit_streamed(c):
-    return folds.limited_any(c["events"], "user_id", 86400, 3)
+    return folds.limited(c["events"], "user_id", 86400, 3)
 
 
 @query(LIMITER.replace("SELECT event_id, user_id, CAST(n AS INT) AS n, start + INTERVAL 24 HOUR AS reset_at, n > 3 AS limited FROM f",
@@ -648,9 +648,12 @@ def base64url_codec(c):
 
 @query()
 def line_diff(c):
-    pairs = c["documents"].groupBy("source", "lang").agg(F.min("text").alias("a"), F.max("text").alias("b"))
-    d = pairs.select("source", "lang", F.explode(documents.diff(F.col("a"), F.col("b"))).alias("x"))
-    return d.groupBy("source", "lang").agg(*[F.count_if(F.col("x.kind") == k).alias(k) for k in ("add", "del", "same")])
+    """Every document against the one whose number follows."""
+    d = c["documents"].select("doc_id", F.col("text").alias("a"))
+    pairs = d.join(c["documents"].select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b")), "doc_id")
+    x = pairs.select("doc_id", documents.diff(F.col("a"), F.col("b")).alias("x"))
+    lines = lambda k: F.size(F.filter("x", lambda e: e["kind"] == k)).cast("long").alias(k)
+    return x.select("doc_id", *map(lines, ("add", "del", "same")))
 
 
 @query()

@@ -110,3 +110,32 @@ def test_event_scrub(spark):
     assert one(spark, data.scrub_event(F.lit("[]"))) is None
 
     assert one(spark, data.known_keys(F.create_map(F.lit("a"), F.lit(1), F.lit("z"), F.lit(2)), ["a"])) == {"a": 1}
+
+
+def test_diff_keeps_the_tie_rule():
+    import random
+
+    from caseloom.functions.documents import diff_lines
+
+    def table(left, right):
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        out, i, j = [], len(left), len(right)
+        while i or j:
+            if i and j and left[i - 1] == right[j - 1]:
+                i, j = i - 1, j - 1
+                out.append(("same", left[i]))
+            elif j and (not i or best[i][j - 1] >= best[i - 1][j]):
+                j -= 1
+                out.append(("add", right[j]))
+            else:
+                i -= 1
+                out.append(("del", left[i]))
+        return out[::-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = [[rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2)]
+        assert diff_lines(a, b) == table(a, b)
