@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import numpy as np  # noqa: E402
 
 #: Pieces that a worker remembers at most, in two generations.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _BATCH = 64
 _SURE = re.compile(r"(?<=[^\s])(?= [^\s])")
 _SPACES = tuple("\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
