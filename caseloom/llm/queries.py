@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import counts, decontam, embeddings, lines, mixing, quality, simhash, tokenfile, urls, warc
+from . import counts, decontam, embeddings, lines, merkle, mixing, quality, simhash, tokenfile, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +82,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -124,4 +128,28 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS p
 m AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to FROM m""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE ring AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT range AS n FROM range(256))),
+d AS (SELECT *, CASE WHEN doc_id IS NOT NULL THEN xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 7 = 0 ELSE false END AS tampered FROM documents, ring),
+f AS (SELECT doc_id, lang, tampered, n_chars, list_transform([doc_id::VARCHAR, source, lang], lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')) AS a, coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS z FROM d),
+h AS (SELECT doc_id, lang, sha256(array_to_string(a, '') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') || z) AS leaf,
+  CASE WHEN tampered AND n_chars IS NOT NULL THEN sha256(array_to_string(a, '') || strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1)::VARCHAR || z) END AS other FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM h),
+tree AS (SELECT lang, 0 AS level, i, n, leaf AS digest FROM l UNION ALL
+  SELECT lang, level + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lang, level, i // 2),
+s AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, g AS i, n, subroot AS digest FROM s UNION ALL
+  SELECT level + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 2),
+w AS (SELECT doc_id, leaf, l.lang, s.subroot, s.g, 0 AS level, i, l.n, coalesce(other, leaf) AS folded, '' AS seen, false AS above FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang UNION ALL
+  SELECT w.doc_id, w.leaf, w.lang, w.subroot, w.g, w.level + 1, w.i // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN t.digest IS NULL THEN w.folded WHEN w.i % 2 = 0 THEN w.folded || t.digest ELSE t.digest || w.folded END), w.seen || coalesce(t.digest, ''), false
+  FROM w LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM w.lang AND t.level = w.level AND t.i = xor(w.i, 1) WHERE w.n > 1),
+v AS (SELECT doc_id, leaf, subroot, 0 AS level, g AS i, (SELECT count(*) FROM s) AS n, folded, seen FROM w WHERE n = 1 UNION ALL
+  SELECT v.doc_id, v.leaf, v.subroot, v.level + 1, v.i // 2, (v.n + 1) // 2,
+    sha256(CASE WHEN t.digest IS NULL THEN v.folded WHEN v.i % 2 = 0 THEN v.folded || t.digest ELSE t.digest || v.folded END), v.seen || coalesce(t.digest, '')
+  FROM v LEFT JOIN top t ON t.level = v.level AND t.i = xor(v.i, 1) WHERE v.n > 1)
+SELECT doc_id, leaf, subroot, r.digest AS root, sha256(seen) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified
+FROM v, (SELECT digest FROM top WHERE n = 1) r WHERE v.n = 1""",
 }
