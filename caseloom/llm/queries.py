@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import counts, decontam, embeddings, lines, merkle, mixing, quality, simhash, tokenfile, urls, warc, whitening
+from . import counts, decontam, embeddings, lines, merkle, mixing, ngram_ratio, quality, simhash, tokenfile, urls, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, trusted = table(spark, sf_dir, "documents"), ngram_ratio.trusted_of(table(spark, sf_dir, "labels"))
+    return ngram_ratio.judge(docs, trusted, ["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
