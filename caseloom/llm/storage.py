@@ -48,3 +48,10 @@ def files(uri: str, suffix: str) -> list[tuple[str, int]]:
     base = uri.rstrip("/")
     found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
     return sorted((f"{base}/{x.base_name}", x.size) for x in found if x.is_file and x.base_name.endswith(suffix))
+
+
+def delete(uri: str) -> None:
+    """A file that may be gone already."""
+    system, path = _split(uri)
+    with contextlib.suppress(FileNotFoundError):
+        system.delete_file(path)

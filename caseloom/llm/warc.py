@@ -13,7 +13,11 @@ something else than records, raises an error that names it.
 
 Writing gives archives in the standard form: mandatory headers, record ids that
 are URIs, labelled digests, responses as HTTP messages, revisits with their
-profile.  Each is written under an attempt's name and moved into place when whole.
+profile.  A write has a number of its own, which its files' names hold, and ends by
+writing the list of the files that its successful tasks report; a reader takes
+files of a write only if they are on its list, so that what lost, repeated or
+speculative attempts leave behind is never read, and an unfinished write adds
+nothing.  Archives of others, whose names have no such number, are read as they are.
 
 Edge cases: a CR or LF in a URL is percent-encoded; a page without an id gets a
 random record id; header names are matched without case, continued lines are
@@ -22,7 +26,10 @@ joined; records of unknown types are returned with their block as payload.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -34,7 +41,7 @@ from pyspark.sql.datasource import (
 )
 
 from .shared import new_path, saved
-from .storage import files, reading, writing
+from .storage import delete, files, reading, writing
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, "
@@ -228,7 +235,7 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        found = [uri for suffix in (".warc.gz", ".warc") for uri, _ in files(self.path, suffix)]
+        found = archives(self.path)
         return [InputPartition(uri) for uri in found] or [InputPartition(None)]
 
     def read(self, partition: InputPartition):
@@ -238,27 +245,67 @@ class _Reader(DataSourceReader):
             yield from records(f, partition.value, lambda got: all(got[c] in values for c, values in self.wanted), self.payloads)
 
 
+def _of_write(write: str, uri: str) -> str | None:
+    """The number of the write that a file's name holds, or that of a list."""
+    found = re.search(write, uri.rpartition("/")[2])
+    return found and found[1]
+
+
+def archives(path: str) -> list[str]:
+    """The archives of a folder: foreign ones, and those that finished writes list."""
+    listed: set[str] = set()
+    for uri, _ in files(path, ".list"):
+        if _of_write(r"^_caseloom-([0-9a-f]{32})\.list$", uri):
+            with reading(uri) as f:
+                listed |= set(json.loads(f.read()))
+    found = [uri for suffix in (".warc.gz", ".warc") for uri, _ in files(path, suffix)]
+    return [uri for uri in found if not _of_write(_OWN, uri) or uri.rpartition("/")[2] in listed]
+
+
+#: Names of files that a write leaves.
+_OWN = r"^caseloom-([0-9a-f]{32})-[0-9a-f]{32}\.warc\.gz$"
+
+
+@dataclasses.dataclass
 class _Written(WriterCommitMessage):
-    pass
+    names: list[str]
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
-        self.path, self.date = options["path"], options.get("date")
+        self.path, self.date, self.number = options["path"].rstrip("/"), options.get("date"), uuid.uuid4().hex
+        self.roll = int(options.get("roll", ROLL))
 
     def write(self, iterator) -> WriterCommitMessage:
-        date = self.date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        date, names = self.date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), []
         row = next(iterator, None)
         while row is not None:
-            with writing(f"{self.path.rstrip('/')}/{uuid.uuid4().hex}.warc.gz") as out:
-                while row is not None and out.tell() < ROLL:
+            name = f"caseloom-{self.number}-{uuid.uuid4().hex}.warc.gz"
+            with writing(f"{self.path}/{name}") as out:
+                while row is not None and out.tell() < self.roll:
                     out.write(encode_record(row, date))
                     row = next(iterator, None)
-        return _Written()
+            names.append(name)
+        return _Written(names)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        kept = sorted(n for m in messages if m is not None for n in m.names)
+        with writing(f"{self.path}/_caseloom-{self.number}.list") as out:
+            out.write(json.dumps(kept).encode())
+        self._clear(set(kept))
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear(set())
+
+    def _clear(self, kept: set[str]) -> None:
+        """Deletes what this write's other attempts have left so far."""
+        for uri, _ in files(self.path, ".warc.gz"):
+            if _of_write(_OWN, uri) == self.number and uri.rpartition("/")[2] not in kept:
+                delete(uri)
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("caseloom_warc").option("path", folder)``; option payloads=false leaves payloads null, date is the WARC-Date to write."""
+    """``spark.read.format("caseloom_warc").option("path", folder)``; option payloads=false leaves payloads null, date is the WARC-Date to write, roll the bytes from which a file ends."""
 
     @classmethod
     def name(cls) -> str:
@@ -309,13 +356,16 @@ def page_id(record_id: Column) -> Column:
     return F.nullif(F.regexp_extract(record_id, f"^{PAGE}(-?[0-9]+)$", 1), F.lit("")).cast("long")
 
 
-def write(records: DataFrame, path: str) -> None:
+def write(records: DataFrame, path: str, roll: int = ROLL) -> None:
     records.sparkSession.dataSource.register(WarcDataSource)
-    records.write.format("caseloom_warc").option("path", path).mode("append").save()
+    records.write.format("caseloom_warc").option("path", path).option("roll", str(roll)).mode("append").save()
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of all archives in a folder; with payloads=False their payload column is null and nothing is inflated for it."""
+    """Records of all archives in a folder; with payloads=False their payload column is null and nothing is inflated for it.
+
+    Filters reach the reader only while ``spark.sql.python.filterPushdown.enabled`` is on, as it is planned: this turns
+    it on for the session."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("caseloom_warc").option("path", path).option("payloads", str(payloads).lower()).load()

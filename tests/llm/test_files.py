@@ -250,3 +250,48 @@ def test_filters_reach_the_reader_and_payloads_can_be_left(spark):
 def test_no_pages(spark):
     path = warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read(spark, path).count() == 0
+
+
+def test_a_task_that_is_run_again_leaves_no_record_twice(tmp_path):
+    """A task moves several files into place and then fails; its second attempt writes all of them again."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pathlib import Path
+from caseloom.llm import warc
+from caseloom.session import session
+from pyspark import TaskContext
+from pyspark.sql import functions as F
+spark = session("t", "local[2,3]")
+@F.udf("binary")
+def body(i):
+    if i == 559 and TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError("lost")
+    return bytes((i * 7 + k * k) % 251 for k in range(600)) * 3
+at = {str(tmp_path)!r}
+rows = spark.range(560).coalesce(1).select(F.lit("response").alias("record_type"), F.concat(F.lit(warc.PAGE), F.col("id").cast("string")).alias("record_id"),
+    F.lit("http://a/").alias("target_uri"), F.lit(None).cast("string").alias("refers_to"), F.lit("sha256:0").alias("payload_digest"), F.lit(1800).cast("long").alias("payload_bytes"), body("id").alias("payload"))
+warc.write(rows, at, roll=20_000)
+files = [p for p in Path(at).glob("*.warc.gz")]
+assert len(files) > 3, files
+got = warc.read(spark, at)
+assert got.count() == 560 and got.select("record_id").distinct().count() == 560
+# what a lost attempt leaves later is not read; a second write adds its own
+(Path(at) / ("-".join(files[0].name.split("-")[:2]) + "-" + "0" * 32 + ".warc.gz")).write_bytes(files[0].read_bytes())
+assert warc.read(spark, at).count() == 560
+warc.write(rows.limit(5), at)
+assert warc.read(spark, at).count() == 565
+# a write that fails adds nothing and leaves nothing
+before = sorted(p.name for p in Path(at).iterdir())
+try:
+    warc.write(rows.withColumn("payload", F.when(F.col("record_id").endswith("9"), F.raise_error(F.lit("no")).cast("binary")).otherwise(F.col("payload"))), at, roll=20_000)
+    raise SystemExit(3)
+except Exception as e:
+    assert "no" in str(e)
+assert warc.read(spark, at).count() == 565 and sorted(p.name for p in Path(at).iterdir()) == before
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
