@@ -1,4 +1,4 @@
-"""Order-dependent folds: anchored windows, greedy packing, first-wins, stream frames.
+"""Order-dependent folds: greedy packing, first-wins, stream frames.
 
 Per-key folds are a single pass over rows that the shuffle has sorted, one batch
 at a time in memory, so a key of any length costs what its rows cost.
@@ -12,34 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def limited(events: DataFrame, key: str, seconds: int, most: int, time: str = "ts", id_: str = "event_id") -> DataFrame:
-    """Every event with its anchored window: (id, key, n in the window, reset_at, limited).
-
-    The first event of a key opens a window of that many seconds; one at or after its end opens the next.
-    An event is limited from number most + 1 on.  Linear, with one batch of a key in memory at a time.
-    """
-    kind = dict(events.dtypes)[key]
-    wait = pd.Timedelta(seconds=seconds)
-
-    # partitions hold whole keys in time order; keys follow each other
-    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {"key": None, "start": None, "n": 0}
-        for pdf in frames:
-            ns, ends = [], []
-            for k, t in zip(pdf[key], pdf["t"], strict=True):
-                if k != state["key"]:
-                    state = {"key": k, "start": None, "n": 0}
-                if state["start"] is None or state["start"] + wait <= t:
-                    state["start"], state["n"] = t, 0
-                state["n"] += 1
-                ns.append(state["n"])
-                ends.append(state["start"] + wait)
-            yield pd.DataFrame({id_: pdf["i"], key: pdf[key], "n": ns, "reset_at": ends, "limited": [x > most for x in ns]})
-
-    dealt = events.select(key, F.col(time).alias("t"), F.col(id_).alias("i")).repartition(key).sortWithinPartitions(key, "t", "i")
-    return dealt.mapInPandas(keys, f"{id_} bigint, {key} {kind}, n int, reset_at timestamp_ntz, limited boolean")
-
-
 def retry_after(reset_at: Column, at: Column) -> Column:
     """Seconds until the window ends, begun ones counted."""
     return F.ceil((F.unix_micros(reset_at.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 1000000).cast("long")

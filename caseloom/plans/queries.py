@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import data, dates, documents, text
-from ..operators import dml, folds, integrity, nested, paging, reports, rules, scope, search
+from ..operators import dml, folds, integrity, limiter, nested, paging, policies, reports, rules, scope, search
 from .catalog import AS_OF, LOG_AS_OF, Catalog, with_domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -456,35 +456,41 @@ SELECT event_id, user_id, CAST(n AS INT) AS n, start + INTERVAL 24 HOUR AS reset
 
 @query(LIMITER)
 def rate_limit_anchored(c):
-    return folds.limited(c["events"], "user_id", 86400, 3)
-
-
-@query(LIMITER)
-def rate_limit_streamed(c):
-    return folds.limited(c["events"], "user_id", 86400, 3)
+    return limiter.limited(c["events"], "user_id", 86400, 3)
 
 
 @query(LIMITER.replace("SELECT event_id, user_id, CAST(n AS INT) AS n, start + INTERVAL 24 HOUR AS reset_at, n > 3 AS limited FROM f",
   "SELECT event_id, CAST(ceil((epoch_us(start + INTERVAL 24 HOUR) - epoch_us(ts)) / 1000000) AS BIGINT) AS wait FROM f WHERE n > 3"))
 def retry_after(c):
-    hits = folds.limited(c["events"], "user_id", 86400, 3).where("limited").join(c["events"].select("event_id", "ts"), "event_id")
+    hits = limiter.limited(c["events"], "user_id", 86400, 3).where("limited").join(c["events"].select("event_id", "ts"), "event_id")
     return hits.select("event_id", folds.retry_after(F.col("reset_at"), F.col("ts")).alias("wait"))
 
 
-POLICIES = [("view", 5), ("click", 4), ("purchase", 2), ("signup", 1), ("logout", 3)]
+SITES = ", ".join(f"({i}, '{b}', {most}, {minutes}, '{whose}')" for i, (b, most, minutes, whose) in enumerate(policies.POLICIES))
 
 
-@query("""WITH p(action, most) AS (VALUES ('view', 5), ('click', 4), ('purchase', 2), ('signup', 1), ('logout', 3)),
-e AS (SELECT id AS event_id, actor_id, action, created_at AS ts, row_number() OVER (PARTITION BY actor_id, action ORDER BY created_at, id) AS rn FROM log),
-f AS (SELECT event_id, actor_id, action, rn, ts AS start, 1 AS n FROM e WHERE rn = 1 UNION ALL
-  SELECT e.event_id, e.actor_id, e.action, e.rn, CASE WHEN f.start + INTERVAL 24 HOUR <= e.ts THEN e.ts ELSE f.start END,
-    CASE WHEN f.start + INTERVAL 24 HOUR <= e.ts THEN 1 ELSE f.n + 1 END FROM f JOIN e ON e.actor_id = f.actor_id AND e.action = f.action AND e.rn = f.rn + 1)
-SELECT f.event_id, f.n > p.most AS limited FROM f JOIN p USING (action)""")
+@query(f"""WITH p(site, bucket, most, minutes, whose) AS (VALUES {SITES}),
+q AS (SELECT id, actor_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, 1704067200000000 + (epoch_us(created_at) - 1704067200000000) // 500 AS t FROM log),
+s AS (SELECT q.*, CASE WHEN k < 90 THEN (SELECT bucket FROM p WHERE p.site = k % 45) ELSE CASE k % 5 WHEN 0 THEN 'cases:update' WHEN 1 THEN 'cases:delete' WHEN 2 THEN NULL WHEN 3 THEN 'clients:update' ELSE 'clients:delete' END END AS bucket FROM q),
+k AS (SELECT s.id, s.t, s.bucket, p.most, p.minutes * 60000000::BIGINT AS wait, CASE whose WHEN 'user' THEN actor_id % 2 WHEN 'office' THEN actor_id % 25 ELSE -1 END AS whose, actor_id % 3 = 0 AS address
+  FROM s JOIN p ON p.bucket = s.bucket),
+e AS (SELECT *, row_number() OVER (PARTITION BY bucket, whose, address ORDER BY t, id) AS rn FROM k),
+f AS (SELECT id, bucket, whose, address, t, rn, most, wait, t AS start, 1 AS n FROM e WHERE rn = 1 UNION ALL
+  SELECT e.id, e.bucket, e.whose, e.address, e.t, e.rn, e.most, e.wait, CASE WHEN f.start + e.wait <= e.t THEN e.t ELSE f.start END, CASE WHEN f.start + e.wait <= e.t THEN 1 ELSE f.n + 1 END
+  FROM f JOIN e ON e.bucket = f.bucket AND e.whose = f.whose AND e.address = f.address AND e.rn = f.rn + 1)
+SELECT id, bucket, CAST(n AS INT) AS n, n > most AS limited FROM f UNION ALL SELECT id, bucket, CAST(0 AS INT), false FROM s WHERE bucket IS NULL""")
 def rate_limit_policies(c):
-    policies = c.spark.createDataFrame(POLICIES, "action string, most int")
-    e = c.log.select(F.col("id").alias("event_id"), F.col("created_at").alias("ts"), F.concat_ws(":", "action", "actor_id").alias("bucket"))
-    hits = folds.limited(e, "bucket", 86400, 1).withColumn("action", F.split_part("bucket", F.lit(":"), F.lit(1)))
-    return hits.join(F.broadcast(policies), "action").select("event_id", (F.col("n") > F.col("most")).alias("limited"))  # one row a policy
+    """The log as requests at the sites of the policies, at 500 times its speed."""
+    k, a = F.from_json("props", "k int")["k"], F.col("actor_id")
+    sites = F.array(*[F.lit(p[0]) for p in policies.POLICIES])
+    item = policies.item_bucket(F.when(k % 5 < 3, "cases").otherwise("clients"), F.element_at(F.array(*map(F.lit, ("GET", "PATCH", "DELETE", "GET", "PATCH"))), k % 5 + 1))
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    micros = F.floor(F.timestamp_diff("MICROSECOND", start, F.col("created_at")) / 500)
+    r = c.log.select(
+        "id", F.when(k < 90, F.element_at(sites, k % 45 + 1)).otherwise(item).alias("bucket"), (a % 2).alias("user"), (a % 25).alias("office"), (a % 3 == 0).alias("address"),
+        (start + F.make_dt_interval(secs=(micros / 1_000_000).cast("decimal(18,6)"))).alias("at"),
+    )
+    return policies.limited(r, "bucket", "user", "office", "address", "at", "id").select("id", "bucket", "n", "limited")
 
 
 @query("""WITH r AS (SELECT id, actor_id, action, created_at, CASE WHEN id % 10 = 0 THEN '' WHEN id % 10 = 1 THEN repeat('x', 201) ELSE CAST(id % 4 AS VARCHAR) END AS token, CASE WHEN id % 6 = 0 THEN 0 ELSE 200 END AS status FROM log),

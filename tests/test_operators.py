@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from caseloom.operators import dml, folds, integrity, nested, paging, reports, rules, scope, search
+from caseloom.operators import dml, folds, integrity, limiter, nested, paging, reports, rules, scope, search
 
 DAY = datetime(2024, 1, 1)
 
@@ -168,7 +168,7 @@ def test_limiter_edges_and_both_forms(spark):
     at = [DAY + timedelta(seconds=s) for s in times]
     e = spark.createDataFrame([(i, "k", t) for i, t in enumerate(at)] + [(100, "other", DAY)], "event_id long, user_id string, ts timestamp_ntz")
     want = limiter_by_hand(at, 60, 3)
-    for form in (folds.limited,):
+    for form in (limiter.limited,):
         got = form(e, "user_id", 60, 3).where("user_id = 'k'").orderBy("event_id").collect()
         assert [(r["n"], r["limited"]) for r in got] == want
 

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import folds
+from caseloom.operators import limiter
 from caseloom.sources import files
 from caseloom.streaming import folds as streams
 
@@ -59,7 +59,7 @@ def test_streamed_limiter_equals_the_batch(spark, event_dir, tmp_path):
     q = streams.limiter(stream, "user_id", 60, 2).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {r["event_id"]: (r["n"], r["limited"]) for r in spark.table("limited").collect()}
-    batch = folds.limited(spark.read.parquet(event_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "user_id", 60, 2)
+    batch = limiter.limited(spark.read.parquet(event_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "user_id", 60, 2)
     assert got == {r["event_id"]: (r["n"], r["limited"]) for r in batch.collect()}
 
 
