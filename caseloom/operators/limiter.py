@@ -173,9 +173,7 @@ def limited(
     e = events.select(F.col(key).alias("key"), micros.alias("t"), F.col(id_).alias("i"), (col(seconds).cast("long") * 1_000_000).alias("wait"), col(most).cast("long").alias("most"))
     e = tables.written(e, "limiter-events")
     timed, parts = e.where("t is not null"), max(1, math.ceil(e.count() / part_rows))
-    order = [F.asc_nulls_first("key"), "t", "i"]
-    dealt = timed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
-    dealt = tables.written(dealt.select("key", "t", "i", "wait", "most", F.shiftright("_n", 33).alias("part"), F.col("_n").bitwiseAND((1 << 33) - 1).alias("seq")), "limiter-dealt")
+    dealt = tables.ranged(timed, parts, [F.asc_nulls_first("key"), "t", "i"], "limiter-dealt")
     b = _borders(dealt.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("t").alias("last")))
     entries = _entries(dealt, b) if b.runs else {}
     sent = spark.sparkContext.broadcast((b.runs, entries))  # at most two runs a partition

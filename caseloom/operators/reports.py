@@ -7,8 +7,12 @@ counts on one parent never multiply each other.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .. import tables
+
 OPEN = ("UNPAID", "OVERDUE", "PARTIAL")
 
 
@@ -84,15 +88,25 @@ def time_conversion(entries: DataFrame) -> DataFrame:
     )
 
 
-def discrete_percentiles(df: DataFrame, key: str, value: str, error: Column, ps: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+def discrete_percentiles(df: DataFrame, key: str, value: str, error: Column, ps: tuple[float, ...] = (0.5, 0.95), part_rows: int = 1_000_000) -> DataFrame:
     """min, the values at place floor(n p) of the ascending values, max and the number of errors, for each key.
 
-    Places are found by row numbers, so a key's values are sorted by Spark and spill; none are gathered in an array.
-    """
-    w = W.partitionBy(key)
-    d = df.where(F.col(value).isNotNull()).select(key, value, error.alias("_e")).withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    at = [F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * p) + 1, F.col("_n")), F.col(value))).alias(f"p{round(p * 100)}") for p in ps]
-    return d.groupBy(key).agg(F.min(value).alias("lowest"), *at, F.max(value).alias("highest"), F.count_if("_e").alias("errors"), F.count("*").alias("n"))
+    Selection over ranges: rows are dealt by (key, value), equal ones to several partitions if they are many, and
+    counted by partition and key; sums of the counts before a partition say in which one each place lies, and at which
+    row.  Only counts meet by key, so a key may hold all rows.  Rows without a value do not count; a null key is one."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), error.alias("_e")).withColumn("_tie", F.monotonically_increasing_id())
+    rows = tables.written(rows, "percentiles-rows")
+    dealt = tables.ranged(rows, max(1, math.ceil(rows.count() / part_rows)), [F.asc_nulls_first("_k"), "_v", "_tie"], "percentiles-dealt")
+    runs = dealt.groupBy("part", "_k").agg(F.count("*").alias("_here"), F.min("seq").alias("_first"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count_if("_e").alias("_errors"))
+    own = W.partitionBy("_k")  # a row a partition and key
+    runs = tables.written(runs.withColumn("_before", F.sum("_here").over(own.orderBy("part")) - F.col("_here")).withColumn("_n", F.sum("_here").over(own)), "percentiles-runs")
+    places = F.array(*[F.struct(F.lit(f"p{round(p * 100)}").alias("_p"), F.least(F.floor(F.col("_n") * p), F.col("_n") - 1).alias("_place")) for p in ps])
+    wanted = runs.select("part", "_first", "_here", "_before", F.explode(places).alias("_w")).where("_w._place >= _before and _w._place < _before + _here")
+    wanted = wanted.select("part", (F.col("_first") + F.col("_w._place") - F.col("_before")).alias("seq"), F.col("_w._p").alias("_p"))
+    found = dealt.join(wanted, ["part", "seq"]).groupBy(F.struct("_k").alias("_s")).agg(*[F.max(F.when(F.col("_p") == f"p{round(p * 100)}", F.col("_v"))).alias(f"p{round(p * 100)}") for p in ps])
+    whole = runs.groupBy(F.struct("_k").alias("_s")).agg(F.min("_low").alias("lowest"), F.max("_high").alias("highest"), F.sum("_errors").alias("errors"), F.sum("_here").alias("n"))
+    names = [f"p{round(p * 100)}" for p in ps]
+    return whole.join(found, "_s").select(F.col("_s._k").alias(key), "lowest", *names, "highest", "errors", "n")  # (structs, so that a null key meets itself)
 
 
 def since_month_start(df: DataFrame, as_of: str, key: str = "created_at") -> DataFrame:

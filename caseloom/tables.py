@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _LEFT: dict[str, SparkSession] = {}
 
@@ -39,6 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, parts: int, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` dealt to partitions by ranges of ``order`` and sorted, with each row's partition (part) and place in it (seq); written."""
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return written(dealt.withColumn("part", F.shiftright("_at", 33)).withColumn("seq", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at"), name)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

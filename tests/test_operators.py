@@ -255,3 +255,21 @@ def test_writes(spark):
     after, counts = dml.detached(gone, {"o": owned}, {"l": linked})
     assert [tuple(r) for r in after["o"].collect()] == [(2, 8)] and {tuple(r) for r in after["l"].collect()} == {(None, 7), (None, 8)}
     assert {tuple(r) for r in counts.collect()} == {("o", 1), ("l", 1)}
+
+
+@pytest.mark.parametrize("part_rows", [10, 1000])
+def test_percentiles_of_one_key_lie_in_many_partitions(spark, part_rows):
+    import random
+
+    rng = random.Random(part_rows)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), rng.choice([None, 5.0, 5.0, rng.random() * 10]), rng.random() < 0.2) for _ in range(150)] + [("one", 3.0, True), ("none", None, True)]
+    d = spark.createDataFrame(rows, "k string, v double, bad boolean").withColumns({c: F.lit(1) for c in ("part", "seq", "n", "p50")})
+    got = {r["k"]: (r["lowest"], r["p50"], r["p95"], r["highest"], r["errors"], r["n"]) for r in reports.discrete_percentiles(d, "k", "v", F.col("bad"), part_rows=part_rows).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        v = sorted(r[1] for r in rows if r[0] == k and r[1] is not None)
+        if v:
+            at = lambda p: v[min(int(len(v) * p), len(v) - 1)]
+            want[k] = (v[0], at(0.5), at(0.95), v[-1], sum(r[2] for r in rows if r[0] == k and r[1] is not None), len(v))
+    assert got == want
+    assert reports.discrete_percentiles(d.limit(0), "k", "v", F.col("bad")).count() == 0
