@@ -89,7 +89,7 @@ def no_query(url: Column) -> Column:
 
 
 def hops(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), trim_all), lambda x: x != "")
 
 
 def first_hop(c: Column) -> Column:
@@ -103,7 +103,7 @@ def last_hop(c: Column) -> Column:
 
 
 def names(csv: Column) -> Column:
-    return F.filter(F.transform(F.split(csv, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    return F.filter(F.transform(F.split(csv, ","), lambda x: F.lower(trim_all(x))), lambda x: x != "")
 
 
 def extension(c: Column) -> Column:
@@ -121,14 +121,14 @@ def file_kind(c: Column) -> Column:
 
 def joined(sep: str, *parts: Column) -> Column:
     """Non-blank parts with a separator."""
-    return F.array_join(F.filter(F.array(*[F.trim(p.cast("string")) for p in parts]), lambda x: x.isNotNull() & (x != "")), sep)
+    return F.array_join(F.filter(F.array(*[trim_all(p.cast("string")) for p in parts]), lambda x: x.isNotNull() & (x != "")), sep)
 
 
 def filled(template: str, **fields: Column) -> Column:
     """A template with {name} places; blank fields are dotted lines."""
     out = F.lit(template)
     for name, c in fields.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit("........")))
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(F.nullif(trim_all(c.cast("string")), F.lit("")), F.lit("........")))
     return out
 
 
@@ -157,7 +157,7 @@ def quoted_only(excerpts: Column, source: Column) -> Column:
 
 
 def filled_lines(c: Column) -> Column:
-    return F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
+    return F.filter(F.split(c, "\n"), lambda x: trim_all(x) != "")
 
 
 def strong_secret(c: Column, denied: tuple[str, ...] = ("changeme", "secret", "password")) -> Column:

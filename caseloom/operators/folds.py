@@ -6,11 +6,14 @@ at a time in memory, so a key of any length costs what its rows cost.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.text import trim_all
+
 
 def retry_after(reset_at: Column, at: Column) -> Column:
     """Seconds until the window ends, begun ones counted."""
@@ -41,19 +44,35 @@ def packed(items: DataFrame, by: str, order: list[str], size: str, cap: int) ->
     return items.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
 
 
-def first_wins(requests: DataFrame, keys: list[str], token: str, order: list[str], longest: int = 200) -> DataFrame:
-    """requests with outcome: run, replay (of an earlier run's answer), conflict (it is not done) or bypass.
+#: Fixed value: the status of an answer to a request whose forerunner is not done.
+CONFLICT = 409
 
-    A blank token, or one of over ``longest`` characters, bypasses; status 0 of the first request means that it
-    is not done yet.  A refusal is an answer like any other.
-    """
-    t = F.trim(F.coalesce(F.col(token), F.lit("")))
-    bypass = (t == "") | (F.length(t) > longest)
-    w = W.partitionBy(*keys, token).orderBy(*order)
-    first = F.first("status").over(w.rowsBetween(W.unboundedPreceding, 0))
-    known = requests.where(~bypass).withColumn("_i", F.row_number().over(w)).withColumn("_s", first)
-    known = known.withColumn("outcome", F.when(F.col("_i") == 1, "run").when(F.col("_s") == 0, "conflict").otherwise("replay")).drop("_i", "_s")
-    return known.unionByName(requests.where(bypass).withColumn("outcome", F.lit("bypass")))
+
+def token(name: str) -> Column:
+    """A request's key as it counts: without white space around it."""
+    return trim_all(F.coalesce(F.col(name), F.lit("")))
+
+
+def bypasses(name: str, longest: int = 200) -> Column:
+    t = token(name)
+    return (t == "") | (F.length(t) > longest)
+
+
+def first_wins(requests: DataFrame, keys: list[str], name: str, order: list[str], longest: int = 200) -> DataFrame:
+    """requests (status and body: what running one answers) with outcome, answered_status and answered_body.
+
+    run: the first of its token; replay: it gets the answer stored for the first, a refusal like any other;
+    conflict: the first is not done yet (status 0); bypass: a blank token, or one of over ``longest`` characters,
+    stores nothing.  The first of each token is found by an aggregate, so a token's requests need not meet."""
+    d = requests.withColumn("_bypass", bypasses(name, longest)).withColumn("_token", token(name)).withColumn("_at", F.struct(*order))
+    first = d.where(~F.col("_bypass")).groupBy(F.struct(*keys, "_token").alias("_key")).agg(F.min(F.struct("_at", "status", "body")).alias("_first"))
+    d = d.withColumn("_key", F.when(~F.col("_bypass"), F.struct(*keys, "_token"))).join(first, "_key", "left")
+    outcome = F.when(F.col("_bypass"), "bypass").when(F.col("_at") == F.col("_first._at"), "run").when(F.col("_first.status") == 0, "conflict").otherwise("replay")
+    d = d.withColumn("outcome", outcome)
+    own = F.col("outcome").isin("bypass", "run")
+    status = F.when(own, F.col("status")).when(F.col("outcome") == "conflict", CONFLICT).otherwise(F.col("_first.status"))
+    body = F.when(own, F.col("body")).when(F.col("outcome") == "replay", F.col("_first.body"))
+    return d.withColumn("answered_status", status).withColumn("answered_body", body).select(*requests.columns, "outcome", "answered_status", "answered_body")
 
 
 def single_use(uses: DataFrame, token: str, order: list[str]) -> DataFrame:
@@ -64,25 +83,73 @@ def single_use(uses: DataFrame, token: str, order: list[str]) -> DataFrame:
 def frames(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
     """One row a stream of server-sent events: (stream, content, sources, error, complete).
 
-    Chunks are put together in order and cut at blank lines, wherever the chunks were split.  Text deltas are
-    concatenated; the content of a done frame replaces them; the last sources stand; an error wins; a stream
-    without a done frame is not complete, and that is an error of its own.
+    Chunks are put together in order and cut at blank lines, wherever the chunks were split.  A frame's last event line
+    and its data lines count; frames whose data is no JSON do not.  Text deltas are concatenated; a text that a done
+    frame has as content replaces them; a list of sources in it, or else that of the last sources frame, stands; an
+    error wins; a stream without a done frame is not complete, and that is an error of its own.
     """
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, chunk))), lambda x: x[chunk]), "")
     parts = chunks.groupBy(stream).agg(F.regexp_replace(whole, "\r\n", "\n").alias("_all"))
-    name = lambda f: F.regexp_extract(f, r"(?m)^event: ?(.*)$", 1)
-    data = lambda f: F.array_join(F.regexp_extract_all(f, F.lit(r"(?m)^data: ?(.*)$"), F.lit(1)), "\n")
-    framed = parts.withColumn(
-        "_f", F.transform(F.filter(F.split("_all", "\n\n"), lambda f: F.trim(f) != ""), lambda f: F.struct(name(f).alias("event"), data(f).alias("data")))
+    lines = lambda f, what: F.transform(F.filter(F.split(f, "\n"), lambda x: F.startswith(x, F.lit(what))), lambda x: trim_all(F.substring(x, F.lit(len(what) + 1), F.length(x))))
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    framed = F.transform(
+        F.split("_all", "\n\n"),
+        lambda f: F.struct(F.coalesce(last(lines(f, "event:")), F.lit("message")).alias("event"), F.try_parse_json(F.array_join(lines(f, "data:"), "\n")).alias("data")),
     )
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    framed = parts.withColumn("_f", F.filter(framed, lambda f: f["data"].isNotNull()))
 
-    def of(event: str, path: str) -> Column:
-        return F.transform(F.filter("_f", lambda f: f["event"] == event), lambda f: F.get_json_object(f["data"], path))
+    def of(event: str, shape: str) -> Column:
+        return F.transform(F.filter("_f", lambda f: (f["event"] == event) & F.startswith(kind(f["data"]), F.lit(shape))), lambda f: f["data"])
 
-    text = F.array_join(F.transform(of("delta", "$.text"), lambda x: F.coalesce(x, F.lit(""))), "")
-    done, errors, sources = of("done", "$.content"), of("error", "$.message"), of("sources", "$.sources")
-    last = lambda a: F.try_element_at(a, F.lit(-1))
-    error = F.when(F.size(errors) > 0, F.coalesce(last(errors), F.lit("error"))).when(F.size(done) == 0, "incomplete")
+    def text(v: Column, path: str) -> Column:
+        found = F.try_variant_get(v, path, "variant")
+        return F.when(kind(found) == "STRING", found.cast("string"))
+
+    def listed(v: Column, path: str) -> Column:
+        found = F.try_variant_get(v, path, "variant")
+        return F.when(F.startswith(kind(found), F.lit("ARRAY")), F.to_json(found))
+
+    deltas = F.array_join(F.transform(of("delta", "OBJECT"), lambda v: F.coalesce(text(v, "$.text"), F.lit(""))), "")
+    done, errors, sources = last(of("done", "OBJECT")), of("error", "OBJECT"), last(of("sources", "ARRAY"))
+    error = F.when(F.size(errors) > 0, F.coalesce(text(last(errors), "$.message"), F.lit("error"))).when(done.isNull(), "incomplete")
     return framed.select(
-        stream, F.coalesce(last(done), text).alias("content"), last(sources).alias("sources"), error.alias("error"), (F.size(done) > 0).alias("complete")
+        stream, trim_all(F.coalesce(text(done, "$.content"), deltas)).alias("content"), F.coalesce(listed(done, "$.sources"), F.to_json(sources)).alias("sources"),
+        error.alias("error"), done.isNotNull().alias("complete"),
     )
+
+
+def nothing_said() -> dict:
+    return {"text": "", "content": None, "sources": None, "done_sources": None, "error": None, "complete": False}
+
+
+def hear(said: dict, frame: str) -> None:
+    """One frame, as ``frames`` takes it."""
+    event, lines = "message", []
+    for line in frame.split("\n"):
+        if line.startswith("event:"):
+            event = line[6:].strip()
+        elif line.startswith("data:"):
+            lines.append(line[5:].strip())
+    try:
+        data = json.loads("\n".join(lines))
+    except (ValueError, RecursionError):
+        return
+    text = lambda k: data[k] if isinstance(data.get(k), str) else None
+    if event == "sources" and isinstance(data, list):
+        said["sources"] = data
+    elif isinstance(data, dict):
+        if event == "delta":
+            said["text"] += text("text") or ""
+        elif event == "error":
+            said["error"] = text("message") or "error"
+        elif event == "done":
+            said |= {"complete": True, "content": text("content"), "done_sources": data["sources"] if isinstance(data.get("sources"), list) else None}
+
+
+def heard(said: dict) -> tuple:
+    """(content, sources, error, complete)"""
+    sources = said["sources"] if said["done_sources"] is None else said["done_sources"]
+    content = said["text"] if said["content"] is None else said["content"]
+    error = said["error"] or (None if said["complete"] else "incomplete")
+    return content.strip(), None if sources is None else json.dumps(sources, ensure_ascii=False, separators=(",", ":")), error, said["complete"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import trim_all
+
 GRACE_DAYS = 7
 
 
@@ -97,8 +99,8 @@ def enum_or(c: Column, values: list[str], default: str | None) -> Column:
 
 def missing_fields(required: list[str], notes: Column | None = None, enough: int = 40) -> Column:
     """Names of blank required columns; none if the notes are long enough to stand for them."""
-    gone = F.filter(F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(c)) for c in required]), lambda x: x.isNotNull())
-    return gone if notes is None else F.when(F.length(F.trim(F.coalesce(notes, F.lit("")))) >= enough, F.expr("cast(array() as array<string>)")).otherwise(gone)
+    gone = F.filter(F.array(*[F.when(F.coalesce(trim_all(F.col(c).cast("string")), F.lit("")) == "", F.lit(c)) for c in required]), lambda x: x.isNotNull())
+    return gone if notes is None else F.when(F.length(trim_all(F.coalesce(notes, F.lit("")))) >= enough, F.expr("cast(array() as array<string>)")).otherwise(gone)
 
 
 def with_defaults(singleton: DataFrame, defaults: dict[str, object]) -> DataFrame:

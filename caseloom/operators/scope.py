@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import trim_all
+
 MANAGER, LAWYER, CITIZEN, PLATFORM = "OFFICE_MANAGER", "LAWYER", "CITIZEN", "PLATFORM_ADMIN"
 
 
@@ -106,7 +108,7 @@ def may_enter(role: Column, email: Column, wanted: str, admins: str) -> Column:
     named = F.expr(f"filter(transform(split('{admins}', ','), x -> lower(trim(x))), x -> x <> '')")
     gates = {
         "office": role.isin(MANAGER, LAWYER), "manager": role == MANAGER, "citizen": role == CITIZEN,
-        "platform": F.array_contains(named, F.lower(F.trim(email))),
+        "platform": F.array_contains(named, F.lower(trim_all(email))),
     }
     return gates[wanted]
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import data, dates, documents, text
 from ..operators import dml, folds, integrity, limiter, nested, paging, policies, reports, rules, scope, search
+from ..streaming import replay, stateful
 from .catalog import AS_OF, LOG_AS_OF, Catalog, with_domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,14 +494,32 @@ def rate_limit_policies(c):
     return policies.limited(r, "bucket", "user", "office", "address", "at", "id").select("id", "bucket", "n", "limited")
 
 
-@query("""WITH r AS (SELECT id, actor_id, action, created_at, CASE WHEN id % 10 = 0 THEN '' WHEN id % 10 = 1 THEN repeat('x', 201) ELSE CAST(id % 4 AS VARCHAR) END AS token, CASE WHEN id % 6 = 0 THEN 0 ELSE 200 END AS status FROM log),
-k AS (SELECT *, row_number() OVER w AS rn, first(status) OVER w AS s FROM r WHERE token <> '' AND length(token) <= 200 WINDOW w AS (PARTITION BY actor_id, action, token ORDER BY created_at, id))
-SELECT id, CASE WHEN rn = 1 THEN 'run' WHEN s = 0 THEN 'conflict' ELSE 'replay' END AS outcome FROM k
-UNION ALL SELECT id, 'bypass' FROM r WHERE token = '' OR length(token) > 200""")
+ANSWERS = """WITH r AS (SELECT id, actor_id, action, created_at, props AS body, CASE WHEN id % 6 = 0 THEN 0 WHEN id % 7 = 0 THEN 422 ELSE 200 END AS status,
+  CASE id % 10 WHEN 0 THEN ' ' || chr(9) WHEN 1 THEN repeat('x', 201) WHEN 2 THEN chr(10) || CAST(id % 4 AS VARCHAR) || '  ' ELSE CAST(id % 4 AS VARCHAR) END AS token FROM log),
+t AS (SELECT *, regexp_replace(token, '^\\s+|\\s+$', '', 'g') AS key FROM r),
+k AS (SELECT *, row_number() OVER w AS rn, first(status) OVER w AS s, first(body) OVER w AS b FROM t WHERE key <> '' AND length(key) <= 200 WINDOW w AS (PARTITION BY actor_id, action, key ORDER BY created_at, id))
+SELECT id, CASE WHEN rn = 1 THEN 'run' WHEN s = 0 THEN 'conflict' ELSE 'replay' END AS outcome, CASE WHEN rn = 1 THEN status WHEN s = 0 THEN 409 ELSE s END AS answered_status,
+  CASE WHEN rn = 1 THEN body WHEN s <> 0 THEN b END AS answered_body FROM k
+UNION ALL SELECT id, 'bypass', status, body FROM t WHERE key = '' OR length(key) > 200"""
+
+
+def _requests(c: Catalog) -> DataFrame:
+    i = F.col("id")
+    token = F.when(i % 10 == 0, " \t").when(i % 10 == 1, "x" * 201).when(i % 10 == 2, F.concat(F.lit("\n"), (i % 4).cast("string"), F.lit("  "))).otherwise((i % 4).cast("string"))
+    status = F.when(i % 6 == 0, 0).when(i % 7 == 0, 422).otherwise(200)
+    return c.log.select("id", "actor_id", "action", "created_at", F.col("props").alias("body"), status.alias("status"), token.alias("token"))
+
+
+@query(ANSWERS)
 def idempotent_first_wins(c):
-    token = F.expr("case when id % 10 = 0 then '' when id % 10 = 1 then repeat('x', 201) else cast(id % 4 as string) end")
-    r = c.log.select("id", "actor_id", "action", "created_at", token.alias("token"), F.when(F.col("id") % 6 == 0, 0).otherwise(200).alias("status"))
-    return folds.first_wins(r, ["actor_id", "action"], "token", ["created_at", "id"]).select("id", "outcome")
+    return folds.first_wins(_requests(c), ["actor_id", "action"], "token", ["created_at", "id"]).select("id", "outcome", "answered_status", "answered_body")
+
+
+@query(ANSWERS)
+def idempotent_streamed(c):
+    """The same requests as a stream of three batches, answers kept in state."""
+    run = lambda s: stateful.first_wins(s, ["actor_id", "action"], "token", ["created_at", "id"])
+    return replay.replayed(_requests(c), "created_at", run, name="answers").select("id", "outcome", "answered_status", "answered_body")
 
 
 @query("SELECT id, row_number() OVER (PARTITION BY actor_id % 40 ORDER BY created_at, id) = 1 AS accepted FROM log")
@@ -516,7 +535,8 @@ def greedy_pack(c):
     return folds.packed(c["documents"].select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 20000).select("doc_id", "kept")
 
 
-@query()
+@query(r"""SELECT conv_id AS stream_id, regexp_replace(string_agg(text, '' ORDER BY turn), '^\s+|\s+$', '', 'g') AS content, CAST(NULL AS VARCHAR) AS sources,
+  CASE WHEN conv_id % 2 <> 0 THEN 'incomplete' END AS error, conv_id % 2 = 0 AS complete FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
 def sse_fold(c):
     d = c["conversations"].where("role = 'assistant'").select(F.col("conv_id").alias("stream_id"), "turn", "text")
     frame = F.concat(F.lit("event: delta\ndata: "), F.to_json(F.struct(F.col("text"))), F.lit("\n\n"), F.when(F.col("stream_id") % 2 == 0, "event: done\ndata: {}\n\n").otherwise(""))

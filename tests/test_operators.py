@@ -181,14 +181,17 @@ def test_packing_skips_and_goes_on(spark):
 
 def test_first_wins(spark):
     d = spark.createDataFrame(
-        [(1, "u", "e", "k", 200), (2, "u", "e", "k", 500), (3, "u", "f", "k", 0), (4, "u", "f", "k", 200), (5, "u", "e", "", 200), (6, "u", "e", None, 200), (7, "u", "e", "x" * 200, 200), (8, "u", "e", "x" * 201, 200)],
+        [(1, "u", "e", "k", 200), (2, "u", "e", "k", 500), (3, "u", "f", "k", 0), (4, "u", "f", "k", 200), (5, "u", "e", "", 200), (6, "u", "e", None, 200), (7, "u", "e", "x" * 200, 200), (8, "u", "e", "x" * 201, 200), (9, "u", "e", "\t k\n", 200), (10, None, "e", "k", 201), (11, None, "e", " k", 200)],
         "i int, user string, endpoint string, token string, status int",
     )
-    got = {r["i"]: r["outcome"] for r in folds.first_wins(d, ["user", "endpoint"], "token", ["i"]).collect()}
-    assert got == {1: "run", 2: "replay", 3: "run", 4: "conflict", 5: "bypass", 6: "bypass", 7: "run", 8: "bypass"}
+    d = d.withColumn("body", F.concat(F.lit("b"), F.col("i").cast("string")))
+    found = {r["i"]: r for r in folds.first_wins(d, ["user", "endpoint"], "token", ["i"]).collect()}
+    got = {i: r["outcome"] for i, r in found.items()}
+    assert [(found[i]["answered_status"], found[i]["answered_body"]) for i in (2, 4, 9, 8, 11)] == [(200, "b1"), (409, None), (200, "b1"), (200, "b8"), (201, "b10")]
+    assert got == {1: "run", 2: "replay", 3: "run", 4: "conflict", 5: "bypass", 6: "bypass", 7: "run", 8: "bypass", 9: "replay", 10: "run", 11: "replay"}
 
 
-FRAMES = 'event: delta\ndata: {"text":"a"}\n\nevent: delta\ndata: {"text":"b"}\n\nevent: sources\ndata: {"sources":[1]}\n\n'
+FRAMES = 'event: delta\ndata: {"text":"a"}\n\nevent: delta\ndata: {"text":"b"}\n\nevent: sources\ndata: [1]\n\n'
 
 
 @pytest.mark.parametrize("tail,content,error", [
