@@ -1,12 +1,12 @@
-"""JSON, arrays, maps, digests and bytes as Column expressions; Python only where recursion or HMAC asks for it."""
+"""JSON, arrays, maps, digests and bytes as Column expressions; Python only where rewriting or HMAC asks for it."""
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .rewrite import DROP, KEEP, Mode, rewrite
+
 
 def summary(meta: Column) -> Column:
     """What a log entry shows of its metadata: fields, reason, status or type, whichever is first; else its first three entries."""
@@ -78,81 +78,68 @@ def signature_fits(kind: Column, content: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-#: How deep values are scrubbed, and what stands for deeper ones.
+# How deep values are scrubbed and what stands for deeper ones; what a report of an error never carries.
 DEEPEST, TOO_DEEP = 6, "[max-depth]"
-#: What a report of an error never carries.
 DROPPED_REQUEST, DROPPED_HEADERS = ("data", "cookies"), ("cookie", "authorization", "x-internal-service-key")
 
 
-def _cleaner():
+def _scrubber():
+    """A text without secrets, cut where it is long."""
     import re
 
     from .text import CUT_OFF, LONGEST, SECRETS
 
     patterns = [(re.compile(p, re.ASCII), s.replace("$1", r"\1")) for p, s in SECRETS]
 
-    def clean(x, depth: int = 0):
-        if depth > DEEPEST:
-            return TOO_DEEP
-        if isinstance(x, dict):
-            return {k: clean(v, depth + 1) for k, v in x.items()}
-        if isinstance(x, list):
-            return [clean(v, depth + 1) for v in x]
-        if isinstance(x, str):
-            for p, s in patterns:
-                x = p.sub(s, x)
-            return x if len(x) <= LONGEST else x[:LONGEST] + CUT_OFF.format(len(x) - LONGEST)
-        return x
+    def clean(x: str) -> str:
+        for p, s in patterns:
+            x = p.sub(s, x)
+        return x if len(x) <= LONGEST else x[:LONGEST] + CUT_OFF.format(len(x) - LONGEST)
 
     return clean
 
 
-def _on_json(column: Column, change) -> Column:
-    def one(text):
-        try:
-            return None if text is None else json.dumps(change(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
-            return None
+def _scrubbed() -> Mode:
+    """All texts scrubbed, what lies deeper than DEEPEST replaced."""
+    clean, mode = _scrubber(), Mode(instead=TOO_DEEP)
+    for _ in range(DEEPEST + 1):
+        mode = Mode(text=clean, each=mode)
+    return mode
+
 
+def _report() -> Mode:
+    """An error report: what is not named here is kept as it is."""
+    value = _scrubbed()
+    crumb = Mode(members={"message": value, "data": value}, each=KEEP)
+    headers = Mode(members=dict.fromkeys(DROPPED_HEADERS, DROP), each=KEEP)
+    request = Mode(
+        members={**dict.fromkeys(DROPPED_REQUEST, DROP), "headers": headers, "query_string": Mode(text=lambda _: "", each=KEEP), "url": Mode(text=lambda u: u.partition("?")[0], each=KEEP)}, each=KEEP
+    )
+    exception = Mode(members={"values": Mode(each=Mode(members={"value": value}, each=KEEP))}, each=KEEP)
+    # crumbs come as a list, or as an object with a list of values
+    crumbs = Mode(members={"values": Mode(each=crumb)}, each=crumb)
+    named = {"user": DROP, "request": request, "message": value, "exception": exception, "breadcrumbs": crumbs, "extra": value, "contexts": value}
+    return Mode(members=named, each=KEEP)
+
+
+def _rewritten(column: Column, mode: Mode, objects: bool = False) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
+        return s.map(lambda t: None if t is None or (objects and not t.lstrip(" \t\n\r").startswith("{")) else rewrite(t, mode))
 
     return run(column)
 
 
 def scrub_json(column: Column) -> Column:
-    """A JSON text with all strings scrubbed, down to a depth; null if it is none."""
-    clean = _cleaner()
-    return _on_json(column, clean)
+    """A JSON text with all its texts scrubbed, down to a depth; null if it is none."""
+    return _rewritten(column, _scrubbed())
 
 
 def scrub_event(column: Column) -> Column:
-    """An error report (JSON) without its user, its request's body, cookies, secret headers and query; messages, crumbs and extras scrubbed."""
-    clean = _cleaner()
-
-    def change(event):
-        if not isinstance(event, dict):
-            raise ValueError
-        event.pop("user", None)
-        request = event.get("request")
-        if isinstance(request, dict):
-            for k in DROPPED_REQUEST:
-                request.pop(k, None)
-            for k in DROPPED_HEADERS:
-                (request.get("headers") or {}).pop(k, None)
-            if isinstance(request.get("query_string"), str):
-                request["query_string"] = ""
-            if isinstance(request.get("url"), str):
-                request["url"] = request["url"].partition("?")[0]
-        crumbs = event.get("breadcrumbs") or []
-        for holder, keys in [(event, ("message", "extra", "contexts")), *((c, ("message", "data")) for c in crumbs), *((x, ("value",)) for x in (event.get("exception") or {}).get("values") or [])]:
-            for k in keys:
-                if holder.get(k):
-                    holder[k] = clean(holder[k])
-        return event
-
-    return _on_json(column, change)
+    """An error report (JSON) without its user, its request's body, cookies, secret headers and query; messages, crumbs and extras scrubbed.
+
+    Members of other shapes than a report's are kept as they are; a text that is no JSON object gives null."""
+    return _rewritten(column, _report(), objects=True)
 
 
 def signed(body: Column, signature: Column, secret: str) -> Column:

@@ -38,9 +38,14 @@ def is_phone(c: Column) -> Column:
     return digits(c).rlike(r"^[0-9]{8,15}$")
 
 
+# Addresses of videos, and what stands before their ids.
+VIDEO_SITE = r"^https://(www\.)?(youtube\.com|youtu\.be)/"
+VIDEO_ID = r"(?:youtu\.be/|youtube\.com/(?:watch\?v=|embed/|shorts/))([A-Za-z0-9_-]{11})"
+
+
 def is_video(c: Column) -> Column:
-    """An address whose video id can be read."""
-    return video_id(c) != ""
+    """An address of a video site."""
+    return c.rlike(VIDEO_SITE)
 
 
 def digits(c: Column) -> Column:
@@ -49,7 +54,7 @@ def digits(c: Column) -> Column:
 
 def video_id(c: Column) -> Column:
     """The id in a watch, short or embed address; empty without one."""
-    return F.regexp_extract(c, r"(?:v=|youtu\.be/|embed/)([A-Za-z0-9_-]{6,})", 1)
+    return F.regexp_extract(c, VIDEO_ID, 1)
 
 
 def safe_name(c: Column, longest: int = 120) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import trim_all
@@ -26,22 +26,21 @@ def packed(items: DataFrame, by: str, order: list[str], size: str, cap: int) ->
     An item that does not fit is skipped and uses nothing up; later ones may still fit.  Rows of a key are
     streamed in order through one running number, so memory does not grow with the key.
     """
-    names = items.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, used = object(), 0
-        for pdf in frames:
+        for b in batches:
             kept = []
-            for k, n in zip(pdf[by], pdf[size], strict=True):
-                if k != key and not (pd.isna(k) and pd.isna(key)):
+            for k, n in zip(b[by].to_pylist(), b[size].to_pylist(), strict=True):
+                if k != key:
                     key, used = k, 0
-                fits = pd.notna(n) and used + n <= cap
-                used += int(n) if fits else 0
-                kept.append(bool(fits))
-            yield pdf.assign(kept=kept)[[*names, "kept"]]
+                fits = n is not None and used + n <= cap
+                used += n if fits else 0
+                kept.append(fits)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept, pa.bool_())], names=[*b.schema.names, "kept"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", kept boolean"
-    return items.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+    return items.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
 
 #: Fixed value: the status of an answer to a request whose forerunner is not done.

@@ -185,14 +185,17 @@ def text_checks(c):
     s, mail = F.col("s"), F.col("mail")
     return d.select(
         "id", text.trim_all(s).alias("trimmed"), text.blank_to_null(s).alias("or_null"), text.email_key(mail).alias("key"), text.cut(s, 7).alias("head"),
-        text.is_email(F.trim(mail)).alias("is_mail"), text.is_colour(F.col("colour")).alias("is_colour"), text.digits(F.col("phone")).alias("digits"), text.is_phone(F.col("phone")).alias("is_phone"),
+        text.is_email(text.trim_all(mail)).alias("is_mail"), text.is_colour(F.col("colour")).alias("is_colour"), text.digits(F.col("phone")).alias("digits"), text.is_phone(F.col("phone")).alias("is_phone"),
     )
 
 
-ADDRESSES = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('https://v.org/watch?v=abc_', CAST(page_id AS VARCHAR(20)), 'xyz&t=1') WHEN 1 THEN concat('https://youtu.be/id-', CAST(page_id AS VARCHAR(20)), 'abc') WHEN 2 THEN 'https://v.org/embed/ab' ELSE url END AS u FROM pages"
+ADDRESSES = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN concat('https://www.youtube.com/watch?v=abc_', substr(url, length(url) - 6, 7), '&t=1') WHEN 1 THEN concat('https://youtu.be/', substr(url, 9, 11), '?x')
+  WHEN 2 THEN concat('https://youtube.com/embed/ab-', substr(url, 9, 8)) WHEN 3 THEN concat('https://youtube.com/shorts/', substr(url, 9, 12)) WHEN 4 THEN concat('ftp://evil.example/?v=', substr(url, 9, 11))
+  WHEN 5 THEN concat('http://youtube.com/watch?v=', substr(url, 9, 11)) WHEN 6 THEN 'https://youtube.com/watch?v=short' ELSE url END AS u FROM pages"""
 
 
-@query(rf"""SELECT page_id, regexp_extract(u, '(?:v=|youtu\.be/|embed/)([A-Za-z0-9_-]{{6,}})', 1) AS video, regexp_matches(u, '(?:v=|youtu\.be/|embed/)[A-Za-z0-9_-]{{6,}}') AS is_video FROM ({ADDRESSES}) a""")
+@query(rf"""SELECT page_id, regexp_extract(u, '(youtu\.be/|youtube\.com/(watch\?v=|embed/|shorts/))([A-Za-z0-9_-]{{11}})', 3) AS video,
+  starts_with(u, 'https://youtube.com/') OR starts_with(u, 'https://www.youtube.com/') OR starts_with(u, 'https://youtu.be/') OR starts_with(u, 'https://www.youtu.be/') AS is_video FROM ({ADDRESSES}) a""")
 def video_ids(c):
     d = c.spark.sql(ADDRESSES.replace("FROM pages", "FROM {pages}"), pages=c["pages"])
     return d.select("page_id", text.video_id(F.col("u")).alias("video"), text.is_video(F.col("u")).alias("is_video"))

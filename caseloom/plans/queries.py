@@ -824,7 +824,7 @@ def template_fill(c):
     return c.clients.select("id", text.filled("Contract of {name} for {what}", name=F.col("name"), what=F.lit("")).alias("filled"))
 
 
-@query("SELECT id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INT) AS n FROM files")
+@query("SELECT id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\x0B\\p{Z}]'))) AS INT) AS n FROM files")
 def line_counts(c):
     return c.files.select("id", F.size(text.filled_lines(F.col("text"))).alias("n"))
 
@@ -834,4 +834,4 @@ def truncation_flag(c):
     return c.files.select("id", (F.length("text") > 4000).alias("cut"), F.length(text.cut(F.col("text"), 4000)).cast("long").alias("kept"))
 
 
-from . import lookups  # noqa: E402, F401  registers its queries too
+from . import lookups, operations  # noqa: E402, F401  registers its queries too

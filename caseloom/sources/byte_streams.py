@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
-def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
     if "://" in uri:
         return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), uri.removeprefix("file:")
@@ -34,7 +34,7 @@ class _Reader(DataSourceStreamReader):
 
     def _found(self) -> dict[str, list]:
         """Every stream's length and whether it has ended."""
-        system, path = _opened(self.path)
+        system, path = opened(self.path)
         found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
         ended = {x.base_name.removesuffix(".end") for x in found if x.base_name.endswith(".end")}
         return {n: [x.size, n in ended] for x in found if x.base_name.endswith(".sse") for n in [x.base_name.removesuffix(".sse")]}
@@ -55,7 +55,7 @@ class _Reader(DataSourceStreamReader):
         return out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        system, path = _opened(self.path)
+        system, path = opened(self.path)
         with system.open_input_file(f"{path}/{partition.name}.sse") as f:
             f.seek(partition.start)
             yield partition.name, partition.start, f.read(partition.end - partition.start), partition.last

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from .. import tables
 from ..functions.data import signature_fits
 from ..functions.text import extension, safe_name
 
@@ -64,11 +67,6 @@ def export(tables: dict[str, DataFrame], columns: dict[str, list[str]], path: st
     return manifest
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Adds log rows (audit, usage, notices)."""
-    df.write.mode("append").parquet(path)
-
-
 def snapshot(df: DataFrame, path: str, day: str) -> None:
     """A dated copy of a table; writing a day again replaces that day only."""
     df.withColumn("snapshot_day", F.lit(day).cast("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_day").parquet(path)
@@ -83,6 +81,18 @@ def expired(days: DataFrame, day: str, as_of: str, keep_days: int) -> DataFrame:
     return days.where(F.col(day) < F.date_sub(F.lit(as_of).cast("date"), keep_days))
 
 
+def pruned(spark: SparkSession, path: str, as_of: str, keep_days: int) -> list[str]:
+    """Deletes the snapshot days older than the retention; returns them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    days = [n.partition("=")[2] for x in listed for n in [x.getPath().getName()] if n.startswith("snapshot_day=")]
+    oldest = (date.fromisoformat(as_of) - timedelta(days=keep_days)).isoformat()
+    gone = sorted(d for d in days if d < oldest)
+    for d in gone:
+        tables.delete(spark, f"{path}/snapshot_day={d}")
+    return gone
+
+
 def requests(raw: DataFrame, body: str, schema: str) -> DataFrame:
     """JSON bodies parsed; malformed ones have a null request and status 400."""
     return raw.withColumn("request", F.from_json(body, schema, {"mode": "PERMISSIVE"})).withColumn(

@@ -14,7 +14,8 @@ def one(spark, c):
 @pytest.mark.parametrize("f,arg,want", [
     (text.blank_to_null, " \t ", None), (text.blank_to_null, "  a ", "a"), (text.email_key, " A@B.C ", "a@b.c"), (text.digits, "+1 (2)", "12"),
     (text.is_email, "a@b.c", True), (text.is_email, "a b@c.d", False), (text.is_colour, "#12abEF", True), (text.is_phone, "+20 100 200 3000", True), (text.is_phone, "123", False),
-    (text.video_id, "https://x.org/watch?v=abc_DEF-12&t=1", "abc_DEF-12"), (text.safe_name, "a/b  c?.pdf", "a_b_c_.pdf"), (text.in_fours, "ABCDEFGHI", "ABCD EFGH I"),
+    (text.video_id, "https://youtube.com/watch?v=abc_DEF-123&t=1", "abc_DEF-123"), (text.video_id, "https://x.org/watch?v=abc_DEF-123", ""), (text.video_id, "https://www.youtube.com/shorts/abc_DEF-123", "abc_DEF-123"), (text.video_id, "https://youtu.be/short", ""),
+    (text.is_video, "ftp://evil.example/?v=abcdefghijk", False), (text.is_video, "https://www.youtube.com/x", True), (text.is_video, "http://youtu.be/abcdefghijk", False), (text.filled_lines, "a\r\n\r\n\t\nb", ["a\r", "b"]), (text.names, "A,\tb\r", ["a", "b"]), (text.safe_name, "a/b  c?.pdf", "a_b_c_.pdf"), (text.in_fours, "ABCDEFGHI", "ABCD EFGH I"),
     (text.first_hop, " 1.1.1.1, ,2.2.2.2,", "1.1.1.1"), (text.last_hop, " 1.1.1.1, ,2.2.2.2,", "2.2.2.2"), (text.last_hop, " , ", None), (text.extension, "a.b.Pdf", "PDF"),
     (text.no_query, "http://a/b?c=d", "http://a/b"), (text.filled_lines, "a\n \nb", ["a", "b"]), (text.names, " A, ,b", ["a", "b"]),
     (dates.size_text, 1023, "1023 B"), (dates.size_text, 1536, "2 KB"), (dates.size_text, 1572864, "1.5 MB"), (dates.h_mm, 125, "2:05"), (dates.hh_mm_ss, 3661, "01:01:01"), (dates.half_up, -2.5, -2),
