@@ -677,9 +677,17 @@ def line_diff(c):
     """Every document against the one whose number follows."""
     d = c["documents"].select("doc_id", F.col("text").alias("a"))
     pairs = d.join(c["documents"].select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b")), "doc_id")
-    x = pairs.select("doc_id", documents.diff(F.col("a"), F.col("b")).alias("x"))
-    lines = lambda k: F.size(F.filter("x", lambda e: e["kind"] == k)).cast("long").alias(k)
-    return x.select("doc_id", *map(lines, ("add", "del", "same")))
+    found = documents.line_diffs(pairs, "a", "b").groupBy("doc_id")
+    n = found.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("add", "del", "same")])
+    return pairs.select("doc_id").join(n, "doc_id", "left").select("doc_id", *[F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in ("add", "del", "same")])
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_replace(replace(replace(text, chr(13), ''), chr(10), chr(10) || chr(10)), '^\\s+|\\s+$', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) >= 20 THEN md5(t) END AS digest, CASE WHEN length(t) >= 20 THEN 'docx' ELSE 'too_little' END AS method FROM t""")
+def docx_round_trip(c):
+    """Every document as a DOCX file of its lines, read back."""
+    x = documents.extract(F.lit("docx"), documents.as_docx(F.split("text", "\n")))
+    return c["documents"].select("doc_id", x.alias("x")).select("doc_id", F.md5(F.col("x.text").cast("binary")).alias("digest"), F.col("x.method").alias("method"))
 
 
 @query()

@@ -140,3 +140,69 @@ def test_diff_keeps_the_tie_rule():
     for _ in range(300):
         a, b = [[rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2)]
         assert diff_lines(a, b) == table(a, b)
+    # however few rows are kept
+    from caseloom.functions import documents as d
+
+    kept, d.KEPT, places, d.PLACES = d.KEPT, 0, d.PLACES, 3
+    for _ in range(300):
+        a, b = [[rng.choice("abcd") for _ in range(rng.randint(0, 40))] for _ in range(2)]
+        assert diff_lines(a, b) == table(a, b)
+    d.KEPT, d.PLACES = kept, places
+
+
+def test_diff_of_long_texts_takes_bounded_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    left = [f"line {rng.randrange(150_000)}" if rng.random() < 0.7 else rng.choice("abcde") for _ in range(200_000)]
+    right = [x for x in left if rng.random() < 0.9]
+    for _ in range(8000):
+        right[rng.randrange(len(right))] = f"new {rng.random()}"
+    tracemalloc.start()
+    counts = {"same": 0, "add": 0, "del": 0}
+    i, j = len(left), len(right)
+    for kind, line in documents.diff_backwards(left, right):
+        i, j = i - (kind != "add"), j - (kind != "del")
+        assert (kind == "add" or left[i] == line) and (kind == "del" or right[j] == line)
+        counts[kind] += 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert i == j == 0 and counts["same"] >= 170_000 and most < 200 << 20
+
+
+def test_line_diffs_as_rows(spark):
+    d = spark.createDataFrame([(1, "a\n\nb\nc", "b\nd"), (2, None, "x"), (3, None, None)], "id int, a string, b string")
+    got = documents.line_diffs(d, "a", "b").orderBy("id", F.desc("back")).collect()
+    assert [(r["id"], r["kind"], r["line"]) for r in got] == [(1, "del", "a"), (1, "same", "b"), (1, "del", "c"), (1, "add", "d"), (2, "add", "x")]
+
+
+def test_docx(spark):
+    import io
+    import zipfile
+
+    from caseloom.functions import docx
+
+    made = docx.document(["One & <two>\tthree", "", "é \x00ش"])
+    assert docx.text(made) == "One & <two>\tthree\n\n\n\né ش\n\n"
+
+    def packed(xml, name=docx.PART):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, xml)
+        return out.getvalue()
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    table = f"<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}</w:tc></w:tr></w:tbl>"
+    odd = f"<w:p><w:pPr><w:tabs><w:tab/></w:tabs></w:pPr><w:del><w:r><w:delText>gone</w:delText></w:r></w:del><mc:AlternateContent><mc:Choice>{p('no')}</mc:Choice><mc:Fallback><w:r><w:t>yes</w:t></w:r></mc:Fallback></mc:AlternateContent></w:p>"
+    assert docx.text(packed(f"<w:document {w}><w:body>{table}{odd}</w:body></w:document>")) == "a\n\nb\n\nyes\n\n"
+    bomb = '<!DOCTYPE x [<!ENTITY a "aaaa"><!ENTITY b "&a;&a;&a;">]>' + f"<w:document {w}>&b;</w:document>"
+    for torn in (b"", b"PK", made[:-30], made[: len(made) // 2], packed("<w:p>"), packed("<a/>", "other.xml"), packed(bomb)):
+        with pytest.raises(ValueError):
+            docx.text(torn)
+    with pytest.raises(docx.Oversized):
+        docx.text(docx.document(["a" * 100_000]), most=50_000)
+    bodies = [("docx", docx.document(["long enough to be a text", "more"])), ("DOCX", docx.document(["short"])), ("docx", b"PK torn"), ("docx", None), ("txt", b" plain text of some length \n"), ("txt", b""), ("xlsx", b"x"), ("odd", b"x")]
+    got = spark.createDataFrame(bodies, "k string, b binary").select(documents.extract(F.col("k"), F.col("b")).alias("x")).collect()
+    assert [tuple(r["x"]) for r in got] == [("long enough to be a text\n\nmore", "docx"), (None, "too_little"), (None, "unreadable"), (None, "unreadable"), ("plain text of some length", "plain-text"), (None, "too_little"), (None, "refused"), (None, "refused")]
