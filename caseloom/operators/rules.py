@@ -80,18 +80,21 @@ def usable_token(used_at: Column, expires_at: Column, as_of: Column) -> Column:
     return used_at.isNull() & ~(expires_at < as_of)
 
 
-def mail_decision(allowed_role: Column, recipient: Column, client_email: Column, colleague_email: Column, has_link: Column) -> Column:
-    """The first reason that applies."""
+def mail_decision(role: Column, office: Column, client_office: Column, colleague_office: Column) -> Column:
+    """Why a member may or may not write to an address; the offices are those of the client and colleague found under it (null: none)."""
     return (
-        F.when(~allowed_role, "role_denied")
-        .when(recipient.isNull() | ~recipient.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), "bad_address")
-        .when(client_email, "client")
-        .when(colleague_email, "colleague")
-        .when(has_link, "linked")
-        .otherwise("unknown_recipient")
+        F.when(role == "CITIZEN", "citizen_role_not_permitted")
+        .when(client_office == office, "client_recipient")
+        .when(colleague_office == office, "colleague_recipient")
+        .when(role == "OFFICE_MANAGER", "manager_override")
+        .otherwise("recipient_not_associated")
     )
 
 
+def mail_allowed(decision: Column) -> Column:
+    return ~decision.isin("citizen_role_not_permitted", "recipient_not_associated")
+
+
 def enum_or(c: Column, values: list[str], default: str | None) -> Column:
     """The value if it is one of them, else the default (null: refused)."""
     return F.when(c.isin(*values), c).otherwise(F.lit(default))

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import trim_all
+from ..functions.text import names, trim_all
 
 MANAGER, LAWYER, CITIZEN, PLATFORM = "OFFICE_MANAGER", "LAWYER", "CITIZEN", "PLATFORM_ADMIN"
 
@@ -105,7 +105,7 @@ def citizen(who: Principal, table: DataFrame, client: str = "client_id") -> Data
 
 def may_enter(role: Column, email: Column, wanted: str, admins: str) -> Column:
     """Whether a role passes a gate; platform administrators are named by a comma-separated list."""
-    named = F.expr(f"filter(transform(split('{admins}', ','), x -> lower(trim(x))), x -> x <> '')")
+    named = names(F.lit(admins))
     gates = {
         "office": role.isin(MANAGER, LAWYER), "manager": role == MANAGER, "citizen": role == CITIZEN,
         "platform": F.array_contains(named, F.lower(trim_all(email))),

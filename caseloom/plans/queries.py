@@ -127,12 +127,13 @@ def citizen_scope(c):
     return scope.citizen(scope.Principal(scope.CITIZEN, c.first_office, client=first), c.cases).select("id", "status", "type")
 
 
-@query("""WITH p(email, role) AS (VALUES ('root@x.org', 'LAWYER'), ('Boss@X.org ', 'OFFICE_MANAGER'), ('a@b.c', 'CITIZEN'), ('d@e.f', 'LAWYER'))
-SELECT email, role, role IN ('OFFICE_MANAGER', 'LAWYER') AS office, role = 'OFFICE_MANAGER' AS manager, role = 'CITIZEN' AS citizen,
-  lower(trim(email)) IN ('root@x.org', 'boss@x.org') AS platform FROM p""")
+@query("""WITH p AS (SELECT id, CASE WHEN active THEN role ELSE 'CITIZEN' END AS role, lower(name) || '@x.org' AS email FROM staff)
+SELECT id, role, role IN ('OFFICE_MANAGER', 'LAWYER') AS office, role = 'OFFICE_MANAGER' AS manager, role = 'CITIZEN' AS citizen, email IN ('supplier#000000001@x.org', 'supplier#000000004@x.org') AS platform FROM p""")
 def role_gates(c):
-    rows = c.spark.createDataFrame([("root@x.org", "LAWYER"), ("Boss@X.org ", "OFFICE_MANAGER"), ("a@b.c", "CITIZEN"), ("d@e.f", "LAWYER")], "email string, role string")
-    return rows.select("*", *[scope.may_enter(F.col("role"), F.col("email"), g, "root@x.org, BOSS@x.org,").alias(g) for g in ("office", "manager", "citizen", "platform")])
+    """The staff at each gate; those of them who are not active come as clients."""
+    mail = F.concat(F.lit("\t "), F.upper("name"), F.lit("@x.org\n"))
+    p = c.staff.select("id", F.when(F.col("active"), F.col("role")).otherwise("CITIZEN").alias("role"), mail.alias("email"))
+    return p.select("id", "role", *[scope.may_enter(F.col("role"), F.col("email"), g, "Supplier#000000001@x.org,\tSUPPLIER#000000004@X.org, ,").alias(g) for g in ("office", "manager", "citizen", "platform")])
 
 
 @query("""SELECT s.id FROM staff s JOIN offices o ON o.id = s.office_id WHERE s.active AND o.active AND s.slot % 2 = s.id % 3 AND (s.id % 4 <> 0 OR s.id % 3 = 0)""")
@@ -274,17 +275,20 @@ def upcoming_window(c):
 # --- search
 
 
-@query("""SELECT * FROM (SELECT 'case' AS kind, k.id, CAST(k.type AS VARCHAR) AS label FROM cases k JOIN clients l ON l.id = k.client_id
-  WHERE contains(lower(strip_accents(k.type)), 'me') OR contains(lower(strip_accents(l.name)), 'me') ORDER BY label, id LIMIT 8)
-UNION ALL SELECT * FROM (SELECT 'client', id, name AS label FROM clients WHERE contains(lower(strip_accents(name)), 'me') OR contains(lower(strip_accents(segment)), 'me') ORDER BY label, id LIMIT 8)
-UNION ALL SELECT * FROM (SELECT 'file', id, name AS label FROM files WHERE contains(lower(strip_accents(name)), 'me') OR contains(lower(strip_accents(lang)), 'me') ORDER BY label, id LIMIT 8)
-UNION ALL SELECT * FROM (SELECT 'staff', id, name AS label FROM staff WHERE contains(lower(strip_accents(name)), 'me') ORDER BY label, id LIMIT 8)""")
+@query("""SELECT * FROM (SELECT 'client' AS kind, l.id, l.name AS label FROM clients l WHERE l.active AND l.office_id = {o} AND (l.owner_id = 3 OR EXISTS (SELECT 1 FROM cases k WHERE k.client_id = l.id AND k.owner_id = 3 AND k.office_id = {o}))
+  AND (contains(lower(strip_accents(name)), 'me') OR contains(lower(strip_accents(segment)), 'me')) ORDER BY label, id LIMIT 8)
+UNION ALL SELECT * FROM (SELECT 'case', id, type AS label FROM cases WHERE office_id = {o} AND owner_id = 3 AND (contains(lower(strip_accents(type)), 'me') OR contains(lower(status), 'me')) ORDER BY label, id LIMIT 8)
+UNION ALL SELECT * FROM (SELECT 'invoice', i.id, 'ME-' || i.id AS label FROM invoices i JOIN clients l ON l.id = i.client_id LEFT JOIN cases k ON k.id = i.case_id
+  WHERE l.office_id = {o} AND (k.owner_id = 3 OR (i.case_id IS NULL AND l.owner_id = 3)) ORDER BY label, id LIMIT 8)
+UNION ALL SELECT * FROM (SELECT 'file', f.id, f.name AS label FROM files f LEFT JOIN cases k ON k.id = f.case_id WHERE f.office_id = {o} AND (f.owner_id = 3 OR k.owner_id = 3) AND contains(lower(strip_accents(f.name)), 'me') ORDER BY label, id LIMIT 8)""")
 def search_federated(c):
-    q = "ME"
-    named = c.cases.join(c.clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name")), "client_id")
+    """What a member may see of clients, cases, invoices and files, eight of each at most."""
+    who, q = lawyer(c), search.asked(" \tMÉ  ")
+    bills = scope.invoices(who, c.invoices, c.cases, c.clients).withColumn("number", F.concat(F.lit("ME-"), F.col("id").cast("string")))
     return search.federated([
-        search.bucket(named, "case", "type", ["type", "client_name"], q), search.bucket(c.clients, "client", "name", ["name", "segment"], q),
-        search.bucket(c.files, "file", "name", ["name", "lang"], q), search.bucket(c.staff, "staff", "name", ["name"], q),
+        search.bucket(scope.clients(who, c.clients, c.cases).where("active"), "client", "name", ["name", "segment"], q),
+        search.bucket(scope.cases(who, c.cases), "case", "type", ["type", "status"], q),
+        search.bucket(bills, "invoice", "number", ["number"], q), search.bucket(scope.files(who, c.files, c.cases), "file", "name", ["name"], q),
     ])
 
 
@@ -325,15 +329,26 @@ def chat_last_turns(c):
 # --- integrity
 
 
-@query("""SELECT 'case_client_owner' AS name, count(*) AS n FROM cases k JOIN clients l ON l.id = k.client_id WHERE k.owner_id <> l.owner_id
-UNION ALL SELECT 'file_case_office', count(*) FROM files f JOIN cases k ON k.id = f.case_id WHERE f.office_id <> k.office_id
-UNION ALL SELECT 'invoice_case_client', count(*) FROM invoices i JOIN cases k ON k.id = i.case_id WHERE i.client_id <> k.client_id""")
+@query("""WITH i AS (SELECT i.id, i.case_id, i.client_id, CASE WHEN i.id % 97 = 0 THEN 24 ELSE l.office_id END AS office_id FROM invoices i JOIN clients l ON l.id = i.client_id),
+h AS (SELECT h.case_id, CASE WHEN h.room % 89 = 0 THEN 24 ELSE k.office_id END AS office_id FROM hearings h JOIN cases k ON k.id = h.case_id)
+SELECT 'case_client' AS name, count(*) AS n FROM cases k JOIN clients l ON l.id = k.client_id WHERE k.office_id <> l.office_id
+UNION ALL SELECT 'file_case', count(*) FROM files f JOIN cases k ON k.id = f.case_id WHERE f.office_id <> k.office_id
+UNION ALL SELECT 'invoice_case', count(*) FROM i JOIN cases k ON k.id = i.case_id WHERE i.office_id <> k.office_id
+UNION ALL SELECT 'invoice_client', count(*) FROM i JOIN clients l ON l.id = i.client_id WHERE i.office_id <> l.office_id
+UNION ALL SELECT 'hearing_case', count(*) FROM h JOIN cases k ON k.id = h.case_id WHERE h.office_id <> k.office_id
+UNION ALL SELECT 'client_owner', count(*) FROM clients l JOIN staff s ON s.id = l.owner_id WHERE l.office_id <> s.office_id
+UNION ALL SELECT 'case_owner', count(*) FROM cases k JOIN staff s ON s.id = k.owner_id WHERE k.office_id <> s.office_id
+UNION ALL SELECT 'file_owner', count(*) FROM files f JOIN staff s ON s.id = f.owner_id WHERE f.office_id <> s.office_id""")
 def audit_tenant_mismatch(c):
-    return integrity.violations({
-        "case_client_owner": integrity.mismatches(c.cases, c.clients, "client_id", "owner_id", "owner_id").drop("_theirs"),
-        "file_case_office": integrity.mismatches(c.files, c.cases, "case_id", "office_id", "office_id").drop("_theirs"),
-        "invoice_case_client": integrity.mismatches(c.invoices, c.cases, "case_id", "client_id", "client_id").drop("_theirs"),
-    })
+    """The office of every child beside its parent's and its owner's; some invoices and hearings have strayed to another."""
+    theirs = lambda d, key: d.select(F.col("id").alias(key), F.col("office_id").alias("_office"))
+    bills = c.invoices.join(theirs(c.clients, "client_id"), "client_id").select("id", "case_id", "client_id", F.when(F.col("id") % 97 == 0, 24).otherwise(F.col("_office")).alias("office_id"))
+    hearings = c.hearings.join(theirs(c.cases, "case_id"), "case_id").select("case_id", F.when(F.col("room") % 89 == 0, 24).otherwise(F.col("_office")).alias("office_id"))
+    pairs = {
+        "case_client": (c.cases, c.clients, "client_id"), "file_case": (c.files, c.cases, "case_id"), "invoice_case": (bills, c.cases, "case_id"), "invoice_client": (bills, c.clients, "client_id"),
+        "hearing_case": (hearings, c.cases, "case_id"), "client_owner": (c.clients, c.staff, "owner_id"), "case_owner": (c.cases, c.staff, "owner_id"), "file_owner": (c.files, c.staff, "owner_id"),
+    }
+    return integrity.violations({name: integrity.mismatches(child, parent, key, "office_id", "office_id").drop("_theirs") for name, (child, parent, key) in pairs.items()})
 
 
 @query("""SELECT 'case_client' AS name, count(*) AS n FROM cases k WHERE NOT EXISTS (SELECT 1 FROM clients l WHERE l.id = k.client_id)
@@ -422,11 +437,17 @@ def entry_guard(c):
     return c.time_entries.select("case_id", "user_id", "line", "minutes", rules.may_delete_entry(F.col("invoiced")).alias("may_delete"))
 
 
-@query("""SELECT id, CASE WHEN id % 9 = 0 THEN 'role_denied' WHEN id % 8 = 0 THEN 'bad_address' WHEN id % 7 = 0 THEN 'client' WHEN id % 5 = 0 THEN 'colleague' WHEN id % 3 = 0 THEN 'linked' ELSE 'unknown_recipient' END AS decision FROM clients""")
+@query("""WITH d AS (SELECT l.id, CASE WHEN l.id % 9 = 0 THEN 'CITIZEN' WHEN l.id % 4 = 0 THEN 'OFFICE_MANAGER' ELSE 'LAWYER' END AS role, l.id % 3 AS office, CASE WHEN l.active THEN l.office_id % 3 END AS client, s.office_id % 3 AS colleague
+  FROM clients l LEFT JOIN staff s ON s.id = l.id),
+r AS (SELECT id, CASE WHEN role = 'CITIZEN' THEN 'citizen_role_not_permitted' WHEN client = office THEN 'client_recipient' WHEN colleague = office THEN 'colleague_recipient' WHEN role = 'OFFICE_MANAGER' THEN 'manager_override' ELSE 'recipient_not_associated' END AS reason FROM d)
+SELECT id, reason, reason IN ('client_recipient', 'colleague_recipient', 'manager_override') AS allowed FROM r""")
 def mail_authorization(c):
-    i = F.col("id")
-    to = F.when(i % 8 == 0, F.lit("no address")).otherwise(F.concat(F.lit("a"), i.cast("string"), F.lit("@b.org")))
-    return c.clients.select("id", rules.mail_decision(i % 9 != 0, to, i % 7 == 0, i % 5 == 0, i % 3 == 0).alias("decision"))
+    """Members of three offices write to addresses under which the clients (if active) and staff of the same number are found."""
+    i, staff = F.col("id"), c.staff.select("id", F.col("office_id").alias("near"))
+    d = c.clients.join(staff, "id", "left")
+    role = F.when(i % 9 == 0, "CITIZEN").when(i % 4 == 0, "OFFICE_MANAGER").otherwise("LAWYER")
+    reason = rules.mail_decision(role, i % 3, F.when(F.col("active"), F.col("office_id") % 3), F.col("near") % 3)
+    return d.select("id", reason.alias("reason")).withColumn("allowed", rules.mail_allowed(F.col("reason")))
 
 
 @query("SELECT id, id % 4 <> 0 AND NOT (created_at < {now}) AS usable FROM cases")
@@ -440,10 +461,11 @@ def enum_defaults(c):
     return c.cases.select("id", rules.enum_or(F.col("status"), known, "ACTIVE").alias("created"), rules.enum_or(F.col("status"), known, None).alias("changed"))
 
 
-@query("SELECT 'Practice' AS title, 'en' AS lang, CAST(14 AS INT) AS trial_days")
+@query("""SELECT name AS title, 'en' AS lang, CAST(CASE WHEN active THEN 14 ELSE 0 END AS INT) AS trial_days FROM offices WHERE id = {o}""")
 def singleton_defaults(c):
-    none = c.spark.createDataFrame([], "title string, lang string, trial_days int")
-    return rules.with_defaults(none, {"title": "Practice", "lang": "en", "trial_days": 14})
+    """The settings that the first office has stored: its name, no language, and no trial if it is closed."""
+    stored = c.offices.where(F.col("id") == c.first_office).select(F.col("name").alias("title"), F.lit(None).cast("string").alias("lang"), F.when(~F.col("active"), 0).alias("trial_days"))
+    return rules.with_defaults(stored, {"title": "Practice", "lang": "en", "trial_days": 14})
 
 
 # --- folds
