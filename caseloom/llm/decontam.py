@@ -20,6 +20,9 @@
    words and the item's.  A common subsequence of ``verbatim`` of the item's words
    is a copy; one of ``paraphrase`` of them is a paraphrase if the item's answer
    (its last sentence) is in the window too.  One window that meets the conditions is enough.
+5. Copies with words put in between, up to three for each of their own, spread beyond
+   such windows: windows STRETCHED times as wide that hold enough of the item's rarest
+   words (exact for ``verbatim``) are candidates too, and only copies count in them.
 
 Items are taken in blocks of ``items_a_block``, so what a task holds (a block's
 vocabulary, vectors and words) is bounded.  Several blocks are searched one after
@@ -44,6 +47,8 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import saved, slices
 
 PASSAGE, CHUNK = 64, 16
+#: A copy may be spread over so many times its own words by others put in between.
+STRETCHED = 4
 #: Chunks that are compared with all items of a block at once.
 STRETCH = 4096
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -82,6 +87,16 @@ def answer(text: str) -> list[bytes]:
     return parts[-1] if len(parts) > 1 else whole[-max(1, len(whole) // 4) :]
 
 
+@dataclass
+class Heads:
+    """What windows of a kind are counted by."""
+
+    first: np.ndarray  # of each term: where its items in ``heads`` begin
+    heads: np.ndarray  # items that have the term in their head, term by term
+    need: np.ndarray  # of each item: words of its head in any window that passes
+    wide: np.ndarray  # of each item: chunks of a window
+
+
 @dataclass
 class Space:
     """What a task needs to search a block of items."""
@@ -93,10 +108,8 @@ class Space:
     items: list[list[bytes]]
     answers: list[list[bytes]]
     groups: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by chunks of a window: item numbers, their unit vectors
-    first: np.ndarray = field(default_factory=lambda: np.zeros(1, "i8"))  # of each term: where its items in ``heads`` begin
-    heads: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))  # items that have the term in their head, term by term
-    need: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))  # of each item: words of its head in any window that passes
-    wide: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))  # of each item: chunks of a window
+    near: Heads | None = None  # windows as wide as the items
+    far: Heads | None = None  # windows STRETCHED times as wide
 
 
 def _tokens(texts: list, vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,9 +250,9 @@ def singular_vectors(z: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
     return u[:, : min(rank, int((s > s[0] * 1e-6).sum()))].astype("f4")
 
 
-def _heads(space: Space, df: np.ndarray, share: float) -> None:
-    """Sets first, heads and need: windows with a common subsequence of ``share`` of an item lack few enough places to hold ``need`` of its head."""
-    pairs, space.need = [], np.zeros(len(space.items), "i8")
+def _heads(space: Space, df: np.ndarray, share: float, wide: np.ndarray) -> Heads:
+    """Windows of so many chunks with a common subsequence of ``share`` of an item lack few enough places to hold ``need`` of its head."""
+    pairs, need = [], np.zeros(len(space.items), "i8")
     for j, c in enumerate(space.items):
         least = min(len(c), max(1, int(np.ceil(share * len(c) - 1e-9))))
         lacks, held = len(c) - least, 0
@@ -249,15 +262,14 @@ def _heads(space: Space, df: np.ndarray, share: float) -> None:
             held += int(times[k])
             if held >= lacks + max(1, least // 4):
                 break
-        space.need[j] = held - lacks
+        need[j] = held - lacks
     at = np.array(sorted(pairs), "i8").reshape(-1, 2)
-    space.first = np.searchsorted(at[:, 0], np.arange(len(space.vocab) + 1))
-    space.heads = at[:, 1].copy()
+    return Heads(np.searchsorted(at[:, 0], np.arange(len(space.vocab) + 1)), at[:, 1].copy(), need, wide)
 
 
-def _counted(ids: np.ndarray, row: np.ndarray, rows: int, space: Space, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def _counted(ids: np.ndarray, row: np.ndarray, rows: int, h: Heads, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """(row of the first chunk, item) of every window with ``need`` words of the item's head; ``row``: the row of every word's chunk."""
-    many = np.diff(space.first)
+    many = np.diff(h.first)
     at = np.flatnonzero(ids >= 0)
     at = at[many[ids[at]] > 0]
     if not len(at):
@@ -267,7 +279,7 @@ def _counted(ids: np.ndarray, row: np.ndarray, rows: int, space: Space, most: in
     for part in np.split(at, np.searchsorted(upto, np.arange(most, upto[-1], most))):
         n = many[ids[part]]
         ends = np.cumsum(n)
-        item = space.heads[np.arange(n.sum()) + np.repeat(space.first[ids[part]] - ends + n, n)]
+        item = h.heads[np.arange(n.sum()) + np.repeat(h.first[ids[part]] - ends + n, n)]
         k, c = np.unique(item * rows + np.repeat(row[part], n), return_counts=True)
         keys.append(k)
         times.append(c)
@@ -278,18 +290,18 @@ def _counted(ids: np.ndarray, row: np.ndarray, rows: int, space: Space, most: in
     total = np.concatenate(([0], np.cumsum(times)))
     item = key // rows
     # a window that passes has all its head words in the window that begins at its first one
-    starts = total[np.searchsorted(key, key + space.wide[item])] - total[:-1] >= space.need[item]
-    key, wide, all_keys = key[starts], space.wide[item[starts]], key
+    starts = total[np.searchsorted(key, key + h.wide[item])] - total[:-1] >= h.need[item]
+    key, wide, all_keys = key[starts], h.wide[item[starts]], key
     back = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
     item, w = np.repeat(key // rows, wide), np.repeat(key % rows, wide) - back
     item, w = item[w >= 0], w[w >= 0]
     window = np.unique(item * rows + w)
     item = window // rows
-    enough = total[np.searchsorted(all_keys, window + space.wide[item])] - total[np.searchsorted(all_keys, window)] >= space.need[item]
+    enough = total[np.searchsorted(all_keys, window + h.wide[item])] - total[np.searchsorted(all_keys, window)] >= h.need[item]
     return window[enough] % rows, item[enough]
 
 
-def fit(docs: DataFrame, items: list[tuple[object, str]], rank: int = 128, extra: int = 16, share: float = 0.6) -> Space:
+def fit(docs: DataFrame, items: list[tuple[object, str]], rank: int = 128, extra: int = 16, share: float = 0.6, copied: float = 0.8) -> Space:
     """The latent space of the corpus for a block of items (id, text)."""
     cut = [words(t) for _, t in items]
     vocab = {w: i for i, w in enumerate(sorted({w for c in cut for w in c}))}
@@ -310,8 +322,9 @@ def fit(docs: DataFrame, items: list[tuple[object, str]], rank: int = 128, extra
     for s in sorted(set(wide[sizes > 0].tolist())):
         at = np.flatnonzero((wide == s) & (sizes > 0))
         space.groups[s] = at, vectors[at].astype("f4")
-    space.wide = wide
-    _heads(space, df, share)
+    space.near = _heads(space, df, share, wide)
+    far = np.array([-(-(STRETCHED * len(c) - 1) // CHUNK) + 1 if c else 1 for c in cut])
+    space.far = _heads(space, df, copied, far)
     return space
 
 
@@ -333,7 +346,14 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
         row = np.arange(first[-1]) + doc * gap
         sums = np.zeros((int(first[-1]) + (len(part) + 1) * gap + 1, space.basis.shape[1]), "f4")
         _added(sums, row[chunk[use]], weighted, ids[use])
-        counted_w, counted_j = _counted(ids, row[chunk], len(sums), space)
+        counted_w, counted_j = _counted(ids, row[chunk], len(sums), space.near)
+        # where words stand between an item's: wider windows, by their own rows, with the same care at the ends of texts
+        row_far = np.arange(first[-1]) + doc * (int(space.far.wide.max()) - 1)
+        far: dict[tuple[int, int], list[int]] = {}
+        far_w, far_j = _counted(ids, row_far[chunk], int(row_far[-1]) + 1 + int(space.far.wide.max()), space.far)
+        k = np.minimum(np.searchsorted(row_far, far_w), len(row_far) - 1)
+        for d, j, c0 in zip(doc[k][ok := row_far[k] == far_w].tolist(), far_j[ok].tolist(), (k - first[doc[k]])[ok].tolist(), strict=True):
+            far.setdefault((d, j), []).append(c0)
         found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
         order = np.argsort(counted_w, kind="stable")
         counted_w, counted_j = counted_w[order], counted_j[order]
@@ -349,7 +369,7 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
                 norm[norm < 1e-9] = np.inf
                 dots = window @ vectors.T
                 candidates = dots >= (least * norm)[:, None]
-                of = space.wide[counted_j[near]] == s
+                of = space.near.wide[counted_j[near]] == s
                 candidates[counted_w[near][of] - r0, np.searchsorted(numbers, counted_j[near][of])] = True
                 at_w, at_j = np.nonzero(candidates)
                 i = np.searchsorted(row, at_w + r0, side="right") - 1
@@ -359,7 +379,7 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
                     found.setdefault((d, j), []).append((cosine, c0, s))
         cut: dict[int, list[bytes]] = {}
         masks: dict[int, dict] = {}
-        for (d, item), spots in sorted(found.items()):
+        for d, item in sorted(found.keys() | far.keys()):
             if d not in cut:
                 cut[d] = words(part[d])
             own = cut[d]
@@ -368,13 +388,21 @@ def _search(texts: list, space: Space, least: float, verbatim: float, paraphrase
                 masks[item] = places(target)
             reply_masks = places(reply)
             best = (0.0, 0.0)  # of the window that passes with the longest common subsequence: its share, the cosine
-            for cosine_at, c0, s in sorted(spots, reverse=True):
+            for cosine_at, c0, s in sorted(found.get((d, item), ()), reverse=True):
                 segment = own[c0 * CHUNK : (c0 + s) * CHUNK]
                 share = common(masks[item], len(target), segment, paraphrase * len(target)) / len(target)
                 if share > best[0] and (share >= verbatim or (share >= paraphrase and common(reply_masks, len(reply), segment) / len(reply) >= verbatim)):
                     best = (share, cosine_at)
                 if share >= verbatim:
                     break
+            for c0 in far.get((d, item), ()) if best[0] < verbatim else ():
+                segment = own[c0 * CHUNK : (c0 + int(space.far.wide[item])) * CHUNK]
+                share = common(masks[item], len(target), segment, verbatim * len(target)) / len(target)
+                if share >= verbatim:
+                    seen = [space.vocab[w] for w in segment if w in space.vocab]
+                    vector, own_vector = weighted[seen].sum(0), weighted[[space.vocab[w] for w in target]].sum(0)
+                    best = (share, float(vector @ own_vector / max(1e-12, np.linalg.norm(vector) * np.linalg.norm(own_vector))))
+                    break
             share, cosine_at = best
             if share > 0:
                 out[at + d].append({"item_id": space.ids[item], "cosine": cosine_at, "lcs": share, "kind": "copy" if share >= verbatim else "paraphrase"})
@@ -399,7 +427,7 @@ def search(
 
     def space_of(k: int, over: DataFrame) -> Space | None:
         rows = numbered.where(F.col("block") == k).orderBy("item_id", "text").collect()
-        return fit(over, [(r["item_id"], r["text"]) for r in rows], rank, share=min(verbatim, paraphrase)) if rows else None
+        return fit(over, [(r["item_id"], r["text"]) for r in rows], rank, share=min(verbatim, paraphrase), copied=verbatim) if rows else None
 
     def searched(d: DataFrame, kept: list[str], sent) -> DataFrame:
         def run(batches):

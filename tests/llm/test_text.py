@@ -268,19 +268,62 @@ def test_counted_windows_hold_every_passing_one():
         cut = [[b"%d" % rng.randrange(12) for _ in range(rng.randint(1, 40))] for _ in range(6)]
         vocab = {w: i for i, w in enumerate(sorted({w for c in cut for w in c}))}
         space = decontam.Space(vocab, np.zeros(0), np.zeros((0, 1)), list(range(6)), cut, cut)
-        space.wide = np.array([-(-(len(c) - 1) // 16) + 1 for c in cut])
-        decontam._heads(space, np.array([rng.randrange(5) for _ in vocab]), 0.6)
+        h = decontam._heads(space, np.array([rng.randrange(5) for _ in vocab]), 0.6, np.array([-(-(len(c) - 1) // 16) + 1 for c in cut]))
         text = [b"%d" % rng.randrange(14) for _ in range(300)]
         text[50 : 50 + len(cut[0])] = cut[0]
         ids, row = np.array([vocab.get(w, -1) for w in text]), np.arange(len(text)) // 16
         for most in (7, 4_000_000):
-            got = set(zip(*(x.tolist() for x in decontam._counted(ids, row, 30, space, most)), strict=True))
+            got = set(zip(*(x.tolist() for x in decontam._counted(ids, row, 30, h, most)), strict=True))
             for j, c in enumerate(cut):
                 for w in range(19):
-                    share = decontam.common(decontam.places(c), len(c), text[w * 16 : (w + int(space.wide[j])) * 16]) / len(c)
+                    share = decontam.common(decontam.places(c), len(c), text[w * 16 : (w + int(h.wide[j])) * 16]) / len(c)
                     assert share < 0.6 or (w, j) in got
 
 
+def test_copies_with_words_put_in_are_found_as_a_plain_search_finds_them(spark):
+    """Whole documents against whole items by a subsequence table and windows of its own: every span of up to four times an item's words."""
+    import re
+
+    def plain_common(a, b):
+        last = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
+            last = row
+        return last[-1]
+
+    rng = random.Random(12)
+    fill = [f"f{i}" for i in range(300)]
+    common_words = ["the", "of", "and", "in"]
+    items = [(i, " ".join(rng.choice(common_words) if rng.random() < 0.3 else f"w{i}x{k}" for k in range(rng.choice([20, 45, 116])))) for i in range(8)]
+    docs, planted = [], set()
+    for share in (0.0, 0.5, 1.0, 2.0, 3.0):
+        for i, t in items:
+            out, due = [], 0.0
+            for k, w in enumerate(t.split()):
+                if rng.random() >= 0.1 or share == 0:  # some of the item's own words are missing too
+                    out.append(w)
+                due += share
+                while due >= 1 and k + 1 < len(t.split()):
+                    out.append(rng.choice(fill + common_words))
+                    due -= 1
+            text = " ".join(rng.choices(fill + common_words, k=rng.randint(0, 150)) + out + rng.choices(fill + common_words, k=rng.randint(0, 150)))
+            docs.append((len(docs), text))
+    docs += [(len(docs) + k, " ".join(rng.choices(fill + common_words * 20, k=300))) for k in range(10)]
+    for d, text in docs:
+        own = re.findall("[a-z0-9]+", text)
+        for i, t in items:
+            item = t.split()
+            if plain_common(item, own) >= 0.8 * len(item):
+                wide = 4 * len(item)
+                if any(plain_common(item, own[a : a + wide]) >= 0.8 * len(item) for a in range(0, max(1, len(own) - wide + 1), 4)):
+                    planted.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("kind = 'copy'").collect()}
+    assert len(planted) >= 36 and len(planted & got) >= 0.9 * len(planted) and all(d // 8 < 5 and i == d % 8 for d, i in got)
+    assert planted <= got
+
+
 def test_lcs():
     def plain(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
