@@ -14,8 +14,8 @@
    holds; the slot of rank r takes block r.  ``pieces`` joins the blocks to their
    slots, ``mix`` sums the pieces of each document, ``ordered`` gives the documents
    in the order of the slots.
-5. Remainders.  A slot holds more words the larger the corpus, so a source of a
-   small target may have no slot, or one too many.  A source that the schedule
+5. Remainders.  A source whose target is smaller than a slot may have no slot, or
+   one too many.  A source that the schedule
    leaves off its target by more than ``OFF`` of it (and a word) takes its target,
    rounded; its blocks beyond its own slots share slots spread over the mix.
 
@@ -173,9 +173,15 @@ class Mixture:
         return F.broadcast(self.per) if self.per.count() <= MOST_BROADCAST else self.per
 
 
-def prepare(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, slots: int = 1 << 20) -> Mixture:
+def slots_of(n: int) -> int:
+    """The number of slots for so many documents."""
+    return min(LATTICE, max(1 << 20, 1 << max(0, n - 1).bit_length()))
+
+
+def prepare(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, slots: int | None = None) -> Mixture:
     spark = docs.sparkSession
     sizes, _ = saved(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    slots = slots or slots_of(sizes.count())
     per, path = saved(targets(sizes.select("source", "size"), weights, max_epochs), "sources")
     ranks, _ = saved(ranked(schedule(spark, per, slots)).select("k", F.col("rank").alias("block_no"), "slot"), "slots")
     taken = ranks.groupBy("k").agg(F.count("*").alias("n_slots"))
@@ -229,7 +235,7 @@ def pieces(placed: DataFrame, m: Mixture) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, slots: int = 1 << 20) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, slots: int | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, start, taken, copies) of every document.
 
     taken: the words of it that all slots hold, repeats counted; copies: how often a slot holds its first word."""

@@ -125,9 +125,11 @@ t AS (SELECT *, round(least(room::DOUBLE, max(CASE WHEN level <= fills THEN leve
 e AS (SELECT *, round(sum(target) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () * 2147483648)::BIGINT AS hi,
         sum(source_size) OVER () AS total FROM t),
 b AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY k), 0) AS lo FROM e),
-g AS (SELECT (i * 1327217885) % 2147483648 AS u FROM range(1048576) r(i)),
+z AS (SELECT least(2147483648, greatest(1048576, CASE WHEN count(*) > 1 THEN (2 ** ceil(log2(count(*))))::BIGINT ELSE 1 END)) AS slots FROM documents),
+g AS (SELECT (i * 1327217885) % 2147483648 AS u FROM (SELECT unnest(range(slots)) AS i FROM z)),
 n AS (SELECT b.k, count(g.u) AS n_slots FROM b LEFT JOIN g ON g.u >= b.lo AND g.u < b.hi GROUP BY b.k),
-p AS (SELECT b.*, least(round(n.n_slots * (b.total / 1048576.0::DOUBLE))::BIGINT, b.source_size * 3) AS words_taken FROM b JOIN n USING (k)),
+y AS (SELECT b.*, least(round(n.n_slots * (b.total / z.slots::DOUBLE))::BIGINT, b.source_size * 3) AS scheduled FROM b JOIN n USING (k), z),
+p AS (SELECT *, CASE WHEN abs(scheduled - target) > greatest(1.0, target * 0.001) THEN round(target)::BIGINT ELSE scheduled END AS words_taken FROM y),
 x AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.words_taken,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.size, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)

@@ -450,3 +450,14 @@ def test_pipeline_of_nothing(spark):
     src = "/root/testdata/sf0.001"
     none = spark.read.parquet(f"{src}/documents.parquet").limit(0)
     assert all(stage(spark, none, src).count() == 0 for _, stage in p.STAGES)
+
+
+def test_slots_follow_the_documents(spark):
+    from caseloom.llm import mixing
+
+    assert [mixing.slots_of(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 3_000_000, 1 << 40)] == [1 << 20] * 3 + [1 << 21, 1 << 22, 1 << 31]
+    # a source off its schedule takes its target: with few slots many are
+    docs = spark.createDataFrame([(i, f"s{i % 5}" if i % 40 else "rare", "w " * (i % 9 + 1)) for i in range(400)], "doc_id long, source string, text string")
+    for slots in (8, 1 << 16):
+        got = mixing.mix(docs, slots=slots).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert all(abs(r["taken"] - r["target"]) <= max(1.0, 0.001 * r["target"]) for r in got)
