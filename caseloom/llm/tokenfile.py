@@ -19,7 +19,7 @@ order, null ids first.  Its file ``*.ids``, all little-endian:
 A reader opens a shard by its footer alone and finds a key by a constant number of
 small reads at computed places: some words of the index, a rank, a fingerprint, a
 row and a count, two starts, then the ids.  A scan of payloads needs no parsing.  A
-shard is written by one task as it encodes and moved into place when whole; a
+shard is written by one task as it encodes, ends at ROLL bytes of payload, and is moved into place when whole; a
 manifest lists the shards that count, so files of lost attempts are never read.
 
 Edge cases: a null text is empty and has the end id only; rows with the same
@@ -46,16 +46,19 @@ from .storage import reading, writing
 MAGIC = b"CLOOMID2"
 _PARTS = {"doc_ids": "<i8", "nulls": "u1", "starts": "<i8", "sizes": "<i8", "words": "<u8", "ranks": "<i8", "rest": "<u8", "prints": "<u4", "rows": "<i8", "counts": "<i8"}
 _FOOTER = struct.Struct(f"<8s{2 + len(_PARTS)}q")
-MANIFEST = "file string, part int, n_docs long, n_ids long, first_id long, last_id long, n_null long"
+MANIFEST = "file string, part int, shard int, n_docs long, n_ids long, first_id long, last_id long, n_null long"
+#: Bytes of payload from which a shard ends and the task begins its next one; what a shard keeps in memory follows from it.
+ROLL = 256 << 20
 
 
-def _write_shard(out, batches: Iterator, encoder, end_id: int) -> tuple | None:
+def _write_shard(out, batches: Iterator, encoder, end_id: int, roll: int) -> tuple:
+    """Takes batches until the payload is large enough; the shard's part of the manifest."""
     ids: list[np.ndarray] = []
     nulls: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     end = np.array([end_id], encoder.dtype).tobytes()
     width = len(end)
-    for b in slices(batches):
+    for b in batches:
         column = b.column("doc_id")
         nulls.append(np.asarray(column.is_null().to_numpy(zero_copy_only=False), "u1"))
         ids.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype("i8"))
@@ -64,8 +67,8 @@ def _write_shard(out, batches: Iterator, encoder, end_id: int) -> tuple | None:
         for e in encoded:
             out.write(e)
             out.write(end)
-    if not ids:
-        return None
+        if out.tell() >= roll:
+            break
     doc_ids, null, n = np.concatenate(ids), np.concatenate(nulls), np.concatenate(counts)
     starts = np.concatenate(([0], np.cumsum(n))).astype("<i8")
     first = np.flatnonzero(np.concatenate(([True], (doc_ids[1:] != doc_ids[:-1]) | (null[1:] != null[:-1]))))
@@ -83,8 +86,10 @@ def _write_shard(out, batches: Iterator, encoder, end_id: int) -> tuple | None:
     return len(doc_ids), int(starts[-1]), *((named[0], named[-1]) if named else (None, None)), int(null.sum())
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> tuple[DataFrame, str]:
-    """Writes the shards; the manifest (MANIFEST with base: ids of all shards before) and the folder."""
+def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, roll: int = ROLL) -> tuple[DataFrame, str]:
+    """Writes the shards; the manifest (MANIFEST with base: ids of all shards before) and the folder.
+
+    A task writes a shard for every ``roll`` bytes of payload or so of its range of documents."""
     spark = docs.sparkSession
     path = path or new_path(spark, "ids")
     d = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -97,23 +102,25 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None)
 
         from .tokens import Encoder, _tokenizer
 
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        wide = _tokenizer(tokenizer).get_vocab_size() > 1 << 16
-        encoder = _encoder(Encoder, tokenizer, "<u4" if wide else "<u2")
-        name = f"{path}/{uuid.uuid4().hex}.ids"
-        with writing(name) as out:
-            made = _write_shard(out, itertools.chain([first], batches), encoder, end_id)
-        yield pa.RecordBatch.from_pylist([dict(zip([f.split()[0] for f in MANIFEST.split(", ")], (name, TaskContext.get().partitionId(), *made), strict=True))], schema=_ARROW)
+        batches = slices(b for b in batches if b.num_rows)
+        first, shard = next(batches, None), 0
+        wide = first is not None and _tokenizer(tokenizer).get_vocab_size() > 1 << 16
+        while first is not None:
+            encoder = _encoder(Encoder, tokenizer, "<u4" if wide else "<u2")
+            name = f"{path}/{uuid.uuid4().hex}.ids"
+            with writing(name) as out:
+                made = _write_shard(out, itertools.chain([first], batches), encoder, end_id, roll)
+            row = dict(zip(_ARROW.names, (name, TaskContext.get().partitionId(), shard, *made), strict=True))
+            yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+            first, shard = next(batches, None), shard + 1
 
     listed, _ = saved(d.mapInArrow(run, MANIFEST), "manifest")
-    # shards are ranges in the order of their tasks' numbers; the window is over a row a shard
-    order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    # shards are ranges in the order of their tasks' numbers and of their own; the window is over a row a shard
+    order = W.orderBy("part", "shard").rowsBetween(W.unboundedPreceding, -1)
     return listed.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0))), path
 
 
-_ARROW = pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_null", pa.int64())])
+_ARROW = pa.schema([("file", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_null", pa.int64())])
 _ENCODERS: dict = {}
 
 

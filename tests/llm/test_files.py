@@ -295,3 +295,19 @@ assert warc.read(spark, at).count() == 565 and sorted(p.name for p in Path(at).i
 """
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_shards_end_by_size(spark):
+    docs = spark.range(20_000).selectExpr("if(id % 3 = 0, 5, id div 3) AS doc_id", "concat('text ', id % 700) AS text")
+    runs = []
+    for roll in (1, tokenfile.ROLL):
+        manifest, _ = tokenfile.write(docs, tokenizer("byte_bpe_50k.json"), 2, roll=roll)
+        runs.append(sorted(map(tuple, tokenfile.read(spark, manifest).collect()), key=lambda r: r[1]))
+        keys = spark.createDataFrame([(5,), (6000,), (77,)], "doc_id long")
+        counts = {r["doc_id"]: r["count"] for r in tokenfile.lookup(spark, manifest, keys).groupBy("doc_id").count().collect()}
+        want = docs.where("doc_id in (5, 6000, 77)").groupBy("doc_id").count().collect()
+        assert counts == {r["doc_id"]: r["count"] for r in want}
+        shards = manifest.orderBy("part", "shard").collect()
+        assert [r["base"] for r in shards] == [sum(x["n_ids"] for x in shards[:k]) for k in range(len(shards))]
+        assert (len(shards) > 16 and max(r["n_docs"] for r in shards) <= 1000) if roll == 1 else len(shards) <= 8
+    assert runs[0] == runs[1]
