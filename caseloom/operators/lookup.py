@@ -17,6 +17,13 @@ def first_match(df: DataFrame, where: Column, *order: str) -> DataFrame:
     return df.where(where).orderBy(*order).limit(1)
 
 
+def required(df: DataFrame) -> DataFrame:
+    """The first row of a lookup, as a plan that fails if there is none."""
+    there = df.limit(1).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    one = df.sparkSession.range(1).join(there, F.lit(True), "left")
+    return one.where(F.when(F.col("_row").isNull(), F.raise_error(F.lit("no such row")).cast("boolean")).otherwise(True)).select("_row.*")
+
+
 def found(df: DataFrame) -> Row:
     """The row of a lookup; an error if there is none."""
     row = df.first()

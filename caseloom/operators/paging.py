@@ -10,6 +10,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from ..functions.data import to_base64url
+
 DEFAULT, MOST = 200, 200
 
 
@@ -24,6 +26,12 @@ def encode_cursor(value: datetime, id_: object) -> str:
     return base64.urlsafe_b64encode(body.encode()).decode().rstrip("=")
 
 
+def cursor_column(value: Column, id_: Column) -> Column:
+    """``encode_cursor`` for every row: value is a moment, id_ a whole number."""
+    body = F.concat(F.lit('{"v":"'), F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit('","id":'), id_.cast("string"), F.lit("}"))
+    return to_base64url(body)
+
+
 def decode_cursor(text: str | None) -> tuple[datetime, object] | None:
     """None unless it is whole: an object with a date and an id."""
     if not text:

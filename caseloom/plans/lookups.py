@@ -26,10 +26,15 @@ def scoped_first(c):
     return lookup.first_match(scope.cases(lawyer(c), c.cases), F.col("status") == "ACTIVE", "id").select("id", "status", "type")
 
 
-@query("SELECT min(id) AS id FROM offices")
+@query("SELECT id, name FROM offices WHERE id = {o}")
 def throwing_lookup(c):
-    low = c.offices.agg(F.min("id").alias("id"))
-    return c.spark.createDataFrame([lookup.found(low)], low.schema)
+    return lookup.required(lookup.by_key(c.offices, id=c.first_office).select("id", "name"))
+
+
+@query("""SELECT id, replace(replace(rtrim(to_base64(encode('{"v":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || '","id":' || id || '}')), '='), '+', '-'), '/', '_') AS cursor FROM cases""")
+def cursors(c):
+    """The cursor with which a page would go on after each case."""
+    return c.cases.select("id", paging.cursor_column(F.col("created_at"), F.col("id")).alias("cursor"))
 
 
 # --- writes
@@ -144,8 +149,9 @@ def collated_order(c):
 @query("""SELECT office_id, count(*) FILTER (status = 'ACTIVE') AS active, count(*) FILTER (status = 'CLOSED') AS closed, count(*) FILTER (status = 'PENDING') AS pending FROM cases GROUP BY office_id""")
 def entries_as_map(c):
     n = c.cases.groupBy("office_id", "status").agg(F.count("*").alias("n"))
-    m = n.groupBy("office_id").agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("m"))  # one entry a status
-    return m.select("office_id", *[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0)).alias(k.lower()) for k in ("ACTIVE", "CLOSED", "PENDING")])
+    entries = F.array_sort(F.collect_list(F.struct(F.col("status").alias("key"), F.col("n").alias("value"))))  # one entry a status
+    m = n.groupBy("office_id").agg(data.entries_map(entries).alias("m"))
+    return m.select("office_id", *[F.coalesce(F.try_element_at("m", F.lit(k)).cast("long"), F.lit(0)).cast("long").alias(k.lower()) for k in ("ACTIVE", "CLOSED", "PENDING")])
 
 
 @query("""SELECT client_id, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS total, CAST(sum(CAST(paid AS DECIMAL(18, 2))) AS DOUBLE) AS paid,

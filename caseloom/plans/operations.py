@@ -70,6 +70,20 @@ def audit_log_rows(c):
     return logs.audit_rows(requests)
 
 
+CODES = ", ".join(f"({i}, '{a}')" for i, a in enumerate(logs.ACTIONS))
+
+
+@query(f"""WITH c(i, code) AS (VALUES {CODES}), l AS (SELECT coalesce(code, action) AS action FROM log LEFT JOIN c ON c.i = CAST(json_extract_string(props, '$.k') AS INT))
+SELECT action, contains(action, '.') AS known, string_split(action, '.')[1] AS entity, coalesce(string_split(action, '.')[2], '') AS deed,
+  action LIKE '%\\_blocked' ESCAPE '\\' OR action LIKE '%\\_failed' ESCAPE '\\' AS refused, count(*) AS n FROM l GROUP BY ALL""")
+def audit_actions(c):
+    """Actions of the log by what they were done to: the code that an entry's number stands for, or else its own word."""
+    codes = F.array(*map(F.lit, logs.ACTIONS))
+    d = c.log.select(F.coalesce(F.get(codes, F.from_json("props", "k int")["k"]), F.col("action")).alias("action"))
+    kind = logs.action_kind(F.col("action"))
+    return d.groupBy("action").agg(F.count("*").alias("n")).select("action", kind["known"].alias("known"), kind["entity"].alias("entity"), kind["deed"].alias("deed"), kind["refused"].alias("refused"), "n")
+
+
 # --- exports
 
 EXPORTED = """f AS (SELECT id, office_id, name, text, strlen(text) AS size, CASE WHEN id % 11 = 0 THEN 'no file attached' WHEN id % 13 = 0 THEN 'legacy storage path — file not bundled' WHEN id % 17 = 0 THEN 'file not found on disk' END AS state FROM files),

@@ -820,10 +820,13 @@ def dependent_choice(c):
     return c.cases.where(rules.chosen(F.col("client_id"), 1)).select("id")
 
 
-@query("""SELECT id, CAST(row_number() OVER (PARTITION BY source ORDER BY id) AS INT) AS place FROM files WHERE contains(lower(name), 'src1') AND lang = 'en'""")
+@query("""SELECT k.id, CAST(row_number() OVER (PARTITION BY k.office_id ORDER BY k.created_at DESC, k.id DESC) AS INT) AS place FROM cases k JOIN clients l ON l.id = k.client_id
+WHERE k.status = 'ACTIVE' AND k.type IN ('1-URGENT', '3-MEDIUM') AND (contains(lower(l.name), '00') OR contains(CAST(k.id AS VARCHAR), '00'))""")
 def filtered_ordinal(c):
-    shown = c.files.where((F.col("lang") == "en") & F.lower(F.concat_ws(" ", "name")).contains("src1"))
-    return nested.numbered(shown, ["source"], [F.col("id")]).select("id", "place")
+    """Places of an office's cases as a list shows them once it is filtered by status, kinds and a text."""
+    named = c.cases.join(c.clients.select(F.col("id").alias("client_id"), "name"), "client_id")
+    shown = named.where(scope.every(F.col("status") == "ACTIVE", F.col("type").isin("1-URGENT", "3-MEDIUM"), scope.some(search.holds("name", "00"), search.holds(F.col("id").cast("string"), "00"))))
+    return nested.numbered(shown, ["office_id"], [F.col("created_at").desc(), F.col("id").desc()]).select("id", "place")
 
 
 @query("""SELECT i.id FROM invoices i WHERE EXISTS (SELECT 1 FROM cases k WHERE k.id = i.case_id AND k.client_id = i.client_id)""")

@@ -11,6 +11,25 @@ from ..functions.text import trim_all
 FEATURES = ("assistant", "contract_review", "legal_search", "case_analysis", "contract_draft")
 
 
+# What the audit log knows actions by.
+ACTIONS = (
+    "admin.office_activated", "admin.office_suspended", "admin.trial_extended", "ai.assistant_used", "ai.case_analyzed", "ai.contract_drafted", "ai.contract_reviewed", "ai.legal_search",
+    "auth.login_failed", "auth.logout", "calendar.event_created", "calendar.event_deleted", "case.created", "case.deleted", "case.updated", "citizen.account_created",
+    "client.created", "client.deleted", "client.updated", "document.deleted", "document.ocr_failed", "document.ocr_run", "document.signed", "document.uploaded",
+    "email.send_blocked", "email.send_failed", "email.sent", "invoice.created", "invoice.delete_blocked", "invoice.deleted", "invoice.updated", "office.data_exported",
+    "session.created", "session.deleted", "session.updated", "site_settings.updated", "team.member_created", "team.member_updated", "timelog.created", "timelog.delete_blocked", "timelog.deleted", "timelog.updated",
+)
+
+
+def action_kind(action: Column) -> Column:
+    """struct(known, entity, deed, refused): whether the log knows an action, its two parts, and whether it records a refusal or failure."""
+    deed = F.split_part(action, F.lit("."), F.lit(2))
+    return F.struct(
+        F.coalesce(action.isin(*ACTIONS), F.lit(False)).alias("known"), F.split_part(action, F.lit("."), F.lit(1)).alias("entity"), deed.alias("deed"),
+        (F.endswith(deed, F.lit("_blocked")) | F.endswith(deed, F.lit("_failed"))).alias("refused"),
+    )
+
+
 def _or_null(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 

@@ -276,3 +276,19 @@ def test_percentiles_of_one_key_lie_in_many_partitions(spark, part_rows):
             want[k] = (v[0], at(0.5), at(0.95), v[-1], sum(r[2] for r in rows if r[0] == k and r[1] is not None), len(v))
     assert got == want
     assert reports.discrete_percentiles(d.limit(0), "k", "v", F.col("bad")).count() == 0
+
+
+def test_required_lookup_fails_within_the_plan(spark):
+    from caseloom.operators import lookup
+
+    d = spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")
+    assert [tuple(r) for r in lookup.required(lookup.by_key(d, id=2)).collect()] == [(2, None)]
+    plan = lookup.required(lookup.by_key(d, id=3))
+    with pytest.raises(Exception, match="no such row"):
+        plan.collect()
+
+
+def test_cursors_of_a_column_are_those_of_rows(spark):
+    at = datetime(2024, 3, 1, 12, 30, 5, 120_000)
+    got = spark.createDataFrame([(7, at)], "id long, t timestamp_ntz").select(paging.cursor_column(F.col("t"), F.col("id")).alias("c")).first()["c"]
+    assert got == paging.encode_cursor(at, 7) and paging.decode_cursor(got) == (at, 7)
