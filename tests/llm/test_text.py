@@ -461,3 +461,30 @@ def test_slots_follow_the_documents(spark):
     for slots in (8, 1 << 16):
         got = mixing.mix(docs, slots=slots).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
         assert all(abs(r["taken"] - r["target"]) <= max(1.0, 0.001 * r["target"]) for r in got)
+
+
+def test_ratios_and_weights_are_those_of_plain_solvers():
+    """Log-count ratios by dictionaries; the fit against projected gradient on the whole dual, on a corpus of forty texts."""
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.choice(list(b"abc "), 30)) if i % 2 else bytes(rng.choice(list(b"bcd "), 30)) for i in range(40)]
+    rows = [quality.features(t) for t in texts]
+    y = np.array([1.0 if i % 2 else -1.0 for i in range(40)])
+    y[:6] *= -1  # some labels are wrong, so that some costs bind
+    ratio = quality.log_count_ratios(rows, y)
+    for f in {int(f) for x in rows for f in x}:
+        pos, neg = sum(f in x for x, l in zip(rows, y) if l > 0), sum(f in x for x, l in zip(rows, y) if l < 0)
+        assert abs(ratio[f] - (np.log((pos + 1) / ((y > 0).sum() + 1)) - np.log((neg + 1) / ((y < 0).sum() + 1)))) < 1e-12
+    costs = np.where(y > 0, 0.7, 1.3)
+    w, bias = quality._svm(rows, y, ratio, costs, 3000)
+    x = np.zeros((40, quality.SIZE))
+    for i, f in enumerate(rows):
+        x[i, f] = ratio[f] / np.sqrt((ratio[f] ** 2).sum() + 1e-12)
+    q = (y[:, None] * y) * (x @ x.T + 1)
+    alpha, step = np.zeros(40), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, costs)
+    margins = (q @ alpha) * y
+    assert np.abs(x @ w + bias - margins).max() < 0.02
+    primal = lambda v, b: 0.5 * (v @ v + b * b) + costs @ np.maximum(0, 1 - y * (x @ v + b))
+    dual = alpha.sum() - 0.5 * alpha @ q @ alpha
+    assert (alpha > costs - 1e-6).any() and (alpha < 1e-6).any() and dual - 1e-6 <= primal(w, bias) <= dual + 0.01
