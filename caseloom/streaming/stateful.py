@@ -1,6 +1,6 @@
 """Stateful operators on streams: stored answers, a limiter whose store is swept and capped, stream frames.
 
-They use ``transformWithStateInPandas``; the session must keep its state in RocksDB
+They use ``transformWithState``, by rows or in pandas; the session must keep its state in RocksDB
 (``state_store(spark)`` says so before a query starts).
 """
 
@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import folds
@@ -22,40 +22,55 @@ def state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+def _rank(value) -> tuple:
+    """A value as Spark orders it: null before all others, NaN after them."""
+    return (0,) if value is None else (2,) if value != value else (1, value)
+
+
 class Answers(StatefulProcessor):
-    """Per key the answer of the first request; requests of a batch are taken in their order."""
+    """The answers of the first requests of a bucket of keys; requests of a batch are taken in their order.
+
+    A call to the state is a trip from Python to the JVM and back, which costs more than a request: a bucket's answers
+    are read at once (Spark sends them by the hundred), and those that are new are added at once."""
 
-    def __init__(self, order: list[str], time: str, ttl_ms: int | None):
-        self.order, self.time, self.ttl_ms = order, time, ttl_ms
+    def __init__(self, columns: list[str], order: list[str], ttl_ms: int | None):
+        self.columns, self.order, self.ttl_ms = columns, order, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.answer = handle.getValueState("answer", "status int, body string, at bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        requests = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        known = before = self.answer.get()
-        out = []
-        for r in requests.to_dict("records"):
-            now = 0 if self.ttl_ms is None else r[self.time].value // 1_000_000
+        self.answers = handle.getListState("answers", "key string, status int, body string, at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        made = Row(*self.columns, "outcome", "answered_status", "answered_body")
+        stored = {k: answer for k, *answer in self.answers.get()}
+        empty, fresh, again = not stored, {}, False
+        for r in sorted(rows, key=lambda r: [_rank(r[c]) for c in self.order]):
+            k, now = r["_key"], r["_ms"]
+            known = stored.get(k)
             if known is None or (self.ttl_ms is not None and known[2] + self.ttl_ms <= now):
-                known = (int(r["status"]), r["body"] if isinstance(r["body"], str) else None, now)
-                out.append(("run", *known[:2]))
+                again = again or known is not None
+                known = stored[k] = fresh[k] = [r["status"], r["body"], now]
+                found = ("run", *known[:2])
             elif known[0] == 0:
-                out.append(("conflict", folds.CONFLICT, None))
+                found = ("conflict", folds.CONFLICT, None)
             else:
-                out.append(("replay", *known[:2]))
-        if known is not before:
-            self.answer.update(known)
-            if self.ttl_ms is not None:
-                self.handle.registerTimer(known[2] + self.ttl_ms)
-        found = pd.DataFrame(out, columns=["outcome", "answered_status", "answered_body"], index=requests.index)
-        yield pd.concat([requests, found], axis=1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self.answer.get()
-        if known is not None and known[2] + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.answer.clear()
+                found = ("replay", *known[:2])
+            yield made(*[r[c] for c in self.columns], *found)
+        if again:  # an answer whose time is over gives its place to the next
+            self.answers.put([(k, *answer) for k, answer in stored.items()])
+        elif fresh:
+            self.answers.appendList([(k, *answer) for k, answer in fresh.items()])
+        if empty and fresh and self.ttl_ms is not None:  # (a bucket that holds answers has one timer)
+            self.handle.registerTimer(min(at for *_, at in fresh.values()) + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        alive = [x for x in self.answers.get() if x[3] + self.ttl_ms > now]
+        if alive:
+            self.answers.put(alive)
+            self.handle.registerTimer(min(at for *_, at in alive) + self.ttl_ms)
+        else:
+            self.answers.clear()
         return iter([])
 
     def close(self) -> None:
@@ -63,20 +78,25 @@ class Answers(StatefulProcessor):
 
 
 def first_wins(
-    requests: DataFrame, keys: list[str], token: str, order: list[str], ttl: int | None = None, time: str = "ts", late: str = "1 minute", longest: int = 200
+    requests: DataFrame, keys: list[str], token: str, order: list[str], ttl: int | None = None, time: str = "ts", late: str = "1 minute", longest: int = 200, buckets: int = 1 << 12
 ) -> DataFrame:
     """``folds.first_wins`` on a stream of requests.
 
     With ``ttl``, an answer is replayed for so many seconds after its request's moment (event time); then its key is new,
-    and its state goes as the watermark passes.  Without, answers are kept for good, as in the batch form."""
+    and its state goes as the watermark passes.  Without, answers are kept for good, as in the batch form.
+
+    Keys are dealt to ``buckets`` by hash, and state is kept by bucket: a batch reads the answers of the buckets that it
+    touches.  Some hundreds of keys a bucket are right; the number is fixed for the life of a checkpoint."""
     state_store(requests.sparkSession)
     bypass = folds.bypasses(token, longest)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", outcome string, answered_status int, answered_body string"
     timed = requests if ttl is None else requests.withWatermark(time, late)
-    # (one text, with nulls in their places: rows come without the columns they are grouped by, and timers take no structs)
-    known = timed.where(~bypass).withColumn("_key", F.to_json(F.array(*[F.col(k).cast("string") for k in keys], folds.token(token)))).groupBy("_key")
-    processor = Answers(order, time, None if ttl is None else ttl * 1000)
-    known = known.transformWithStateInPandas(processor, schema, "Append", "None" if ttl is None else "EventTime")
+    ms = F.lit(0).cast("long") if ttl is None else F.coalesce(F.unix_millis(F.col(time)), F.lit(0))
+    # (one text, with nulls in their places)
+    known = timed.where(~bypass).withColumns({"_key": F.to_json(F.array(*[F.col(k).cast("string") for k in keys], folds.token(token))), "_ms": ms})
+    known = known.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets))).groupBy("_bucket")
+    processor = Answers(requests.columns, order, None if ttl is None else ttl * 1000)
+    known = known.transformWithState(processor, schema, "Append", "None" if ttl is None else "EventTime")
     past = requests.where(bypass).withColumns({"outcome": F.lit("bypass"), "answered_status": F.col("status"), "answered_body": F.col("body")})
     return known.unionByName(past)
 
