@@ -206,3 +206,21 @@ def test_docx(spark):
     bodies = [("docx", docx.document(["long enough to be a text", "more"])), ("DOCX", docx.document(["short"])), ("docx", b"PK torn"), ("docx", None), ("txt", b" plain text of some length \n"), ("txt", b""), ("xlsx", b"x"), ("odd", b"x")]
     got = spark.createDataFrame(bodies, "k string, b binary").select(documents.extract(F.col("k"), F.col("b")).alias("x")).collect()
     assert [tuple(r["x"]) for r in got] == [("long enough to be a text\n\nmore", "docx"), (None, "too_little"), (None, "unreadable"), (None, "unreadable"), ("plain text of some length", "plain-text"), (None, "too_little"), (None, "refused"), (None, "refused")]
+
+
+def test_made_files_are_handed_on_in_pieces(spark):
+    import pyarrow as pa
+
+    from caseloom.functions import docx
+
+    taken = []
+    rows = ((pa.scalar(i),) for i in range(1000) if taken.append(i) is None)
+    pieces = documents._pieces(rows, lambda i: b"x" * 10_000, len, pa.binary())
+    first = len(next(pieces))
+    assert first == len(taken) < 200  # (a piece, not the batch, is held)
+    assert first + sum(map(len, pieces)) == 1000
+    texts = [None if i % 7 == 0 else f"line {i} " * (i % 40 * 40) + "\ntwo" for i in range(900)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    got = d.select("i", documents.extract(F.lit("docx"), documents.as_docx(F.split("t", "\n"))).alias("x")).collect()
+    want = {i: documents._extracted("docx", None if t is None else docx.document(t.split("\n"))) for i, t in enumerate(texts)}
+    assert {r["i"]: tuple(r["x"]) for r in got} == want
