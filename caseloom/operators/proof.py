@@ -19,8 +19,15 @@ def row_digest(columns: list[Column]) -> Column:
     return F.md5(F.concat(*texts).cast("binary"))
 
 
-def _sums(digest: str) -> list[Column]:
-    return [F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias(p) for k, p in enumerate(PARTS)]
+def _parts(digest: str) -> list[Column]:
+    """Its four 32-bit parts as longs, whose sums are exact for 2^31 rows."""
+    return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(len(PARTS))]
+
+
+def _halves(digest: str) -> list[Column]:
+    """128 bits of hashes of it as four 32-bit parts: for comparison alone, at a fraction of what its hex digits cost to read."""
+    hashes = [F.xxhash64(digest), F.xxhash64(digest, F.lit(1))]
+    return [x for h in hashes for x in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
 
 
 def bucketed(df: DataFrame, key: list[str], columns: list[Column], hex_digits: int = 2) -> DataFrame:
@@ -29,22 +36,30 @@ def bucketed(df: DataFrame, key: list[str], columns: list[Column], hex_digits: i
 
 
 def digests(df: DataFrame, by: str | None = None) -> DataFrame:
-    """(n, a, b, c, d), for each value of ``by`` if given."""
-    return (df.groupBy(by) if by else df.groupBy()).agg(F.count("*").alias("n"), *_sums("_digest"))
+    """(n, a, b, c, d) of a bucketed df, for each value of ``by`` if given.
+
+    Sums are longs within a bucket (a text cast to a decimal and decimal sums cost more than the MD5), decimals over buckets."""
+    inner = df.groupBy(*dict.fromkeys([*([by] if by else []), "_bucket"])).agg(F.count("*").alias("n"), *[F.sum(x).alias(p) for p, x in zip(PARTS, _parts("_digest"), strict=True)])
+    whole = [F.col(p).cast("decimal(38,0)") for p in PARTS]
+    if by == "_bucket":
+        return inner.select("_bucket", "n", *whole)
+    n = F.coalesce(F.sum("n"), F.lit(0)).alias("n")
+    return (inner.groupBy(by) if by else inner.groupBy()).agg(n, *[F.sum(x).cast("decimal(38,0)").alias(p) for p, x in zip(PARTS, whole, strict=True)])
 
 
 def differences(left: DataFrame, right: DataFrame, key: list[str], columns: list[str], hex_digits: int = 2) -> DataFrame:
     """``key``, in_left and in_right (how many rows of it, as they are) of every row that is not in both as often.
 
-    A changed row is two: one only left, one only right.  Buckets whose digests are equal are not read for it."""
-    a, b = (bucketed(d.select(*key, *[c for c in columns if c not in key]), key, [F.col(c) for c in columns], hex_digits) for d in (left, right))
-    x, y = digests(a, "_bucket"), digests(b, "_bucket")
-    same = x.join(y, ["_bucket", "n", *PARTS], "left_semi")
-    buckets = x.select("_bucket").union(y.select("_bucket")).distinct().join(same, "_bucket", "left_anti")  # 16^hex_digits rows at most
-    count = lambda d, name: d.join(F.broadcast(buckets), "_bucket", "left_semi").groupBy(F.struct(*key).alias("_key"), "_digest").agg(F.count("*").alias(name))
-    rows = count(a, "in_left").join(count(b, "in_right"), ["_key", "_digest"], "full")
-    found = rows.select("_key.*", F.coalesce("in_left", F.lit(0)).alias("in_left"), F.coalesce("in_right", F.lit(0)).alias("in_right"))
-    return found.where("in_left <> in_right")
+    A changed row is two: one only left, one only right.  Both sides are one set whose right rows count against the left
+    ones: a bucket is uneven if its sums are not zero, and only rows of uneven buckets are compared, by one aggregate."""
+    sides = (bucketed(d.select(*key, *[c for c in columns if c not in key]), key, [F.col(c) for c in columns], hex_digits) for d in (left, right))
+    marked = (d.select(*key, "_digest", "_bucket", F.lit(x).alias("_left"), F.lit(1 - x).alias("_right")) for d, x in zip(sides, (1, 0), strict=True))
+    both = next(marked).unionByName(next(marked))
+    sign = F.col("_left") - F.col("_right")
+    sums = both.groupBy("_bucket").agg(F.sum(sign).alias("n"), *[F.sum(x * sign).alias(p) for p, x in zip(PARTS, _halves("_digest"), strict=True)])
+    uneven = sums.where(" OR ".join(f"{x} <> 0" for x in ("n", *PARTS))).select("_bucket")  # 16^hex_digits rows at most
+    rows = both.join(F.broadcast(uneven), "_bucket", "left_semi").groupBy(*key, F.unhex("_digest").alias("_digest"))
+    return rows.agg(F.sum("_left").alias("in_left"), F.sum("_right").alias("in_right")).where("in_left <> in_right").drop("_digest")
 
 
 def proved(left: DataFrame, right: DataFrame, key: list[str], columns: list[str]) -> bool:

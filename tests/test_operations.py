@@ -29,6 +29,23 @@ def test_one_changed_row_is_found(spark):
     assert proof.differences(x, y, ["k"], ["k", "a", "b"]).count() == 2 and not proof.proved(x, x.limit(0), ["k"], ["a"])
 
 
+def test_differences_take_one_set_of_sums(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"t{i}") for i in range(300)] + [(7, "t7"), (None, None)], "k long, b string")
+    other = d.where("k <> 3 OR k IS NULL").withColumn("b", F.when(F.col("k") == 8, "x").otherwise(F.col("b")))
+    for n, x in (("l", d), ("r", other)):
+        x.write.parquet(str(tmp_path / n))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in "lr")
+    found = proof.differences(left, right, ["k"], ["k", "b"])
+    assert sorted(map(tuple, found.collect())) == [(3, 1, 0), (8, 0, 1), (8, 1, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 6  # (the rows of each side; the sums of both, planned with either side, are one exchange)
+    # a row that is there twice and once, two that are on one side alone; totals over buckets are those of all rows
+    a, b = (spark.createDataFrame([(1, v) for v in vs], "k long, b string") for vs in ("xxyy", "xzz"))
+    assert sorted(map(tuple, proof.differences(a, b, ["k"], ["k", "b"]).collect())) == [(1, 0, 2), (1, 2, 0), (1, 2, 1)]
+    by = proof.digests(proof.bucketed(d, ["k"], [F.col("k"), F.col("b")]), "_bucket").agg(*[F.sum(p).cast("decimal(38,0)").alias(p) for p in ("n", *proof.PARTS)]).first()
+    assert list(map(int, proof.digests(proof.bucketed(d, ["k"], [F.col("k"), F.col("b")])).first())) == list(map(int, by))
+
+
 def test_pruned_snapshots_are_gone(spark, tmp_path):
     path = str(tmp_path / "s")
     for day in ("2024-01-01", "2024-01-02", "2024-01-05"):
