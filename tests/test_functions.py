@@ -224,3 +224,17 @@ def test_made_files_are_handed_on_in_pieces(spark):
     got = d.select("i", documents.extract(F.lit("docx"), documents.as_docx(F.split("t", "\n"))).alias("x")).collect()
     want = {i: documents._extracted("docx", None if t is None else docx.document(t.split("\n"))) for i, t in enumerate(texts)}
     assert {r["i"]: tuple(r["x"]) for r in got} == want
+
+
+def test_pages_of_a_batch_are_not_held(spark):
+    from pyspark.util import PythonEvalType
+
+    pages = [None if i % 50 == 0 else f"<p>{'word &amp; ' * (i % 30 * 100)}</p><script>x</script>{i}" for i in range(600)]
+    x = documents.extract(F.lit("HTML"), F.col("html"))
+    d = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string").coalesce(1)
+    got = d.select("i", x.alias("x")).collect()
+    assert {r["i"]: tuple(r["x"]) for r in got} == {i: (documents.html_text(p or ""), "html") for i, p in enumerate(pages)}
+    assert one(spark, documents.extract(F.lit(None).cast("string"), F.lit("x")))["method"] == "refused"
+    # a function from batches to pieces: one of whole batches holds all their texts
+    kinds = [n.udfs().head().evalType() for n in [d.select(x)._jdf.queryExecution().optimizedPlan().children().head()] if "EvalPython" in n.nodeName()]
+    assert kinds == [PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF]
