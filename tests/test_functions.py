@@ -238,3 +238,20 @@ def test_pages_of_a_batch_are_not_held(spark):
     # a function from batches to pieces: one of whole batches holds all their texts
     kinds = [n.udfs().head().evalType() for n in [d.select(x)._jdf.queryExecution().optimizedPlan().children().head()] if "EvalPython" in n.nodeName()]
     assert kinds == [PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF]
+
+
+def test_a_large_page_is_held_a_few_times(spark):
+    import tracemalloc
+
+    page = ("<p>" + "word &amp; Größe " * 30 + "</p><script>x</script>\n") * 4000
+    raw = page.encode()
+    tracemalloc.start()
+    text, _ = documents._extracted("html", raw)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text == "\n".join(["word & Größe " * 29 + "word & Größe"] * 4000) and most < 4 * len(raw)
+    # entities make lines and blanks as before: each line is unescaped by itself
+    assert documents.html_text("<p>a&#10;&nbsp;b &am\np;</p>\n \n&NewLine;c&lt;i>\r\n<scr\nipt>d") == "a\nb &am\np;\nc<i>\nd"
+    # a text that is torn inside a character is read like a file's bytes
+    torn = spark.sql("SELECT CAST(X'3C703E61FF62C33C2F703E' AS STRING) AS html").select(documents.extract(F.lit("html"), F.col("html")).alias("x"))
+    assert tuple(torn.first()["x"]) == ("a�b�", "html")
